@@ -1,9 +1,9 @@
 """All queries of the core and their SQL."""
 
-from casemill.plans import cleaning
+from casemill.plans import cleaning, signals
 
-FLAGSHIP = "p1_found"
-_MODULES = [cleaning]
+FLAGSHIP = "score"
+_MODULES = [cleaning, signals]
 
 
 def queries() -> dict:
