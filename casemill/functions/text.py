@@ -19,6 +19,12 @@ def filled(col: Column) -> Column:
     return F.coalesce(F.trim(col) != "", F.lit(False))
 
 
+def number(col: Column) -> Column:
+    """The text as a double; NULL for all but plain decimal numbers (a cast alone takes ``12d``, too)."""
+    text = F.trim(col.cast("string"))
+    return F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
+
+
 _BLANKS = re.compile(r"\s+")
 
 

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casemill.functions.text import number
 from casemill.operators.attributes import ATTRIBUTE, SCHEMA, attribute
 
 SKETCH = 16
@@ -139,7 +140,7 @@ def changes(layout: DataFrame) -> DataFrame:
 def _typed(text: Column, kind: str) -> Column:
     if kind in ("bigint", "int"):
         text = F.regexp_replace(text, r"\.0+$", "")
-    return text.try_cast(kind)
+    return number(text) if kind == "double" else text.try_cast(kind)
 
 
 def ingest(parsed: DataFrame, table_name: str) -> DataFrame:

@@ -54,20 +54,35 @@ class Grammar:
 
     def __init__(self, names: list[str]):
         self.whole = set(names)
-        holding = [n for n in names if _DELIMITER.search(n)]
-        self.protected = [(letters(n), max(len(letters(n[: m.end()])) for m in _DELIMITER.finditer(n))) for n in holding]
+        self.skeletons = {letters(n) for n in names}
+        self.protected = []
+        for name in names:
+            if m := _DELIMITER.search(name):
+                self.protected.append((letters(name[: m.start()]), letters(name[m.end() :])))
         self.cache: dict[str, list[Value]] = {}
 
     def is_protected(self, text: str) -> bool:
-        """Does ``text`` mean one name that holds a delimiter, allowing for misspelling and cutting?"""
+        """Does ``text`` mean one name that holds a delimiter, allowing for misspelling and cutting?
+
+        What stands behind the delimiter must not be a name of its own.
+        """
         name = normalised_py(text)
         if name in self.whole:
             return True
-        word = letters(without_salts(_STRENGTH_END.sub("", name)))
-        limit = max(1, len(word) // 5)
+        name = without_salts(_STRENGTH_END.sub("", name))
+        m = _DELIMITER.search(name)
+        if not m:
+            return False
+        head, tail = letters(name[: m.start()]), letters(name[m.end() :])
+        if not tail or tail in self.skeletons:
+            return False
+        near_head, near_tail = max(2, len(head) // 6), max(2, len(tail) // 5)
         return any(
-            len(word) <= len(full) + limit and _prefix_distance(word, full, reach, limit) <= limit
-            for full, reach in self.protected
+            abs(len(head) - len(first)) <= near_head
+            and len(tail) <= len(rest) + near_tail
+            and _distances(head, first, near_head)[-1] <= near_head
+            and min(_distances(tail, rest, near_tail)) <= near_tail
+            for first, rest in self.protected
         )
 
     def values(self, text: str | None) -> list[Value]:
@@ -150,17 +165,19 @@ class Grammar:
         return "/" in mark and any(r.start() < m.start() < r.end() for r in _UNIT_RATE.finditer(text, max(0, m.start() - 5)))
 
 
-def _prefix_distance(word: str, full: str, reach: int, limit: int) -> int:
-    """Least edit distance of ``word`` to a prefix of ``full`` that goes beyond ``reach`` letters."""
-    before = list(range(len(full) + 1))
+def _distances(word: str, full: str, limit: int) -> list[int]:
+    """Edit distances of ``word`` to every beginning of ``full``, swapped neighbours counting once; over the limit they may be too low."""
+    before, last = list(range(len(full) + 1)), [limit + 1] * (len(full) + 1)
     for i, x in enumerate(word, 1):
         now = [i]
         for j, y in enumerate(full, 1):
             now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == full[j - 2] and word[i - 2] == y:
+                now[-1] = min(now[-1], last[j - 2] + 1)
         if min(now) > limit:
-            return limit + 1
-        before = now
-    return min(before[reach + 1 :], default=limit + 1)
+            return [limit + 1]
+        last, before = before, now
+    return before
 
 
 def names_of(substances: DataFrame, column: str = "name") -> list[str]:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.functions.ordinals import quarter_index
+from casemill.functions.text import number
 
 
 def duplicate_keys(df: DataFrame, key: str, by: str) -> DataFrame:
@@ -50,12 +51,16 @@ def id_overlap(ids: DataFrame, known: DataFrame, key: str = "case_id", least: fl
     return sums.withColumn("rate", F.round(rate, 6)).withColumn("status", F.when(rate > least, "PASS").otherwise("FAIL"))
 
 
+def _cast(col: Column, kind: str) -> Column:
+    return number(col) if kind == "double" else F.trim(col.cast("string")).try_cast(kind)
+
+
 def cast_failures(df: DataFrame, kinds: dict[str, str], tolerance: float = 0.01) -> DataFrame:
     """(column_name, n_filled, failures, rate, status): filled texts that do not cast, in one pass."""
     filled = {c: F.coalesce(F.trim(F.col(c).cast("string")) != "", F.lit(False)) for c in kinds}
     sums = df.agg(
         *(F.count_if(filled[c]).alias(f"n_{i}") for i, c in enumerate(kinds)),
-        *(F.count_if(filled[c] & F.trim(F.col(c).cast("string")).try_cast(k).isNull()).alias(f"f_{i}") for i, (c, k) in enumerate(kinds.items())),
+        *(F.count_if(filled[c] & _cast(F.col(c), k).isNull()).alias(f"f_{i}") for i, (c, k) in enumerate(kinds.items())),
     )
     rows = F.array(
         *(F.struct(F.lit(c).alias("column_name"), F.col(f"n_{i}").alias("n_filled"), F.col(f"f_{i}").alias("failures")) for i, c in enumerate(kinds))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.functions.ordinals import era_group
+from casemill.functions.text import number
 
 # Years in one of each coded unit.
 AGE_FACTORS = {"DEC": 10.0, "YR": 1.0, "MON": 1 / 12, "WK": 1 / 52.1775, "DY": 1 / 365.25, "HR": 1 / 8766.0}
@@ -28,7 +29,7 @@ def age_years(age: Column, code: Column) -> Column:
     factor = F.when(unit == "", 1.0)
     for name, years in AGE_FACTORS.items():
         factor = factor.when(unit == name, years)
-    return F.round(age.try_cast("double") * factor, 1)
+    return F.round(number(age) * factor, 1)
 
 
 def latest_versions(demo: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """All queries of the core and their SQL."""
 
-from casemill.plans import cleaning, signals
+from casemill.plans import audits, cleaning, signals
 
 FLAGSHIP = "score"
-_MODULES = [cleaning, signals]
+_MODULES = [cleaning, signals, audits]
 
 
 def queries() -> dict:

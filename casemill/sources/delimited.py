@@ -102,7 +102,7 @@ def split_fields(df: DataFrame, names: list[str], line: str = "line", delimiter:
 
     Nothing is quoted and nothing is inferred. Up to ``PAD`` more fields than names are
     taken off and counted: one empty one is the usual trailing delimiter. Lines with more
-    than that are left out, as are those with fewer fields' missing values made empty.
+    than that are left out; missing fields at the end of a short line are empty.
     """
     parts = F.split(F.regexp_replace(F.col(line), "\r$", ""), re.escape(delimiter), -1)
     rows = df.withColumn("_f", parts).filter(F.size("_f") <= len(names) + PAD)
