@@ -242,29 +242,32 @@ def custom_units(plain_values: DataFrame, source: str, value: str, named: str) -
 def ages(demo: DataFrame, text: str = "age", code: str = "age_cod", source: str = "mfr_sndr") -> DataFrame:
     """``demo`` with ``age_unit``, ``age_unit_from`` (text, code, source, default) and ``age_years``.
 
-    All rows are kept. Both dictionaries and the source table are joined by equality on
+    All rows are kept; columns of these names that are there already are replaced. Both dictionaries and the source table are joined by equality on
     the left, so the adaptive planner broadcasts them while small and splits hot keys.
     """
+    made = ("age_unit", "age_unit_from", "age_years")
+    demo = demo.drop(*made)
     shape, number = shape_of(F.col(text))
     rows = demo.withColumn("_shape", F.coalesce(shape, F.lit(""))).withColumn("_number", number)
     rows = rows.withColumn("_code", F.lower(F.trim(F.coalesce(F.col(code), F.lit("")))))
     shapes = aliases(rows, "_shape", "shape").select(
-        F.col("spelling").alias("_shape"), F.col("unit").alias("_text_unit"), "word_number", "readable"
+        F.col("spelling").alias("_shape"), F.col("unit").alias("_text_unit"), F.col("word_number").alias("_word"), F.col("readable").alias("_readable")
     )
     codes = aliases(rows, "_code", "code").select(F.col("spelling").alias("_code"), F.col("unit").alias("_code_unit"))
     joined = (
         rows.join(shapes, "_shape", "left")
         .join(codes, "_code", "left")
-        .withColumn("_value", F.when(F.col("readable"), F.coalesce("word_number", "_number")))
+        .withColumn("_value", F.when(F.col("_readable"), F.coalesce("_word", "_number")))
         .withColumn("_named", F.col("_text_unit").isNotNull() | (F.col("_code") != ""))
     )
     custom = custom_units(joined.filter("_value is not null").select(source, "_value", "_named"), source, "_value", "_named")
+    custom = custom.withColumnRenamed("custom_unit", "_custom")
     unit_from = (
         F.when(F.col("_value").isNull(), F.lit(None))
         .when(F.col("_text_unit").isNotNull() & ((F.col("_code") == "") | F.col("_code_unit").isNotNull()), "text")
         .when(F.col("_code_unit").isNotNull(), "code")
         .when(F.col("_code") != "", F.lit(None))
-        .when(F.col("custom_unit").isNotNull(), "source")
+        .when(F.col("_custom").isNotNull(), "source")
         .otherwise("default")
     )
     factor = F.create_map(*(F.lit(x) for pair in YEARS.items() for x in pair))
@@ -275,9 +278,9 @@ def ages(demo: DataFrame, text: str = "age", code: str = "age_cod", source: str
             "age_unit",
             F.when(F.col("age_unit_from") == "text", F.col("_text_unit"))
             .when(F.col("age_unit_from") == "code", F.col("_code_unit"))
-            .when(F.col("age_unit_from") == "source", F.col("custom_unit"))
+            .when(F.col("age_unit_from") == "source", F.col("_custom"))
             .when(F.col("age_unit_from") == "default", F.lit("YR")),
         )
         .withColumn("age_years", F.col("_value") * F.try_element_at(factor, F.col("age_unit")))
     )
-    return out.select(*demo.columns, "age_unit", "age_unit_from", "age_years")
+    return out.select(*demo.columns, *made)
