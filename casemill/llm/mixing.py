@@ -85,7 +85,7 @@ def selection(sized: DataFrame, targets: DataFrame, key: str = "doc_id", seed: i
     edge = (
         placed.filter("_range = _cut")
         .withColumn("_sum", F.sum("n_tokens").over(order))
-        .withColumn("times", F.col("_rounds") + (F.col("_sum") <= F.col("_left")).cast("int"))
+        .withColumn("times", F.col("_rounds") + (2 * F.col("_sum") - F.col("n_tokens") <= 2 * F.col("_left")).cast("int"))
         .drop("_sum")
     )
     return inside.unionByName(edge).filter("times > 0").select(key, "source", "n_tokens", "times")

@@ -12,7 +12,8 @@ A check over all entities finds replacements that two entities share, or that eq
 real entity, and draws again for all but one until none is left.
 
 Defined results: NULL and empty texts have no details and stay as they are; repeated
-details give one row in the found list but are all replaced.
+details give one row in the found list but are all replaced. Columns named ``details``
+or ``n_details`` are replaced by the results.
 """
 
 from __future__ import annotations
@@ -166,6 +167,7 @@ _SPANS = "array<struct<start:int,end:int,kind:string,span:string>>"
 
 def detected(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``details``: start and end (in code points), kind and text of each detail."""
+    df = df.drop("details")
     names = df.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
@@ -205,7 +207,7 @@ def _pieces(details, with_text) -> F.Column:
 
 def redacted(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with each detail replaced by a placeholder such as ``[NAME]``; nothing else changes."""
-    got = detected(df, text).withColumn("_text", F.col(text))
+    got = detected(df.drop("n_details"), text).withColumn("_text", F.col(text))
     new = _pieces(F.col("details"), lambda d: F.concat(F.lit("["), F.upper(d["kind"]), F.lit("]")))
     return got.withColumn(text, F.when(F.size("details") > 0, new).otherwise(F.col(text))).withColumn("n_details", F.size("details")).drop("_text", "details")
 
@@ -257,8 +259,6 @@ def dressed(kind: str, span: str, replacement: str) -> str:
         words = replacement.split(" ")
         k = len(last.split(" "))
         replacement = " ".join(words[-k:] + words[:-k])
-    if kind == "email" and ("@" not in span or " " in span):
-        replacement = replacement  # spelled out again below, letter by letter
     letters = iter([c for c in replacement if c.isalnum()])
     spelled = {m.start() + i for m in re.finditer(r"(?i)[\[({](?:at|dot)[\])}]|\s(?:AT|DOT)\s", span) for i in range(len(m.group()))} if kind == "email" else set()
     out = []

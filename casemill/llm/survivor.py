@@ -14,8 +14,8 @@ rows reaches the second step as few points: versions x quarters x fields at most
 
 Defined results: a NULL key forms no group; a version that is no number is the lowest,
 as is a NULL quarter; blank fields count as missing; repeated rows change nothing but
-``n_rows``; a field no record has stays NULL. Columns with names of the internal ones are
-kept apart by a prefix.
+``n_rows``; a field no record has stays NULL. Columns named ``n_rows`` or ``n_layers`` are
+replaced by the counts.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def survivors(
 ) -> DataFrame:
     """One row per key: key, ident, quarter, version of the survivor, the filled fields, n_rows, n_layers."""
     if fields is None:
-        fields = [c for c in df.columns if c not in (key, version, quarter, ident)]
+        fields = [c for c in df.columns if c not in (key, version, quarter, ident, "n_rows", "n_layers")]
     values = {f"_f{i}": name for i, name in enumerate(fields)}
     base = df.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("_key"),

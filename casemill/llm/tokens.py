@@ -6,7 +6,8 @@ are cut into pre-tokens by the tokenizer's pattern, mapped, encoded and numbered
 Decoding is the inverse mapping.
 
 Defined results: NULL and empty texts give an empty list; strings of special tokens are
-ordinary text; texts are encoded whole, whatever their length.
+ordinary text; texts are encoded whole, whatever their length. A column of the result's
+name that is there already is replaced.
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ def _in_parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 def encoded(df: DataFrame, text: str = "text", keep: list[str] | None = None, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """The columns ``keep`` (all but the text by default) with ``ids``, an array of int."""
-    keep = [c for c in df.columns if c != text] if keep is None else keep
+    keep = [c for c in df.columns if c not in (text, "ids")] if keep is None else keep
     model = _model(df, path)
     schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
 
@@ -147,7 +148,7 @@ def encoded(df: DataFrame, text: str = "text", keep: list[str] | None = None, pa
 
 def counted(df: DataFrame, text: str = "text", path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """All columns but the text, with ``n_tokens``; the ids never leave the workers."""
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if c not in (text, "n_tokens")]
     model = _model(df, path)
     schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
 
