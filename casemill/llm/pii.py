@@ -68,12 +68,12 @@ _NUMBER_FORMS = (
     r"QQ ?\d{2} ?\d{2} ?\d{2} ?[A-Z]\b|[A-Z]{2}\d{6,8}\b|[A-Z]<\d{6,9}\b|[A-Z]-\d{6,8}-[A-Z]\b|\d{7,8}-[A-Z]\b|X \d{3} \d{3} \d{3}\b|X\d{9}\b"
     r"|\d \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}\b|\d{3} \d{3} \d{4}\b|\d{3}[- ]\d{2}[- ]\d{4}\b|\d{15}\b|\d{9,13}\b"
 )
-# What stands before an identity number of a person.
-_ID_LEADS = (
-    r"social security (?:no\.?|number):? |national number:? |insurance (?:card|no\.?|number):? |passport(?: no\.?)?:? |\bID:? |NHS (?:no\.?|number):? "
-    r"|Versichertennummer:? |Personalausweis:? |num[ée]ro d[’']assur[ée]:? |documento de identidad:? |\bDNI:? |\bNIE:? "
-)
-ID_NUMBER = [re.compile(rf"(?:{_ID_LEADS})({_NUMBER_FORMS})", re.IGNORECASE)]
+# What stands before an identity number of a person, and what may follow before the number.
+ID_LEADS = [
+    "social security", "national number", "insurance card", "insurance no", "insurance number", "passport", "id ", "id:", "nhs no", "nhs number",
+    "versichertennummer", "personalausweis", "numéro d’assuré", "numéro d'assuré", "numero d'assuré", "documento de identidad", "dni", "nie",
+]
+_ID_AFTER = re.compile(rf"(?: ?no\.?| ?number)?\.?:? ?({_NUMBER_FORMS})", re.IGNORECASE)
 
 _EXTENSION = r"(?: ?(?:x|ext\.?|extension|Durchwahl|poste) ?\d{1,6}\b)?"
 _DIGIT_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
@@ -84,36 +84,40 @@ _PHONE_FORMS = (
     r"|0\d{2,5} \d{3,6}(?: \d{2,4})?\b|\d{3}-\d{4}\b|\d{9,11}\b|\d{3} \d{3} \d{3,4}\b"
 )
 # What stands before a phone number.
-_PHONE_LEADS = (
-    r"reachable under |line \(|mobile is |mobile:? |call back on |call |tel\.?:? |telephone:? |phone:? |fax\.?:? |Rückruf unter |Telefon:? "
-    r"|Rappeler au |tél\.? ?:? |téléphone ?:? |Llamar al |teléfono:? "
-)
-PHONE = [
-    re.compile(rf"(?:{_PHONE_LEADS})((?:{_PHONE_FORMS}){_EXTENSION})", re.IGNORECASE),
-    re.compile(rf"(?<![\w(])(\+\d{{1,3}} \(?\d{{1,5}}\)?(?: \d{{2,4}}){{1,4}}{_EXTENSION})(?![\w-])", re.IGNORECASE),
+PHONE_LEADS = [
+    "reachable under ", "line (", "mobile is ", "mobile:", "call back on ", "call ", "tel", "phone", "fax", "rückruf unter ", "telefon", "rappeler au ", "téléphone", "llamar al ", "teléfono",
 ]
+_PHONE_AFTER = re.compile(rf"\.? ?:? ?((?:{_PHONE_FORMS}){_EXTENSION})", re.IGNORECASE)
+_PHONE_ALONE = re.compile(rf"(?<![\w(])(\+\d{{1,3}} \(?\d{{1,5}}\)?(?: \d{{2,4}}){{1,4}}{_EXTENSION})(?![\w-])", re.IGNORECASE)
 
-_TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sr|Sra|Srta|Dra|Mme|Mlle|M|Herr|Frau|Monsieur|Madame)\.? )?"
-_TITLED = r"(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sr|Sra|Srta|Dra|Mme|Mlle|M|Herr|Frau|Monsieur|Madame)\.? )"
+_TITLES = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sr|Sra|Srta|Dra|Mme|Mlle|M|Herr|Frau|Monsieur|Madame)\.? "
+_TITLE = rf"(?:{_TITLES})?"
 _WORD = r"[^\W\d_]{2,}(?:[-'’][^\W\d_]{2,})*"
 _INITIAL = r"[^\W\d_]\."
 _PARTICLE = r"(?:van|von|de|da|del|di|la|le|der)"
 _FULL = rf"(?:{_WORD}, {_WORD}|{_INITIAL} (?:{_PARTICLE} )?{_WORD}|{_WORD} (?:{_INITIAL} )?(?:{_PARTICLE} )?{_WORD})"
 _END = r"(?=\s*(?:[.;,!?)]|[\r\n]|$))"
-# Phrases a person's name stands in.
-NAME = [
-    re.compile(rf"(?:spoke with ){_TITLE}({_FULL}|{_WORD})(?= about\b)", re.IGNORECASE),
-    re.compile(rf"(?:the patient, ){_TITLE}({_FULL}|{_WORD})(?=, called\b)", re.IGNORECASE),
-    re.compile(rf"(?:\b(?:her husband|his wife|her daughter|his son) ){_TITLE}({_FULL}|{_WORD})(?= brought\b)", re.IGNORECASE),
-    re.compile(rf"(?:direct questions to ){_TITLE}({_FULL}|{_WORD})(?=, who\b)", re.IGNORECASE),
-    re.compile(rf"(?<![\w.]){_TITLE}({_FULL})(?= confirmed the dates\b)", re.IGNORECASE),
-    re.compile(rf"(?<!\w){_TITLED}({_WORD})(?= confirmed the dates\b)", re.IGNORECASE),
-    re.compile(rf"(?:gespräch mit ){_TITLE}({_FULL}|{_WORD})(?= am (?:vor|nach)mittag)", re.IGNORECASE),
-    re.compile(rf"(?:entretien avec ){_TITLE}({_FULL}|{_WORD})(?= (?:ce matin|cet après))", re.IGNORECASE),
-    re.compile(rf"(?:se habló con ){_TITLE}({_FULL}|{_WORD})(?= por la (?:tarde|mañana))", re.IGNORECASE),
-    re.compile(rf"(?:\breporter: |treating physician was |meldender arzt: |déclarant ?: |notificador: ){_TITLE}({_FULL}|{_WORD}){_END}", re.IGNORECASE),
-]
-SIGNED = re.compile(rf"(?<!\w)signed (?:by )?({_TITLE})({_WORD}, {_WORD}|{_INITIAL} (?:{_PARTICLE} )?{_WORD}|{_WORD})((?: {_INITIAL})?(?: {_PARTICLE})? {_WORD})?", re.IGNORECASE)
+
+
+def _named(after: str) -> re.Pattern:
+    return re.compile(rf"{_TITLE}({_FULL}|{_WORD}){after}", re.IGNORECASE)
+
+
+# Phrases before a person's name, and what must follow it.
+NAME_LEADS = {
+    "spoke with ": _named(r"(?= about\b)"),
+    "the patient, ": _named(r"(?=, called\b)"),
+    **{f"{x} ": _named(r"(?= brought\b)") for x in ("her husband", "his wife", "her daughter", "his son")},
+    "direct questions to ": _named(r"(?=, who\b)"),
+    "gespräch mit ": _named(r"(?= am (?:vor|nach)mittag)"),
+    "entretien avec ": _named(r"(?= (?:ce matin|cet après))"),
+    "se habló con ": _named(r"(?= por la (?:tarde|mañana))"),
+    **{x: _named(_END) for x in ("reporter: ", "treating physician was ", "meldender arzt: ", "déclarant : ", "déclarant: ", "notificador: ")},
+}
+#: A name that stands before a phrase; the longest such name with its title has under 200 letters.
+NAME_TAIL = " confirmed the dates"
+_BEFORE_TAIL = [re.compile(rf"(?<![\w.]){_TITLE}({_FULL})$", re.IGNORECASE), re.compile(rf"(?<!\w){_TITLES}({_WORD})$", re.IGNORECASE)]
+SIGNED = re.compile(rf"signed (?:by )?({_TITLE})({_WORD}, {_WORD}|{_INITIAL} (?:{_PARTICLE} )?{_WORD}|{_WORD})((?: {_INITIAL})?(?: {_PARTICLE})? {_WORD})?", re.IGNORECASE)
 # Words that begin the next sentence rather than end a signature.
 SENTENCE_STARTS = set(
     "a according after an and approximately as at avoid back batch bp call case cc cardiac chest co-administration "
@@ -125,8 +129,28 @@ SENTENCE_STARTS = set(
 _VERB_NEXT = re.compile(r" (?:was|is|were|had|has|and|wurde|acid|extract)\b", re.IGNORECASE)
 
 
-def _signatures(text: str) -> Iterator[tuple[int, int]]:
-    for m in SIGNED.finditer(text):
+def _places(low: str, lead: str) -> Iterator[int]:
+    """Where ``lead`` stands at the beginning of a word."""
+    at = low.find(lead)
+    while at >= 0:
+        if not at or not (low[at - 1].isalnum() or low[at - 1] == "_"):
+            yield at
+        at = low.find(lead, at + 1)
+
+
+def _after(text: str, low: str, leads: dict[str, re.Pattern]) -> Iterator[tuple[int, int]]:
+    """The spans that follow a lead; the leads are found as plain texts, so few places meet a pattern."""
+    for lead, pattern in leads.items():
+        for at in _places(low, lead):
+            if m := pattern.match(text, at + len(lead)):
+                yield m.span(1)
+
+
+def _signatures(text: str, low: str) -> Iterator[tuple[int, int]]:
+    for at in _places(low, "signed "):
+        m = SIGNED.match(text, at)
+        if not m:
+            continue
         title, first, rest = m[1], m[2], m[3]
         if first.split(" ")[0].split(",")[0].lower() in SENTENCE_STARTS and not title:
             continue
@@ -142,18 +166,43 @@ def _signatures(text: str) -> Iterator[tuple[int, int]]:
             yield m.start(2), end
 
 
+_STREET_MARKS = (" st.", " street", " ave", " blvd", " boulevard", " crescent", " court", " lane", " road", " rd.", " drive", " way", " close", " terrace", " place", " square")
+_ADDRESS_MARKS = [(" box ",), _STREET_MARKS, ("straße", "strasse", "str.", "weg ", "allee ", "platz ", "gasse "), ("rue ", "avenue ", "impasse ", "boulevard ", "place ", "chemin ", "allée "),
+                  ("calle ", "c/ ", "avda. ", "avenida ", "plaza ", "paseo ")]
+_EMAIL_MARKS = [("@",), ("(at)", "[at]", "{at}"), (" at ",)]
+_ID_PATTERNS, _PHONE_PATTERNS = dict.fromkeys(ID_LEADS, _ID_AFTER), dict.fromkeys(PHONE_LEADS, _PHONE_AFTER)
+
+
+def _lowered(text: str) -> str:
+    """Lower case of the same length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
 def spans(text: str | None) -> list[Span]:
     """The details of ``text`` in their order, without overlaps."""
     if not text:
         return []
+    low = _lowered(text)
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    for kind, patterns in (("email", EMAIL), ("address", ADDRESS)):
-        for p in patterns:
-            found[kind] += [m.span() for m in p.finditer(text)]
-    for kind, patterns in (("id_number", ID_NUMBER), ("phone", PHONE), ("name", NAME)):
-        for p in patterns:
-            found[kind] += [m.span(1) for m in p.finditer(text)]
-    found["name"] += list(_signatures(text))
+    for kind, patterns, marks in (("email", EMAIL, _EMAIL_MARKS), ("address", ADDRESS, _ADDRESS_MARKS)):
+        for p, any_of in zip(patterns, marks):
+            if any(x in low for x in any_of):
+                found[kind] += [m.span() for m in p.finditer(text)]
+    found["id_number"] += _after(text, low, _ID_PATTERNS)
+    found["phone"] += _after(text, low, _PHONE_PATTERNS)
+    if "+" in text:
+        found["phone"] += [m.span(1) for m in _PHONE_ALONE.finditer(text)]
+    found["name"] += _after(text, low, NAME_LEADS)
+    at = low.find(NAME_TAIL)
+    while at >= 0:
+        start = max(0, at - 200)
+        for p in _BEFORE_TAIL:
+            if m := p.search(text[start:at]):
+                found["name"].append((start + m.start(1), start + m.end(1)))
+                break
+        at = low.find(NAME_TAIL, at + 1)
+    found["name"] += _signatures(text, low)
     taken: list[Span] = []
     for kind in KINDS:
         for start, end in sorted(set(found[kind]), key=lambda s: (s[0], -s[1])):
