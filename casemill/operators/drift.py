@@ -13,7 +13,9 @@ never ``retyped``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,8 +25,13 @@ from casemill.functions.text import number
 from casemill.operators.attributes import ATTRIBUTE, SCHEMA, attribute
 
 SKETCH = 16
-WHOLE = r"^[+-]?[0-9]+$"
-DECIMAL = r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)$"
+_WHOLE = re.compile(r"[+-]?[0-9]+")
+_DECIMAL = re.compile(r"[+-]?(?:[0-9]+\.[0-9]*|\.[0-9]+)")
+
+
+def _sketch(values: Iterable[str]) -> list[int]:
+    """The ``SKETCH`` lowest hashes of the values."""
+    return sorted({zlib.crc32(v.upper().encode()) for v in values})[:SKETCH]
 
 
 def profiles(parsed: DataFrame) -> DataFrame:
@@ -36,18 +43,22 @@ def profiles(parsed: DataFrame) -> DataFrame:
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for file_id, group in frame.groupby("file_id", sort=False):
-                table = pd.DataFrame(group["fields"].tolist())
-                for at in table.columns:
-                    values = table[at].dropna().str.strip()
-                    values = values[values != ""]
-                    if values.empty:
-                        continue
-                    kinds = 3 - (values.str.match(DECIMAL) * 1 + values.str.match(WHOLE) * 2)
-                    seen = values.str.upper().drop_duplicates()
-                    rows.append((file_id, at, int(kinds.max()), sorted(pd.util.hash_array(seen.to_numpy(object)).astype("int64"))[:SKETCH]))
-            yield pd.DataFrame(rows, columns=["file_id", "at", "kind", "sketch"])
+            kinds: dict[int, list[int]] = {}
+            seen: dict[int, list[set[str]]] = {}
+            for file_id, fields in zip(frame["file_id"], frame["fields"]):
+                if file_id not in kinds:
+                    kinds[file_id], seen[file_id] = [0] * len(fields), [set() for _ in fields]
+                kind, values = kinds[file_id], seen[file_id]
+                for at, value in enumerate(fields):
+                    value = value.strip()
+                    if value:
+                        values[at].add(value)
+                        if kind[at] < 3:
+                            kind[at] = max(kind[at], 1 if _WHOLE.fullmatch(value) else 2 if _DECIMAL.fullmatch(value) else 3)
+            yield pd.DataFrame(
+                [(f, at, k, _sketch(seen[f][at])) for f, kind in kinds.items() for at, k in enumerate(kind) if k],
+                columns=["file_id", "at", "kind", "sketch"],
+            )
 
     merged = (
         parsed.filter(F.col("reason").isNull())
