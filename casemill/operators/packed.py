@@ -58,10 +58,20 @@ class Grammar:
         self.protected = []
         for name in names:
             if m := _DELIMITER.search(name):
-                self.protected.append((letters(name[: m.start()]), letters(name[m.end() :])))
+                head = letters(name[: m.start()])
+                self.protected.append((head, letters(name[m.end() :]), _bigrams(head)))
         self.cache: dict[str, list[Value]] = {}
+        self.judged: dict[str, bool] = {}
 
     def is_protected(self, text: str) -> bool:
+        """``_protects``, remembered."""
+        if text not in self.judged:
+            if len(self.judged) >= CACHE:
+                self.judged.clear()
+            self.judged[text] = self._protects(text)
+        return self.judged[text]
+
+    def _protects(self, text: str) -> bool:
         """Does ``text`` mean one name that holds a delimiter, allowing for misspelling and cutting?
 
         What stands behind the delimiter must not be a name of its own.
@@ -77,12 +87,14 @@ class Grammar:
         if not tail or tail in self.skeletons:
             return False
         near_head, near_tail = max(2, len(head) // 6), max(2, len(tail) // 5)
+        grams = _bigrams(head)
         return any(
             abs(len(head) - len(first)) <= near_head
             and len(tail) <= len(rest) + near_tail
+            and len(grams & known) >= len(known) - 3 * near_head  # an edit breaks three bigrams at most
             and _distances(head, first, near_head)[-1] <= near_head
             and min(_distances(tail, rest, near_tail)) <= near_tail
-            for first, rest in self.protected
+            for first, rest, known in self.protected
         )
 
     def values(self, text: str | None) -> list[Value]:
@@ -165,6 +177,10 @@ class Grammar:
         return "/" in mark and any(r.start() < m.start() < r.end() for r in _UNIT_RATE.finditer(text, max(0, m.start() - 5)))
 
 
+def _bigrams(word: str) -> set[str]:
+    return {word[i : i + 2] for i in range(len(word) - 1)}
+
+
 def _distances(word: str, full: str, limit: int) -> list[int]:
     """Edit distances of ``word`` to every beginning of ``full``, swapped neighbours counting once; over the limit they may be too low."""
     before, last = list(range(len(full) + 1)), [limit + 1] * (len(full) + 1)
