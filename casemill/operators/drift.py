@@ -25,6 +25,7 @@ from casemill.functions.text import number
 from casemill.operators.attributes import ATTRIBUTE, SCHEMA, attribute
 
 SKETCH = 16
+MERGES = 64
 _WHOLE = re.compile(r"[+-]?[0-9]+")
 _DECIMAL = re.compile(r"[+-]?(?:[0-9]+\.[0-9]*|\.[0-9]+)")
 
@@ -65,10 +66,10 @@ def profiles(parsed: DataFrame) -> DataFrame:
         .select("file_id", "fields")
         .mapInPandas(batches, "file_id bigint, at int, kind int, sketch array<bigint>")
     )
-    kinds = merged.groupBy("file_id", "at").agg(F.max("kind").alias("kind"), F.collect_list("sketch").alias("sketches"))
-    return kinds.select(
-        "file_id", "at", "kind", F.slice(F.array_sort(F.array_distinct(F.flatten("sketches"))), 1, SKETCH).alias("sketch")
-    )
+    lowest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))), 1, SKETCH).alias("sketch")
+    # Twice, so that the many batches of a hot file never meet in one row.
+    salted = merged.groupBy("file_id", "at", F.pmod(F.xxhash64("sketch"), F.lit(MERGES)).alias("salt")).agg(F.max("kind").alias("kind"), lowest)
+    return salted.groupBy("file_id", "at").agg(F.max("kind").alias("kind"), lowest)
 
 
 def layouts(files: DataFrame, headers: DataFrame, profile: DataFrame) -> DataFrame:

@@ -294,17 +294,13 @@ def fuzzy_duplicates(cases: DataFrame, rows: DataFrame, least: float = 0.8) -> D
     events = rows.filter("event").select("case_id", "ingredient").distinct()
     weights = events.groupBy("ingredient").agg(F.count(F.lit(1)).alias("w"))
     lists = events.join(weights, "ingredient").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("w", "ingredient"))).alias("items"))
-    sets = (
-        cases.filter("event_dt <> '' and age_years is not null")
-        .join(lists, "case_id")
-        .groupBy(*block, "items")
-        .agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("case_id")).alias("ids"))
-    )
+    keyed = cases.filter("event_dt <> '' and age_years is not null").select("case_id", *block).join(lists, "case_id")
+    sets = keyed.groupBy(*block, "items").agg(F.count(F.lit(1)).alias("n"), F.min("case_id").alias("first"))
     size = F.size("items")
     heads = sets.withColumn("head", F.slice("items", F.lit(1), size - F.ceil(F.lit(least) * size).cast("int") + 1))
-    flat = heads.select(*block, "items", "n", "ids", "head", F.explode("head").alias("key"))
-    a = flat.select(*block, "key", *(F.col(c).alias(f"{c}_a") for c in ("items", "n", "ids", "head")))
-    b = flat.select(*block, "key", *(F.col(c).alias(f"{c}_b") for c in ("items", "n", "ids", "head")))
+    flat = heads.select(*block, "items", "n", "first", "head", F.explode("head").alias("key"))
+    a = flat.select(*block, "key", *(F.col(c).alias(f"{c}_a") for c in ("items", "n", "first", "head")))
+    b = flat.select(*block, "key", *(F.col(c).alias(f"{c}_b") for c in ("items", "n", "first", "head")))
     both = F.size(F.array_intersect("items_a", "items_b"))
     met = (
         a.join(b, [*block, "key"])
@@ -312,17 +308,16 @@ def fuzzy_duplicates(cases: DataFrame, rows: DataFrame, least: float = 0.8) -> D
         .filter(F.col("key") == F.array_min(F.array_intersect("head_a", "head_b")))
         .filter(both / (F.size("items_a") + F.size("items_b") - both) >= least)
     )
-    first = {s: F.get(f"ids_{s}", F.lit(0)) for s in "ab"}
-    # A case is removable if a case of the other set has a smaller id.
-    later = met.select(
-        F.explode(F.concat(F.filter("ids_b", lambda i: i > first["a"]), F.filter("ids_a", lambda i: i > first["b"]))).alias("case_id")
-    )
+    # A case is removable if a case of a set like its own has a smaller id.
+    ways = [met.select(*block, F.col(f"items_{x}").alias("items"), F.col(f"first_{y}").alias("other")) for x, y in ("ab", "ba")]
+    lowest = ways[0].unionByName(ways[1]).groupBy(*block, "items").agg(F.min("other").alias("other"))
+    later = keyed.join(lowest, [*block, "items"]).filter("case_id > other")
     parts = (
         sets.agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("cases"),
             F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("bigint").alias("exact_pairs"),
         ),
         met.agg(F.coalesce(F.sum(F.col("n_a") * F.col("n_b")), F.lit(0)).alias("fuzzy_pairs")),
-        later.agg(F.count_distinct("case_id").alias("fuzzy_cases")),
+        later.agg(F.count(F.lit(1)).alias("fuzzy_cases")),
     )
     return parts[0].join(F.broadcast(parts[1])).join(F.broadcast(parts[2]))  # single rows
