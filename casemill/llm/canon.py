@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -166,12 +167,18 @@ class Matcher:
         return reach[-1] or 0
 
 
+@lru_cache(maxsize=2)
+def _matcher(names: tuple[str, ...], ids: tuple[int, ...]) -> Matcher:
+    """One matcher for all tasks of a worker."""
+    return Matcher(list(names), list(ids))
+
+
 def _answers(values: DataFrame, names: list[str], ids: list[int]) -> DataFrame:
     """(raw_value, distance, substance_id) of distinct values against one shard."""
-    shard = values.sparkSession.sparkContext.broadcast((names, ids))
+    shard = values.sparkSession.sparkContext.broadcast((tuple(names), tuple(ids)))
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(*shard.value)
+        matcher = _matcher(*shard.value)
         for frame in frames:
             got = [matcher.meaning(v) for v in frame["raw_value"]]
             yield pd.DataFrame({"raw_value": frame["raw_value"], "distance": [g[0] for g in got], "substance_id": [g[1] for g in got]})
