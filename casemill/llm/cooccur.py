@@ -1,7 +1,7 @@
 """Items that appear together: stripes, merged by key, with a log-likelihood ratio.
 
-Each case's distinct items are a basket. Per batch of baskets every item gets a stripe,
-the counts of the items after it in its baskets, already summed over the batch. Stripes
+Each case's distinct items are a basket. In each task every item gets a stripe, the
+counts of the items after it in its baskets, already summed over the task. Stripes
 are merged by item and shard of the neighbour in one pass over sorted partitions, which
 holds one stripe at a time; an item that stands in a third of all cases is spread over
 the shards. Baskets over ``BLOCK`` items are cut into blocks of rows that run as tasks
@@ -29,56 +29,82 @@ SHARDS = 16
 BLOCK = 1024
 ROWS = 128
 AT_ONCE = 2_000_000
+FLUSH = 4_000_000
 
 _STRIPE = "item string, shard int, neighbours array<string>, counts array<bigint>"
 
 
+class _Stripes:
+    """Pair counts of a task, as sorted keys of two item numbers."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.keys, self.counts = np.zeros(0, "int64"), np.zeros(0, "int64")
+        self.parts: list[np.ndarray] = []
+        self.found = 0
+
+    def add(self, left: np.ndarray, right: np.ndarray) -> None:
+        self.parts.append((left << 32 | right).ravel())
+        self.found += self.parts[-1].size
+        if self.found > AT_ONCE:
+            self.fold()
+
+    def fold(self) -> None:
+        if not self.parts:
+            return
+        keys, counts = np.unique(np.concatenate(self.parts), return_counts=True)
+        both, place = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+        sums = np.zeros(len(both), "int64")
+        np.add.at(sums, place, np.concatenate([self.counts, counts]))
+        self.keys, self.counts, self.parts, self.found = both, sums, [], 0
+
+    def take(self) -> Iterator[pd.DataFrame]:
+        """The stripes by item and shard of the neighbour; the counts start anew."""
+        self.fold()
+        if not self.keys.size:
+            return
+        names = np.array(list(self.number), dtype=object)
+        left, right = self.keys >> 32, self.keys & 0xFFFFFFFF
+        shard = np.array([zlib.crc32(n.encode()) % SHARDS for n in names])[right]
+        order = np.lexsort((shard, left))
+        left, right, shard, counts = left[order], right[order], shard[order], self.counts[order]
+        cuts = np.flatnonzero((np.diff(left) != 0) | (np.diff(shard) != 0)) + 1
+        firsts = np.concatenate([[0], cuts])
+        yield pd.DataFrame(
+            {"item": names[left[firsts]], "shard": shard[firsts], "neighbours": [names[x] for x in np.split(right, cuts)], "counts": np.split(counts, cuts)}
+        )
+        self.__init__()
+
+
 def _stripes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stripes of a batch of (items, lo, hi): rows lo to hi of each sorted basket against what follows."""
+    """Stripes of (items, lo, hi): rows lo to hi of each sorted basket against what follows.
+
+    Counts are summed over the batches of a task until ``FLUSH`` pairs are held.
+    """
+    held = _Stripes()
     for frame in frames:
         if frame.empty:
             continue
         names, codes = np.unique(np.concatenate(frame["items"].to_list()).astype(object), return_inverse=True)
-        size, parts, found = len(names), [], 0
-        total: np.ndarray | None = None
-        counts: np.ndarray | None = None
-
-        def fold() -> None:
-            nonlocal total, counts, parts, found
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            if total is not None:
-                both = np.concatenate([total, keys])
-                keys, inverse = np.unique(both, return_inverse=True)
-                n = np.bincount(inverse, weights=np.concatenate([counts, n])).astype("int64")
-            total, counts, parts, found = keys, n, [], 0
-
-        ends = np.cumsum([len(x) for x in frame["items"]])
-        for end, items, lo, hi in zip(ends, frame["items"], frame["lo"], frame["hi"]):
-            own = np.sort(codes[end - len(items) : end]).astype("int64")
-            for i in range(lo, min(hi, len(own) - 1)):
-                parts.append(own[i] * size + own[i + 1 :])
-                found += len(own) - i - 1
-                if found > AT_ONCE:
-                    fold()
-        if parts:
-            fold()
-        if total is None:
-            continue
-        left, right = total // size, total % size
-        shard_of = np.array([zlib.crc32(n.encode()) % SHARDS for n in names])
-        shard = shard_of[right]
-        order = np.lexsort((right, shard, left))
-        left, right, shard, n = left[order], right[order], shard[order], counts[order]
-        cuts = np.flatnonzero((np.diff(left) != 0) | (np.diff(shard) != 0)) + 1
-        firsts = np.concatenate([[0], cuts])
-        yield pd.DataFrame(
-            {
-                "item": names[left[firsts]],
-                "shard": shard[firsts],
-                "neighbours": [names[x] for x in np.split(right, cuts)],
-                "counts": np.split(n, cuts),
-            }
-        )
+        number = np.array([held.number.setdefault(n, len(held.number)) for n in names], dtype="int64")
+        sizes = np.array([len(x) for x in frame["items"]])
+        starts = np.cumsum(sizes) - sizes
+        whole = (frame["lo"].to_numpy() == 0) & (frame["hi"].to_numpy() >= sizes)
+        for m in np.unique(sizes[whole]):
+            # Baskets of one size are the rows of a matrix; each shift of it gives one pair of every row.
+            picked, step = starts[whole & (sizes == m)], max(1, AT_ONCE // int(m))
+            for at in range(0, len(picked), step):
+                rows = number[np.sort(codes[picked[at : at + step, None] + np.arange(m)], axis=1)]
+                for shift in range(1, m):
+                    held.add(rows[:, :-shift], rows[:, shift:])
+        for k in np.flatnonzero(~whole):
+            own = number[np.sort(codes[starts[k] : starts[k] + sizes[k]])]
+            for i in range(frame["lo"].iat[k], min(frame["hi"].iat[k], len(own) - 1)):
+                held.add(own[i], own[i + 1 :])
+        held.fold()
+        if held.keys.size > FLUSH:
+            yield from held.take()
+    yield from held.take()
 
 
 def _merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
