@@ -110,23 +110,18 @@ def _stripes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sum of the stripes of each (item, shard); the rows come sorted by them."""
     key, sums = None, {}
-
-    def out() -> pd.DataFrame:
-        return pd.DataFrame({"item": [key[0]], "shard": [key[1]], "neighbours": [list(sums)], "counts": [list(sums.values())]})
-
     for frame in frames:
         done = []
         for item, shard, neighbours, counts in zip(frame["item"], frame["shard"], frame["neighbours"], frame["counts"]):
             if key != (item, shard):
                 if key is not None:
-                    done.append(out())
+                    done.append((*key, list(sums), list(sums.values())))
                 key, sums = (item, shard), {}
-            for name, n in zip(neighbours, counts):
+            for name, n in zip(neighbours, counts.tolist()):
                 sums[name] = sums.get(name, 0) + n
-        if done:
-            yield pd.concat(done, ignore_index=True)
+        yield pd.DataFrame(done, columns=["item", "shard", "neighbours", "counts"])
     if key is not None:
-        yield out()
+        yield pd.DataFrame([(*key, list(sums), list(sums.values()))], columns=["item", "shard", "neighbours", "counts"])
 
 
 def stripes(baskets: DataFrame) -> DataFrame:
