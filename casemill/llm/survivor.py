@@ -32,23 +32,27 @@ def version_number(version: Column) -> Column:
 
 def survivors(
     df: DataFrame, key: str = "case_id", version: str = "caseversion", quarter: str = "quarter", ident: str = "report_id",
-    fields: list[str] | None = None,
+    fields: list[str] | None = None, fill: list[str] | None = None,
 ) -> DataFrame:
-    """One row per key: key, ident, quarter, version of the survivor, the filled fields, n_rows, n_layers."""
+    """One row per key: key, ident, quarter, version of the survivor, the filled fields, n_rows, n_layers.
+
+    ``fields`` are what completeness counts, ``fill`` (all of them by default) those to be
+    filled; the values of the others need not be carried along.
+    """
     if fields is None:
         fields = [c for c in df.columns if c not in (key, version, quarter, ident, "n_rows", "n_layers")]
-    values = {f"_f{i}": name for i, name in enumerate(fields)}
+    values = {f"_f{i}": name for i, name in enumerate(fields if fill is None else fill)}
+    has = [filled(F.col(n).cast("string")).cast("int") for n in fields]
     base = df.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("_key"),
         version_number(F.col(version)).alias("_v"),
         F.coalesce(F.col(quarter).cast("string"), F.lit("")).alias("_q"),
         F.coalesce(F.col(ident).cast("bigint"), F.lit(-1)).alias("_r"),
+        sum(has, F.lit(0)).alias("_c"),
         *(F.when(filled(F.col(n).cast("string")), F.col(n)).alias(f) for f, n in values.items()),
     )
-    complete = sum((F.col(f).isNotNull().cast("int") for f in values), F.lit(0))
     points = (
-        base.withColumn("_c", complete)
-        .groupBy("_key", "_v", "_q", "_c")
+        base.groupBy("_key", "_v", "_q", "_c")
         .agg(
             F.count(F.lit(1)).alias("_n"),
             F.max("_r").alias("_r"),
