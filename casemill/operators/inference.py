@@ -47,7 +47,7 @@ def correlation(df: DataFrame, x: str, y: str, level: float = 0.95) -> DataFrame
     z = NormalDist().inv_cdf(1 - (1 - level) / 2)
 
     @F.udf("double")
-    def p_value(n: int, r: float) -> float | None:
+    def p_value(n, r):
         if r is None or n < 3 or abs(r) > 1:
             return None
         return 0.0 if abs(r) == 1 else student_p(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.operators import badrows, drift, packed, units
+from casemill.operators.attributes import ATTRIBUTE
 from casemill.session import cut
 from casemill.sources.tables import table
 
@@ -133,9 +134,7 @@ with spelled as (
 )
 """
 
-SQL = {
-    "p1_found": _AGE_SQL + "select distinct report_id, quarter from unit where unit <> 'YR'",
-    "p5_found": r"""
+_LINES_SQL = r"""
 with names as (
   select file_id, table_name, list_transform(string_split(regexp_replace(line, '\r$', ''), '$'), lambda x: lower(trim(replace(x, chr(65279), '')))) names
   from raw_lines join raw_files using (file_id) where line_no = 1
@@ -151,9 +150,35 @@ with names as (
     f[list_position(list_transform(names, lambda n: n in ('report_id', 'isr', 'primaryid', 'safetyreportid', 'rpt_no')), true)] id,
     f[list_position(list_transform(names, lambda n: n in ('drugname', 'drug_name', 'medicinalproduct')), true)] dn
   from cells
+), judged as (
+  select *, not quoted or width <> len(names) or not regexp_full_match(trim(id), '[0-9]{1,18}(\.0)?')
+    or (table_name = 'drug' and (trim(dn) = '' or regexp_matches(dn, '[\x00-\x1f\x7f-\x{9f}\x{FFFD}]'))) bad
+  from placed
+)
+"""
+
+SQL = {
+    "p1_found": _AGE_SQL + "select distinct report_id, quarter from unit where unit <> 'YR'",
+    "p2_found": _LINES_SQL
+    + ", known as (select * from (values "
+    + ", ".join(f"('{n}', '{a}')" for n, a in sorted(ATTRIBUTE.items()))
+    + r""") v(n, a)), cells2 as (
+  select file_id, unnest(names) n, unnest(f[1:len(names)]) v from judged where not bad
+), kinds as (
+  select file_id, n, max(case when regexp_full_match(trim(v), '[+-]?[0-9]+') then 1 when regexp_full_match(trim(v), '[+-]?([0-9]+\.[0-9]*|\.[0-9]+)') then 2 else 3 end) k
+  from cells2 where trim(v) <> '' group by all
+), columns as (
+  select file_id, c.n, coalesce(a, c.n) a, k from (select file_id, unnest(names) n from names) c left join known using (n) left join kinds using (file_id, n)
+), steps as (
+  select file_id, lag(file_id) over (partition by series_id, table_name order by quarter, received_at, file_id) p from raw_files
+), met as (
+  select coalesce(x.file_id, y.file_id) file_id, x.n now, y.n old, x.k k, y.k j
+  from (select s.file_id, n, a, k from steps s join columns c on c.file_id = s.file_id where p is not null) x
+  full join (select s.file_id, n, a, k from steps s join columns c on c.file_id = s.p) y on x.file_id = y.file_id and x.a = y.a
 )
-select distinct file_id, line_no from placed
-where not quoted or width <> len(names) or not regexp_full_match(trim(id), '[0-9]{1,18}(\.0)?')
-  or (table_name = 'drug' and (trim(dn) = '' or regexp_matches(dn, '[\x00-\x1f\x7f-\x{9f}\x{FFFD}]')))
-""",
+select file_id, old column_name, 'removed' change from met where now is null
+union select file_id, now, 'added' from met where old is null
+union select file_id, now, 'renamed' from met where now <> old
+union select file_id, now, 'retyped' from met where k <> j""",
+    "p5_found": _LINES_SQL + "select distinct file_id, line_no from judged where bad",
 }

@@ -12,7 +12,7 @@ from casemill.functions.ordinals import era_of, quarter_index, quarter_name
 from casemill.functions.text import normalised
 from casemill.operators import baskets as B
 from casemill.operators import bounds, contingency, events, inference, names, resolve, screen
-from casemill.operators.lexicon import DOSE_UNITS, FORMS, UNITS
+from casemill.operators.lexicon import DOSE_UNITS, FORMS, SALT_COMPOUNDS, SALTS, UNITS
 from casemill.session import cut
 from casemill.sources.tables import table
 
@@ -398,7 +398,14 @@ def name_relax(b: Base) -> DataFrame:
     return b.t("drug", "drugname").filter("drugname is not null").distinct().withColumn("relaxed_key", names.relaxed(F.col("drugname")))
 
 
-@query("strip_suffix")
+_WORDS = "list_filter(string_split(regexp_replace(upper({0}), '[^A-Z0-9 ]+', ' ', 'g'), ' '), lambda t: t <> '')"
+_STRIP = (  # the fewest words whose rest are salts, with no compound beyond them
+    "coalesce(array_to_string(w[1:list_min(list_filter(range(1, len(w) + 1), lambda k: len(list_filter(w[k + 1:], lambda t: t not in (" + _in(SALTS) + "))) = 0 "
+    "and len(list_filter(range(k + 1, len(w) + 1), lambda j: array_to_string(w[1:j], ' ') in (" + _in(SALT_COMPOUNDS) + "))) = 0))], ' '), '')"
+)
+
+
+@query("strip_suffix", f"select ingredient, {_STRIP} stripped from (select distinct ingredient, {_WORDS.format('ingredient')} w from drug_ingredients where ingredient is not null)")
 def strip_suffix(b: Base) -> DataFrame:
     """Every ingredient without salt words."""
     return b.t("drug_ingredients", "ingredient").filter("ingredient is not null").distinct().withColumn("stripped", names.without_salts(F.col("ingredient")))
@@ -417,7 +424,11 @@ def resolution_ladder(b: Base) -> DataFrame:
     return names.resolved(b.t("drug"))
 
 
-@query("combo_split")
+@query(
+    "combo_split",
+    f"""select era, report_id, drug_seq, role_cod, resolution_level, ingredient from (select *, {_STRIP} ingredient from (
+      select *, {_WORDS.format('part')} w from (select *, unnest(string_split(ingredient_raw, chr(92))) part from b_ladder))) where ingredient <> ''""",
+)
 def combo_split(b: Base) -> DataFrame:
     """Combinations split and salts taken off."""
     return names.ingredients(names.resolved(b.t("drug")))
