@@ -14,10 +14,11 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.functions.special import student_p
+from casemill.session import cut
 
 #: A replicate holds the pairs in memory; 5 million take about 100 MB.
 MAX_PAIRS = 5_000_000
@@ -114,7 +115,8 @@ def benjamini_hochberg(df: DataFrame, p: str, q: float = 0.05) -> DataFrame:
     ranking needs no single task for all rows.
     """
     counts = df.filter(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("_n"))
-    ordered = counts.repartitionByRange(F.col(p)).sortWithinPartitions(p).withColumn("_part", F.spark_partition_id())
+    # Written once: the ranges are drawn by sampling and may differ when computed again.
+    ordered = cut(counts.repartitionByRange(F.col(p)).withColumn("_part", F.spark_partition_id()), "ranks")
     parts = ordered.groupBy("_part").agg(F.sum("_n").alias("_n")).orderBy("_part").collect()  # a row per partition
     total, before = 0, {}
     for row in parts:
@@ -123,8 +125,6 @@ def benjamini_hochberg(df: DataFrame, p: str, q: float = 0.05) -> DataFrame:
     if not total:
         return df.withColumn("discovery", F.lit(False))
     offsets = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-    from pyspark.sql import Window
-
     within = Window.partitionBy("_part").orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
     lined = ordered.withColumn("_rank", F.sum("_n").over(within) + F.try_element_at(offsets, F.col("_part")))
     limit = lined.filter(F.col(p) <= q * F.col("_rank") / total).agg(F.max(p).alias("_limit"))

@@ -8,7 +8,7 @@ is compared with the whole term. Text and term lists are never compared pair by
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,6 +34,15 @@ def _places(docs: DataFrame, key: str) -> DataFrame:
     return docs.mapInPandas(batches, f"`{key}` {kind}, word string, at array<int>")
 
 
+def _whole(text: str, term: str, lead: int, places: Iterable[int]) -> Iterator[tuple[int, int]]:
+    """Where ``term`` stands as whole words, given the places of its first word."""
+    part = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+    for at in sorted(places):
+        start, end = at - lead, at - lead + len(term)
+        if start >= 0 and text.startswith(term, start) and not part(end) and not part(start - 1):
+            yield start, end
+
+
 def mentions(docs: DataFrame, terms: DataFrame, key: str = "ingredient", endpoint: str | None = None, restriction: str | None = None, shortest: int = 5) -> DataFrame:
     """(key, term, n_mentions, near, near_first, restricted_first) of terms named in other items' texts.
 
@@ -47,27 +56,24 @@ def mentions(docs: DataFrame, terms: DataFrame, key: str = "ingredient", endpoin
     listed = listed.withColumn("word", F.regexp_extract("term", r"(?U)\w+", 0)).withColumn("lead", F.instr(F.col("term"), F.col("word")) - 1)
     words = listed.select("word").distinct()
     hits = _places(texts, key).join(words, "word", "left_semi").join(listed, "word").filter(F.col("term") != F.upper(F.col(key).cast("string")))
-    with_text = hits.join(texts, key).select(key, "term", "lead", "at", "text")
+    # One row per text with its terms, so that a text is sent once.
+    by_text = hits.groupBy(key).agg(F.collect_list(F.struct("term", "lead", "at")).alias("hits")).join(texts, key)
     kind = docs.schema[key].dataType.simpleString()
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         near_re, bar_re = (re.compile(p) if p else None for p in (endpoint, restriction))
         for frame in frames:
             out = []
-            for k, term, lead, places, text in zip(frame[key], frame["term"], frame["lead"], frame["at"], frame["text"]):
-                found = []
-                for at in sorted(places):
-                    start, end = at - lead, at - lead + len(term)
-                    whole = start >= 0 and text.startswith(term, start)
-                    if whole and not (end < len(text) and (text[end].isalnum() or text[end] == "_")) and not (start and (text[start - 1].isalnum() or text[start - 1] == "_")):
-                        found.append((max(0, start - WINDOW), end + WINDOW))
-                if found:
-                    near = [bool(near_re and near_re.search(text[a:b])) for a, b in found]
-                    out.append((k, term, len(found), any(near), near[0], bool(bar_re and bar_re.search(text[found[0][0] : found[0][1]]))))
+            for k, rows, text in zip(frame[key], frame["hits"], frame["text"]):
+                for row in rows:
+                    found = [(max(0, a - WINDOW), b + WINDOW) for a, b in _whole(text, row["term"], row["lead"], row["at"])]
+                    if found:
+                        near = [bool(near_re and near_re.search(text[a:b])) for a, b in found]
+                        out.append((k, row["term"], len(found), any(near), near[0], bool(bar_re and bar_re.search(text[found[0][0] : found[0][1]]))))
             yield pd.DataFrame(out, columns=[key, "term", "n", "near", "near_first", "restricted_first"])
 
     schema = f"`{key}` {kind}, term string, n int, near boolean, near_first boolean, restricted_first boolean"
-    return with_text.mapInPandas(batches, schema).withColumnRenamed("n", "n_mentions")
+    return by_text.mapInPandas(batches, schema).withColumnRenamed("n", "n_mentions")
 
 
 def undirected(found: DataFrame, key: str = "ingredient") -> DataFrame:
