@@ -27,7 +27,8 @@ TERMS = [
 # The strata of the era-stratified queries.
 BINS = [("early", "2009q1", "2012q3"), ("middle", "2012q4", "2015q2"), ("late", "2015q3", "2018q4")]
 MARKER_TERMS = ["CHEST PAIN", "CHEST DISCOMFORT"]
-N_SCREEN, N_CONTROL, N_IMPLICATED, LEAST_PAIR = 60, 6, 15, 3
+N_SCREEN, N_POOL, N_CONTROL, N_IMPLICATED, LEAST_PAIR = 200, 400, 6, 15, 3
+SIZES = (100, 200, 400, 800)
 FIRST, LAST = "2009q1", "2018q4"
 
 
@@ -125,7 +126,7 @@ class Base:
         """The negative pool among the most frequent items."""
 
         def made() -> DataFrame:
-            pairs = cut(self.counted(B.top_items(self.single(), N_SCREEN, "n_item", 5)), "wide")
+            pairs = cut(self.counted(B.top_items(self.single(), N_POOL, "n_item", 5)), "wide")
             wide = cut(contingency.with_strength(contingency.scored(pairs)), "wide")
             return screen.negative_pool(wide, self.controls(), self.implicated(), 0.3, 2.0)
 
@@ -265,7 +266,7 @@ def _annotated(scored: str) -> str:
 BLOCKS["b_pairs"] = _pairs("b_top")
 BLOCKS["b_scored"] = _scored("b_pairs")
 BLOCKS["b_screen"] = _annotated("b_scored")
-BLOCKS["b_wide"] = f"select ingredient from b_single where n_item >= 5 order by n_item desc, ingredient limit {N_SCREEN}"
+BLOCKS["b_wide"] = f"select ingredient from b_single where n_item >= 5 order by n_item desc, ingredient limit {N_POOL}"
 BLOCKS["b_widepairs"] = _pairs("b_wide")
 BLOCKS["b_widescored"] = _scored("b_widepairs")
 BLOCKS["b_widemarked"] = _annotated("b_widescored")
@@ -596,10 +597,10 @@ def top_items(b: Base) -> DataFrame:
     return b.first(N_SCREEN)
 
 
-@query("top_items_by_volume", f"select ingredient, n_item, n_item_event from b_single where n_item >= 5 order by n_item desc, ingredient limit {N_SCREEN}")
+@query("top_items_by_volume", f"select ingredient, n_item, n_item_event from b_single where n_item >= 5 order by n_item desc, ingredient limit {N_POOL}")
 def top_items_by_volume(b: Base) -> DataFrame:
     """The most frequent items (O2, O3)."""
-    return B.top_items(b.single(), N_SCREEN, "n_item", 5)
+    return B.top_items(b.single(), N_POOL, "n_item", 5)
 
 
 _COUNTS = "item_a, item_b, n_ab, n_abz, n_a, n_az, n_b, n_bz, n_event, n_total"
@@ -859,7 +860,7 @@ def screen_sizes(b: Base) -> DataFrame:
     """Pairs and signals of wider screens and other item orders."""
     out = []
     for order in ("n_item_event", "n_item"):
-        for n in (30, 60, 120):
+        for n in SIZES:
             top = B.top_items(b.single().filter("n_item_event > 0"), n, order)
             got = contingency.scored(cut(b.counted(top), "sizes"))
             sums = got.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("omega_add") > 0.2).alias("n_signal"))
