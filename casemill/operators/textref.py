@@ -76,6 +76,19 @@ def mentions(docs: DataFrame, terms: DataFrame, key: str = "ingredient", endpoin
     return by_text.mapInPandas(batches, schema).withColumnRenamed("n", "n_mentions")
 
 
+def gathered(found: DataFrame, owners: DataFrame, doc: str, key: str = "ingredient") -> DataFrame:
+    """The mentions of single texts by the item that owns them, ``owners`` being (doc, key): one row per item and term.
+
+    What any text of the item says counts; the first mention is that of each text.
+    """
+    return (
+        found.join(owners.select(doc, key), doc)
+        .filter(F.col("term") != F.upper(F.col(key)))
+        .groupBy(key, "term")
+        .agg(F.sum("n_mentions").alias("n_mentions"), *(F.bool_or(c).alias(c) for c in ("near", "near_first", "restricted_first")))
+    )
+
+
 def undirected(found: DataFrame, key: str = "ingredient") -> DataFrame:
     """Distinct sorted pairs (item_a, item_b) of a mention frame."""
     return found.select(F.least(key, "term").alias("item_a"), F.greatest(key, "term").alias("item_b")).distinct()

@@ -139,25 +139,27 @@ def proximity(spark: SparkSession, folder: str) -> DataFrame:
     return _mentions(spark, folder).filter("near").select(F.col("ingredient").alias("doc_id"), "term")
 
 
-def _labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Label sections keyed by the first substance they name: the stand-in for one label text per item."""
+def _labels(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Label sections keyed by the first substance they name, and the mentions of all of them by substance.
+
+    The stand-in for one label text per item: every section counts, however many one substance has.
+    """
     docs = table(spark, folder, "documents", "doc_id", "text", "doc_type").filter("doc_type = 'label_section'")
-    named = cut(textref.mentions(docs, table(spark, folder, "substances").select(F.col("name").alias("term")), "doc_id"), "labels")
-    first = named.groupBy("doc_id").agg(F.min("term").alias("ingredient"))
-    once = first.groupBy("ingredient").agg(F.min("doc_id").alias("doc_id"))
-    return once.join(docs.select("doc_id", "text"), "doc_id").select("ingredient", "text")
+    terms = table(spark, folder, "substances").select(F.col("name").alias("term"))
+    found = cut(textref.mentions(docs, terms, "doc_id", ENDPOINT, RESTRICTION), "labels")
+    first = found.groupBy("doc_id").agg(F.min("term").alias("ingredient"))
+    return first.join(docs.select("doc_id", "text"), "doc_id").select("ingredient", "text"), textref.gathered(found, first, "doc_id")
 
 
 def mention_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Undirected pairs of substances of which one's label names the other."""
-    found = textref.mentions(_labels(spark, folder), table(spark, folder, "substances").select(F.col("name").alias("term")), "ingredient", ENDPOINT)
-    return textref.undirected(found)
+    return textref.undirected(_labels(spark, folder)[1])
 
 
 def verified_controls(spark: SparkSession, folder: str) -> DataFrame:
     """What the labels say of each pair of substances they mention (T4)."""
-    labels = cut(_labels(spark, folder), "labels")
-    found = cut(textref.mentions(labels, table(spark, folder, "substances").select(F.col("name").alias("term")), "ingredient", ENDPOINT, RESTRICTION), "mentions")
+    labels, found = _labels(spark, folder)
+    found = cut(found, "mentions")
     return textref.verified_pairs(textref.undirected(found), labels, found)
 
 
