@@ -14,8 +14,8 @@ misspelt, cut short or followed by a salt.
 
 Defined results: NULL, empty and placeholder texts have no values; a strength or
 placeholder between delimiters is no value; salts behind a delimiter belong to the value
-before them (or after, at the start); empty values between delimiters are skipped and
-not counted. Texts are never shortened.
+before them (or after, at the start), and are a value where there is no other; empty
+values between delimiters are skipped and not counted. Texts are never shortened.
 """
 
 from __future__ import annotations
@@ -41,7 +41,6 @@ _UNIT_RATE = re.compile(r"(?:MG|MCG|UG|G|IU|U)\s*/\s*(?:[0-9.,]*\s*)(?:ML|L|H|HR
 _QUOTED = {q: re.compile(rf"{q}((?:[^{q}]|{q}{q})*){q}\s*(?=$|{_DELIMITER.pattern})", re.IGNORECASE) for q in "\"'"}
 _CLOSE = {"[": "]", "{": "}", "(": ")"}
 _STRENGTH_END = re.compile(r"(?: [0-9][0-9.,/]*%?)+$")
-_MAYBE = r"[\\/|;+&,\n]|(?i: [AÀÁА]ND )"
 
 
 class Value(NamedTuple):
@@ -126,7 +125,7 @@ class Grammar:
                 break
             at = gap.end()
         merged: list[tuple[int, int, str, str]] = []
-        lead: int | None = None
+        lead: tuple[int, int, str, str] | None = None
         for start, end, value, flags in pieces:
             clean = normalised_py(value)
             if is_salt(clean):
@@ -134,13 +133,17 @@ class Grammar:
                     first = merged[-1]
                     merged[-1] = (first[0], end, text[first[0] : end], first[3])
                 elif lead is None:
-                    lead = start
+                    lead = (start, end, value, flags)
+                else:
+                    lead = (lead[0], end, text[lead[0] : end], lead[3])
                 continue
             if is_placeholder(clean) or is_strength(clean):
                 continue
             if lead is not None:
-                start, value, lead = lead, text[lead:end], None
+                start, value, lead = lead[0], text[lead[0] : end], None
             merged.append((start, end, value, flags))
+        if lead is not None:
+            merged.append(lead)
         return [Value(v.strip(), f) for _, _, v, f in merged]
 
     def _value(self, text: str, at: int) -> tuple[int, str, str]:
@@ -207,8 +210,8 @@ def names_of(substances: DataFrame, column: str = "name") -> list[str]:
 def split_values(df: DataFrame, text: str, keys: list[str], names: list[str]) -> DataFrame:
     """(keys..., position, piece, n_pieces, flags): a row per value of ``text``.
 
-    ``piece`` is without enclosing quotes and normalised, ``position`` counts from 1. Rows
-    without a delimiter hold one value and never leave the JVM.
+    ``piece`` is without enclosing quotes and normalised, ``position`` counts from 1. All
+    texts go through the grammar, those without a delimiter too.
     """
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -221,13 +224,9 @@ def split_values(df: DataFrame, text: str, keys: list[str], names: list[str]) ->
             out["flags"] = [[v.flags for v in vs] for vs in lists]
             yield out
 
-    packed = df.filter(F.col(text).rlike(_MAYBE)).select(*keys, text)
+    packed = df.filter(F.trim(text) != "").select(*keys, text)
     out = packed.mapInPandas(batches, f"{schema}, pieces array<string>, flags array<string>")
-    plain = df.filter(~F.col(text).rlike(_MAYBE) & (F.trim(text) != "")).select(
-        *keys, F.array(F.trim(F.regexp_replace(F.upper(text), r"(?U)\s+", " "))).alias("pieces"), F.array(F.lit("")).alias("flags")
-    )
     return (
-        out.unionByName(plain)
-        .select(*keys, F.size("pieces").alias("n_pieces"), F.posexplode(F.arrays_zip("pieces", "flags")).alias("at", "v"))
+        out.select(*keys, F.size("pieces").alias("n_pieces"), F.posexplode(F.arrays_zip("pieces", "flags")).alias("at", "v"))
         .select(*keys, (F.col("at") + 1).alias("position"), F.col("v.pieces").alias("piece"), "n_pieces", F.col("v.flags").alias("flags"))
     )
