@@ -151,7 +151,17 @@ def replicated(df: DataFrame, columns: list[str], n: int, statistic: Callable[[p
     return spark.range(n).repartition(max(1, min(n, spark.sparkContext.defaultParallelism))).mapInPandas(batches, "replicate bigint, value double")
 
 
+_LAST: list = []
+
+
 def _coded(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_codes``, remembered for the frame of the replicates before."""
+    if not _LAST or _LAST[0] is not rows:
+        _LAST[:] = [rows, _codes(rows)]
+    return _LAST[1]
+
+
+def _codes(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The item names, and each pair's two places among them."""
     names, codes = np.unique(np.concatenate([rows["item_a"], rows["item_b"]]).astype(str), return_inverse=True)
     return names, codes[: len(rows)], codes[len(rows) :]

@@ -29,6 +29,8 @@ BINS = [("early", "2009q1", "2012q3"), ("middle", "2012q4", "2015q2"), ("late",
 MARKER_TERMS = ["CHEST PAIN", "CHEST DISCOMFORT"]
 N_SCREEN, N_POOL, N_CONTROL, N_IMPLICATED, LEAST_PAIR = 200, 400, 6, 15, 3
 SIZES = (100, 200, 400, 800)
+# Replicates of permutations and simulations, and of cluster bootstraps.
+REPLICATES, RESAMPLES = 10_000, 20_000
 FIRST, LAST = "2009q1", "2018q4"
 
 
@@ -1136,7 +1138,7 @@ def _signals(b: Base) -> DataFrame:
 @query("permutation")
 def permutation(b: Base) -> DataFrame:
     """Permutation test of the implicated items."""
-    return inference.permutation_test(_signals(b), b.implicated(), 2000)
+    return inference.permutation_test(_signals(b), b.implicated(), REPLICATES)
 
 
 @query("mh_bootstrap")
@@ -1148,13 +1150,13 @@ def mh_bootstrap(b: Base) -> DataFrame:
 @query("cluster_ci")
 def cluster_ci(b: Base) -> DataFrame:
     """Interval of the controls' recovery, first items resampled."""
-    return inference.cluster_interval(_signals(b).filter("support = 'positive_control'").select(F.col("item_a").alias("cluster"), F.col("signal").alias("success")))
+    return inference.cluster_interval(_signals(b).filter("support = 'positive_control'").select(F.col("item_a").alias("cluster"), F.col("signal").alias("success")), RESAMPLES)
 
 
 @query("pair_cluster_ci")
 def pair_cluster_ci(b: Base) -> DataFrame:
     """Interval of the signal rate, items resampled."""
-    return inference.pair_cluster_interval(_signals(b), 1000)
+    return inference.pair_cluster_interval(_signals(b), RESAMPLES)
 
 
 @query("heldout_calibration")
@@ -1166,7 +1168,7 @@ def heldout_calibration(b: Base) -> DataFrame:
 @query("induced_corr")
 def induced_corr(b: Base) -> DataFrame:
     """The correlation the model induces by itself."""
-    return inference.induced_correlation(b.scored(), "expected", 2000)
+    return inference.induced_correlation(b.scored(), "expected", REPLICATES)
 
 
 @query("bh_fdr")

@@ -30,3 +30,13 @@ def test_screen_and_pool_span_the_reference_universe(base):
 def test_sizes_are_swept_around_the_screen(base):
     got = {(r["item_order"], r["n_items"]): r["n_pairs"] for r in signals.screen_sizes(base).collect()}
     assert got == {(order, n): min(n, 450) // 2 for order in ("n_item_event", "n_item") for n in (100, 200, 400, 800)}
+
+
+def test_replicates_are_those_of_the_reference(base, monkeypatch):
+    asked = {}
+    take = lambda name, at: lambda *args: asked.setdefault(name, args[at])
+    for name, at in (("permutation_test", 2), ("induced_correlation", 2), ("cluster_interval", 1), ("pair_cluster_interval", 1)):
+        monkeypatch.setattr(signals.inference, name, take(name, at))
+    for f in (signals.permutation, signals.induced_corr, signals.cluster_ci, signals.pair_cluster_ci):
+        f(base)
+    assert asked == {"permutation_test": 10_000, "induced_correlation": 10_000, "cluster_interval": 20_000, "pair_cluster_interval": 20_000}
