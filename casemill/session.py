@@ -63,3 +63,17 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     path = os.path.join(shared_dir(df.sparkSession), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def slots(spark: SparkSession) -> int:
+    """As many partitions as there are cores, or shuffle partitions if more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in ``slots`` partitions, by ``keys`` if given.
+
+    For few bytes with much work behind each row, which the adaptive planner would merge
+    into few tasks; a number that is asked for is left alone.
+    """
+    return df.repartition(slots(df.sparkSession), *keys)
