@@ -1,19 +1,21 @@
 """Personal details in free text: detection, typed placeholders, and keyed surrogates.
 
-Detection is a set of grammars per kind (e-mail, address, identity number, phone, name)
-in English, German, French and Spanish. Where spans of two kinds overlap the kind first
-in ``KINDS`` wins. Texts are read whole.
-
-Surrogates are made per entity, an entity being a kind with its normalised text, so the
-same person or number gets the same replacement everywhere. The replacement is drawn by
-a keyed hash and has the form of the original: letters become letters of the same case
-and script, digits digits, marks stay, titles (and so gender) are not part of the span.
-A check over all entities finds replacements that two entities share, or that equal a
-real entity, and draws again for all but one until none is left.
+Details are found by the grammars of ``details``; texts are read whole. Surrogates are
+made per entity, an entity being a kind with its normalised text, so the same person or
+number gets the same replacement everywhere. Within one text initials and single names
+belong to the one full name they fit ("J. Smith", "Smith" and "Jane Smith").
+
+A replacement is drawn by a keyed hash and has the form of the original: letters become
+letters of the same script, digits digits, marks, particles, initials and words such as
+"Street" stay. The first name of a woman or a man, as titles and kin tell, ends as such
+names do. A draw is kept only if no other entity holds it and neither it nor a short
+form of it is a text of any real entity; later draws grow longer, so every entity gets
+one, and nothing is printed in place of a missing one.
 
 Defined results: NULL and empty texts have no details and stay as they are; repeated
-details give one row in the found list but are all replaced. Columns named ``details``
-or ``n_details`` are replaced by the results.
+details give one row in the found list but are all replaced; repeated rows and NULL keys
+are treated row by row. Columns named ``details`` or ``n_details`` are replaced by the
+results.
 """
 
 from __future__ import annotations
@@ -21,201 +23,92 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
-from typing import NamedTuple
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.session import cut
-
-KINDS = ("email", "address", "id_number", "phone", "name")
-
-
-class Span(NamedTuple):
-    start: int
-    end: int
-    kind: str
-
-
-_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-_LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9._+-]*[A-Za-z0-9])?"
-_DOT = r"(?:\.|\s?[\[({]dot[\])}]\s?|\sDOT\s)"
-_SPELLED_DOT = r"(?:\s?[\[({]dot[\])}]\s?|\sDOT\s)"
-EMAIL = [
-    re.compile(rf"{_LOCAL} ?@ ?{_LABEL}(?:\.{_LABEL})*\.[A-Za-z]{{2,}}\b"),
-    re.compile(rf"{_LOCAL}\s?[\[({{]at[\])}}]\s?{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}}\b", re.IGNORECASE),
-    re.compile(rf"{_LOCAL} AT {_LABEL}(?:\.{_LABEL})*(?:{_SPELLED_DOT}{_LABEL}(?:\.{_LABEL})*)*{_SPELLED_DOT}[A-Za-z]{{2,}}(?:\.[A-Za-z]{{2,}})*\b"),
-]
-
-_NAME_WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
-# The kinds of streets, as written.
-_STREETS = r"(?:St\.|Street|Avenue|Ave(?:\.(?=,))?|Boulevard|Blvd(?:\.(?=,))?|Crescent|Court|Lane|Road|Rd\.|Drive|Way|Close|Terrace|Place|Square)"
-ADDRESS = [
-    re.compile(rf"P\.?\s?O\.? Box \d+(?:, {_NAME_WORD}(?: [A-Z]{{1,2}}\d{{1,2}} \d[A-Z]{{2}})?)?", re.IGNORECASE),
-    re.compile(
-        rf"(?:Flat \d+[A-Z]?, )?\b\d+[A-Z]? {_NAME_WORD} {_STREETS}(?:, Apt\.? \d+[A-Z]?)?"
-        rf"(?:, {_NAME_WORD}(?:, [A-Z]{{2}} \d{{5}}| [A-Z]{{1,2}}\d{{1,2}} \d[A-Z]{{2}})?|\r?\n{_NAME_WORD} [A-Z]{{1,2}}\d{{1,2}} \d[A-Z]{{2}}|\r?\n{_NAME_WORD}, [A-Z]{{2}} \d{{5}})?",
-        re.IGNORECASE,
-    ),
-    re.compile(rf"\b{_NAME_WORD}(?:straße|strasse|str\.|weg|allee|platz|gasse) \d+ ?[a-z]?,(?: |\r?\n)\d{{5}} {_NAME_WORD}", re.IGNORECASE),
-    re.compile(rf"\b\d+(?: bis| ter)?,? (?:rue|avenue|impasse|boulevard|place|chemin|allée) {_NAME_WORD},(?: |\r?\n)\d{{5}} {_NAME_WORD}", re.IGNORECASE),
-    re.compile(rf"(?:\bCalle|\bC/|\bAvda\.|\bAvenida|\bPlaza|\bPaseo) {_NAME_WORD} \d+,(?: |\r?\n)\d{{5}} {_NAME_WORD}", re.IGNORECASE),
-]
-
-_NUMBER_FORMS = (
-    r"QQ ?\d{2} ?\d{2} ?\d{2} ?[A-Z]\b|[A-Z]{2}\d{6,8}\b|[A-Z]<\d{6,9}\b|[A-Z]-\d{6,8}-[A-Z]\b|\d{7,8}-[A-Z]\b|X \d{3} \d{3} \d{3}\b|X\d{9}\b"
-    r"|\d \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}\b|\d{3} \d{3} \d{4}\b|\d{3}[- ]\d{2}[- ]\d{4}\b|\d{15}\b|\d{9,13}\b"
-)
-# What stands before an identity number of a person, and what may follow before the number.
-ID_LEADS = [
-    "social security", "national number", "insurance card", "insurance no", "insurance number", "passport", "id ", "id:", "nhs no", "nhs number",
-    "versichertennummer", "personalausweis", "numéro d’assuré", "numéro d'assuré", "numero d'assuré", "documento de identidad", "dni", "nie",
-]
-_ID_AFTER = re.compile(rf"(?: ?no\.?| ?number)?\.?:? ?({_NUMBER_FORMS})", re.IGNORECASE)
-
-_EXTENSION = r"(?: ?(?:x|ext\.?|extension|Durchwahl|poste) ?\d{1,6}\b)?"
-_DIGIT_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-_PHONE_FORMS = (
-    rf"{_DIGIT_WORD}(?: {_DIGIT_WORD}){{2,}},? \d{{4}}\b"
-    r"|\+\d{1,3} ?\(\d{2,5}\) ?\d{2,4}[ .-]?\d{3,4}\b|\+\d{1,3}(?:[ .-]\d{1,8}){2,6}\b|\+\d{8,14}\b|00\d{2}(?:[ -]\d{2,6}){2,4}\b"
-    r"|\(\d{2,5}\) ?\d{3,6}(?:[ .-]\d{3,4})?\b|1-\d{3}-\d{3}-\d{4}\b|\d{3}[.-]\d{3}[.-]\d{3,4}\b|\d{2}(?:\.\d{2}){4}\b|\d{2}(?: \d{2}){4}\b"
-    r"|0\d{2,5} \d{3,6}(?: \d{2,4})?\b|\d{3}-\d{4}\b|\d{9,11}\b|\d{3} \d{3} \d{3,4}\b"
+from casemill.llm.details import Span, spans
+from casemill.session import cut, spread
+
+#: Draws an entity makes in one round, and rounds before the job fails.
+DRAWS, ROUNDS = 4, 60
+#: From this draw on, and at every multiple of it, draws are one unit longer.
+GROWS = 8
+
+_SPELLED = re.compile(r"\s?[\[({](?:at|dot)[\])}]\s?|\s(?:AT|DOT)\s", re.IGNORECASE)
+_RUN = re.compile(r"[^\W\d_]+")
+# Parts of names and addresses that stay.
+PARTICLES = set("van von de da del di la le der den du dos los al".split())
+PLACES = set(
+    "flat unit apt suite box po st street avenue ave boulevard blvd crescent court lane road rd drive way close terrace place square bis ter rue impasse chemin allée calle c avda avenida "
+    "plaza paseo".split()
 )
-# What stands before a phone number.
-PHONE_LEADS = [
-    "reachable under ", "line (", "mobile is ", "mobile:", "call back on ", "call ", "tel", "phone", "fax", "rückruf unter ", "telefon", "rappeler au ", "téléphone", "llamar al ", "teléfono",
-]
-_PHONE_AFTER = re.compile(rf"\.? ?:? ?((?:{_PHONE_FORMS}){_EXTENSION})", re.IGNORECASE)
-_PHONE_ALONE = re.compile(rf"(?<![\w(])(\+\d{{1,3}} \(?\d{{1,5}}\)?(?: \d{{2,4}}){{1,4}}{_EXTENSION})(?![\w-])", re.IGNORECASE)
-
-_TITLES = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sr|Sra|Srta|Dra|Mme|Mlle|M|Herr|Frau|Monsieur|Madame)\.? "
-_TITLE = rf"(?:{_TITLES})?"
-_WORD = r"[^\W\d_]{2,}(?:[-'’][^\W\d_]{2,})*"
-_INITIAL = r"[^\W\d_]\."
-_PARTICLE = r"(?:van|von|de|da|del|di|la|le|der)"
-_FULL = rf"(?:{_WORD}, {_WORD}|{_INITIAL} (?:{_PARTICLE} )?{_WORD}|{_WORD} (?:{_INITIAL} )?(?:{_PARTICLE} )?{_WORD})"
-_END = r"(?=\s*(?:[.;,!?)]|[\r\n]|$))"
-
-
-def _named(after: str) -> re.Pattern:
-    return re.compile(rf"{_TITLE}({_FULL}|{_WORD}){after}", re.IGNORECASE)
-
-
-# Phrases before a person's name, and what must follow it.
-NAME_LEADS = {
-    "spoke with ": _named(r"(?= about\b)"),
-    "the patient, ": _named(r"(?=, called\b)"),
-    **{f"{x} ": _named(r"(?= brought\b)") for x in ("her husband", "his wife", "her daughter", "his son")},
-    "direct questions to ": _named(r"(?=, who\b)"),
-    "gespräch mit ": _named(r"(?= am (?:vor|nach)mittag)"),
-    "entretien avec ": _named(r"(?= (?:ce matin|cet après))"),
-    "se habló con ": _named(r"(?= por la (?:tarde|mañana))"),
-    **{x: _named(_END) for x in ("reporter: ", "treating physician was ", "meldender arzt: ", "déclarant : ", "déclarant: ", "notificador: ")},
-}
-#: A name that stands before a phrase; the longest such name with its title has under 200 letters.
-NAME_TAIL = " confirmed the dates"
-_BEFORE_TAIL = [re.compile(rf"(?<![\w.]){_TITLE}({_FULL})$", re.IGNORECASE), re.compile(rf"(?<!\w){_TITLES}({_WORD})$", re.IGNORECASE)]
-SIGNED = re.compile(rf"signed (?:by )?({_TITLE})({_WORD}, {_WORD}|{_INITIAL} (?:{_PARTICLE} )?{_WORD}|{_WORD})((?: {_INITIAL})?(?: {_PARTICLE})? {_WORD})?", re.IGNORECASE)
-# Words that begin the next sentence rather than end a signature.
-SENTENCE_STARTS = set(
-    "a according after an and approximately as at avoid back batch bp call case cc cardiac chest co-administration "
-    "concomitant contact dechallenge dose doc ear eye fax follow-up for from gastric genotyping he hepatic her his home i id in "
-    "insurance is it jaw joint laboratory limb mail medical muscle nasal never no on outcome passport patient patients "
-    "please rechallenge reachable renal replies reporter samples she signed skin social spoke subject switched symptoms "
-    "tel the they this time to treating urine vascular was we abdominal anyone been asking cutaneous".split()
-)
-_VERB_NEXT = re.compile(r" (?:was|is|were|had|has|and|wurde|acid|extract)\b", re.IGNORECASE)
-
-
-def _places(low: str, lead: str) -> Iterator[int]:
-    """Where ``lead`` stands at the beginning of a word."""
-    at = low.find(lead)
-    while at >= 0:
-        if not at or not (low[at - 1].isalnum() or low[at - 1] == "_"):
-            yield at
-        at = low.find(lead, at + 1)
-
-
-def _after(text: str, low: str, leads: dict[str, re.Pattern]) -> Iterator[tuple[int, int]]:
-    """The spans that follow a lead; the leads are found as plain texts, so few places meet a pattern."""
-    for lead, pattern in leads.items():
-        for at in _places(low, lead):
-            if m := pattern.match(text, at + len(lead)):
-                yield m.span(1)
-
-
-def _signatures(text: str, low: str) -> Iterator[tuple[int, int]]:
-    for at in _places(low, "signed "):
-        m = SIGNED.match(text, at)
-        if not m:
-            continue
-        title, first, rest = m[1], m[2], m[3]
-        if first.split(" ")[0].split(",")[0].lower() in SENTENCE_STARTS and not title:
-            continue
-        end = m.end(2)
-        complete = "," in first or "." in first
-        if rest and not complete:
-            last = rest.split(" ")[-1]
-            starts = last.lower() in SENTENCE_STARTS or last.split("-")[0].lower() in SENTENCE_STARTS
-            if not starts and not (title and _VERB_NEXT.match(text, m.end(3))):
-                end = m.end(3)
-                complete = True
-        if complete or title:
-            yield m.start(2), end
-
-
-_STREET_MARKS = (" st.", " street", " ave", " blvd", " boulevard", " crescent", " court", " lane", " road", " rd.", " drive", " way", " close", " terrace", " place", " square")
-_ADDRESS_MARKS = [(" box ",), _STREET_MARKS, ("straße", "strasse", "str.", "weg ", "allee ", "platz ", "gasse "), ("rue ", "avenue ", "impasse ", "boulevard ", "place ", "chemin ", "allée "),
-                  ("calle ", "c/ ", "avda. ", "avenida ", "plaza ", "paseo ")]
-_EMAIL_MARKS = [("@",), ("(at)", "[at]", "{at}"), (" at ",)]
-_ID_PATTERNS, _PHONE_PATTERNS = dict.fromkeys(ID_LEADS, _ID_AFTER), dict.fromkeys(PHONE_LEADS, _PHONE_AFTER)
-
-
-def _lowered(text: str) -> str:
+# Spelled digits by length, so that one takes the place of another.
+DIGIT_WORDS = {2: ["oh"], 3: ["one", "two", "six"], 4: ["zero", "four", "five", "nine"], 5: ["three", "seven", "eight"]}
+_DIGIT_WORD = re.compile("|".join(w for ws in DIGIT_WORDS.values() for w in ws))
+STREET_ENDS = ("straße", "strasse", "str", "weg", "allee", "platz", "gasse")
+
+
+def _fold(text: str) -> str:
     """Lower case of the same length."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
-
-
-def spans(text: str | None) -> list[Span]:
-    """The details of ``text`` in their order, without overlaps."""
-    if not text:
-        return []
-    low = _lowered(text)
-    found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    for kind, patterns, marks in (("email", EMAIL, _EMAIL_MARKS), ("address", ADDRESS, _ADDRESS_MARKS)):
-        for p, any_of in zip(patterns, marks):
-            if any(x in low for x in any_of):
-                found[kind] += [m.span() for m in p.finditer(text)]
-    found["id_number"] += _after(text, low, _ID_PATTERNS)
-    found["phone"] += _after(text, low, _PHONE_PATTERNS)
-    if "+" in text:
-        found["phone"] += [m.span(1) for m in _PHONE_ALONE.finditer(text)]
-    found["name"] += _after(text, low, NAME_LEADS)
-    at = low.find(NAME_TAIL)
-    while at >= 0:
-        start = max(0, at - 200)
-        for p in _BEFORE_TAIL:
-            if m := p.search(text[start:at]):
-                found["name"].append((start + m.start(1), start + m.end(1)))
-                break
-        at = low.find(NAME_TAIL, at + 1)
-    found["name"] += _signatures(text, low)
-    taken: list[Span] = []
-    for kind in KINDS:
-        for start, end in sorted(set(found[kind]), key=lambda s: (s[0], -s[1])):
-            if all(end <= t.start or start >= t.end for t in taken):
-                taken.append(Span(start, end, kind))
-    return sorted(taken)
-
-
-_SPANS = "array<struct<start:int,end:int,kind:string,span:string>>"
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def entity(kind: str, span: str) -> str:
+    """The normalised text an entity is known by: names without case and order, numbers by digits and letters."""
+    if kind == "name":
+        if "," in span:
+            last, first = span.split(",", 1)
+            span = f"{first.strip()} {last.strip()}"
+        return " ".join(_fold(span).split())
+    if kind == "email":
+        return _fold(_SPELLED.sub(lambda m: "@" if "a" in m.group().lower() else ".", span).replace(" ", ""))
+    if kind in ("phone", "id_number"):
+        return _fold(re.sub(r"\W", "", span))
+    return " ".join(_fold(span).split())
+
+
+def short_forms(name: str) -> list[str]:
+    """The first and the last word of a full name, and the last with an initial."""
+    words = name.split(" ")
+    return [] if len(words) < 2 else [words[0], words[-1], f"{words[0][0]}. {words[-1]}"]
+
+
+def linked(names: list[str]) -> dict[str, str]:
+    """Each name of one text with the full name it stands for, itself if none or several fit."""
+    full = {n for n in names if " " in n and "." not in n.split(" ")[0]}
+    by_form: dict[str, set[str]] = {}
+    for n in full:
+        for form in short_forms(n):
+            by_form.setdefault(form, set()).add(n)
+
+    def owner(n: str) -> str:
+        words = n.split(" ")
+        form = f"{words[0][0]}. {words[-1]}" if len(words) > 1 and "." in words[0] else n
+        fits = by_form.get(form, set()) if n not in full else set()
+        return next(iter(fits)) if len(fits) == 1 else n
+
+    return {n: owner(n) for n in names}
+
+
+_DETAIL = "struct<start:int,end:int,kind:string,span:string,own:string,entity:string,gender:string>"
+
+
+def _details(text: str, found: list[Span]) -> list[dict]:
+    own = [entity(s.kind, text[s.start : s.end]) for s in found]
+    owners = linked([o for s, o in zip(found, own) if s.kind == "name"])
+    return [
+        {"start": s.start, "end": s.end, "kind": s.kind, "span": text[s.start : s.end], "own": o, "entity": owners[o] if s.kind == "name" else o, "gender": s.gender}
+        for s, o in zip(found, own)
+    ]
 
 
 def detected(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``details``: start and end (in code points), kind and text of each detail."""
+    """``df`` with ``details``: place (in code points), kind, text, entity and gender of each detail."""
     df = df.drop("details")
     names = df.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -223,170 +116,259 @@ def detected(df: DataFrame, text: str = "text") -> DataFrame:
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = frame[names].copy()
-            out["details"] = [
-                [{"start": s.start, "end": s.end, "kind": s.kind, "span": t[s.start : s.end]} for s in spans(t)] if t else []
-                for t in frame[text]
-            ]
+            out["details"] = [_details(t, spans(t)) if t else [] for t in frame[text]]
             yield out
 
-    return df.mapInPandas(batches, f"{schema}, details {_SPANS}")
+    return df.mapInPandas(batches, f"{schema}, details array<{_DETAIL}>")
 
 
-def found(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Distinct (key, kind, span)."""
-    return (
-        detected(df.select(key, text), text)
-        .select(key, F.explode("details").alias("d"))
-        .select(key, F.col("d.kind").alias("kind"), F.col("d.span").alias("span"))
-        .distinct()
-    )
+def _spliced(text: str, parts: list[tuple[int, int, str]]) -> str:
+    """``text`` with each (start, end, new) put in."""
+    out, at = [], 0
+    for start, end, new in sorted(parts):
+        out += (text[at:start], new)
+        at = end
+    return "".join(out) + text[at:]
 
 
-def _pieces(details, with_text) -> F.Column:
-    """The parts of the text between details, and what ``with_text`` makes of each detail, joined."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+def redacted(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with each detail replaced by a placeholder such as ``[NAME]``; nothing else changes."""
 
-    def step(acc, d):
-        gap = F.substring(F.col("_text"), acc["at"] + 1, d["start"] - acc["at"])
-        return F.struct(F.concat(acc["out"], gap, with_text(d)).alias("out"), d["end"].alias("at"))
+    @F.pandas_udf("string")
+    def placed(texts: pd.Series, details: pd.Series) -> pd.Series:
+        return pd.Series([_spliced(t, [(d["start"], d["end"], f"[{d['kind'].upper()}]") for d in ds]) if t else t for t, ds in zip(texts, details)])
 
-    done = F.aggregate(details, start, step)
-    return F.concat(done["out"], F.substring(F.col("_text"), done["at"] + 1, F.length("_text")))
+    got = detected(df.drop("n_details"), text).withColumn("n_details", F.size("details"))
+    return got.withColumn(text, F.when(F.col("n_details") > 0, placed(text, "details")).otherwise(F.col(text))).drop("details")
 
 
-def redacted(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with each detail replaced by a placeholder such as ``[NAME]``; nothing else changes."""
-    got = detected(df.drop("n_details"), text).withColumn("_text", F.col(text))
-    new = _pieces(F.col("details"), lambda d: F.concat(F.lit("["), F.upper(d["kind"]), F.lit("]")))
-    return got.withColumn(text, F.when(F.size("details") > 0, new).otherwise(F.col(text))).withColumn("n_details", F.size("details")).drop("_text", "details")
+# ---------------------------------------------------------------- drawing
 
+# Vowels and consonants to draw from, and how first names of women and men end.
+ALPHABETS = {
+    "LATIN": ("aeiou", "bdfgklmnprstvz", {"f": "a", "m": "o"}),
+    "CYRILLIC": ("аеиоу", "бвгдзклмнпрст", {"f": "а", "m": "н"}),
+    "GREEK": ("αειου", "βγδζκλμνπρτφ", {"f": "α", "m": "ο"}),
+}
+_OTHER_VOWELS = set("yàáâäãåæèéêëìíîïòóôöõøùúûüýіїєэыюяёήίόύώάέ")
 
-def entity(kind: str, span: str) -> str:
-    """The normalised text an entity is known by: names without case and order marks, numbers by digits and letters."""
-    if kind == "name":
-        if "," in span:
-            last, first = span.split(",", 1)
-            span = f"{first.strip()} {last.strip()}"
-        return " ".join(span.casefold().split())
-    if kind == "email":
-        span = re.sub(r"\s?[\[({]at[\])}]\s?|\sAT\s", "@", span, flags=re.IGNORECASE if "(" in span or "[" in span else 0)
-        return re.sub(r"\s?[\[({]dot[\])}]\s?|\sDOT\s", ".", span, flags=re.IGNORECASE).replace(" ", "").casefold()
-    if kind in ("phone", "id_number"):
-        return re.sub(r"\W", "", span).casefold()
-    return " ".join(span.casefold().split())
-
-
-def surrogate_of(kind: str, name: str, key: bytes, attempt: int = 0) -> str:
-    """A replacement for an entity's normalised text: same length, letters for letters, digits for digits."""
-    seed = hmac.new(key, f"{kind}\x00{name}\x00{attempt}".encode(), hashlib.sha256).digest()
-    stream = b""
-    while len(stream) < 2 * len(name):
-        stream += hashlib.sha256(seed + len(stream).to_bytes(4, "big")).digest()
-    out, vowels, consonants = [], "aeiou", "bdfgklmnprstvz"
-    keep = kind == "email"
-    for i, c in enumerate(name):
-        n = int.from_bytes(stream[2 * i : 2 * i + 2], "big")
-        if c.isdigit():
-            out.append(str(n % 10))
-        elif not c.isalpha() or keep and "@" in name[:i] and "." in name[name.index("@") : i]:
-            out.append(c)  # marks, and the end of a domain
-        elif c in "aeiouyàáâäèéêëìíîïòóôöùúûü":
-            out.append(vowels[n % 5])
-        else:
-            out.append(consonants[n % 14])
-    return "".join(out)
 
+@lru_cache(maxsize=4096)
+def _script(letter: str) -> str:
+    return unicodedata.name(letter, "LATIN").split(" ")[0].split("-")[0]
 
-def _cased(letter: str, like: str) -> str:
-    return letter.upper() if like.isupper() else letter
 
+@lru_cache(maxsize=4096)
+def _neighbours(letter: str) -> str:
+    """Letters of the same script near ``letter``, for scripts without an alphabet here."""
+    first, script = ord(letter) & ~63, _script(letter)
+    return "".join(c for c in map(chr, range(first, first + 64)) if c.isalpha() and _script(c) == script and c.lower() == c) or letter
 
-def dressed(kind: str, span: str, replacement: str) -> str:
-    """The surrogate in the form of the span: its marks and the case of its letters."""
-    if kind == "name" and "," in span:
-        last = span.split(",", 1)[0].strip()
-        words = replacement.split(" ")
-        k = len(last.split(" "))
-        replacement = " ".join(words[-k:] + words[:-k])
-    letters = iter([c for c in replacement if c.isalnum()])
-    spelled = {m.start() + i for m in re.finditer(r"(?i)[\[({](?:at|dot)[\])}]|\s(?:AT|DOT)\s", span) for i in range(len(m.group()))} if kind == "email" else set()
-    out = []
-    for i, c in enumerate(span):
-        out.append(_cased(next(letters, c), c) if c.isalnum() and i not in spelled else c)
-    return "".join(out)
 
+class _Stream:
+    """Numbers from a keyed hash."""
 
-_TABLE = "kind string, entity string"
+    def __init__(self, key: bytes, *parts: str):
+        self.seed, self.n, self.left = hmac.new(key, "\x00".join(parts).encode(), hashlib.sha256).digest(), 0, b""
 
+    def below(self, n: int) -> int:
+        if len(self.left) < 4:
+            self.left = hashlib.sha256(self.seed + self.n.to_bytes(4, "big")).digest()
+            self.n += 1
+        got, self.left = int.from_bytes(self.left[:4], "big"), self.left[4:]
+        return got % n
 
-def entities(details: DataFrame) -> DataFrame:
-    """Distinct (kind, entity) of a frame with ``details``."""
+    def one(self, of):
+        return of[self.below(len(of))]
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["entity"] = [entity(k, s) for k, s in zip(frame["kind"], frame["span"])]
-            yield frame[["kind", "entity"]].drop_duplicates()
 
-    flat = details.select(F.explode("details").alias("d")).select("d.kind", "d.span").distinct()
-    return flat.mapInPandas(batches, _TABLE).distinct()
+def _letter(c: str, stream: _Stream) -> str:
+    known = ALPHABETS.get(_script(c))
+    if not known:
+        return stream.one(_neighbours(c))
+    return stream.one(known[0] if c in known[0] or c in _OTHER_VOWELS else known[1])
 
 
-def surrogates(known: DataFrame, key: str, rounds: int = 20) -> DataFrame:
-    """(kind, entity, surrogate), one to one within a kind and never a real entity.
+def _drawn_run(run: str, stream: _Stream, more: int = 0, gender: str = "") -> str:
+    """A pronounceable run of letters as long as ``run``, ``more`` syllables longer, ending by gender."""
+    known = ALPHABETS.get(_script(run[0]))
+    if not known:
+        return "".join(_letter(c, stream) for c in run) + "".join(stream.one(_neighbours(run[-1])) for _ in range(more))
+    sides = (known[1], known[0]) if run[0] not in known[0] and run[0] not in _OTHER_VOWELS else (known[0], known[1])
+    size = len(run) + 2 * more
+    word = [stream.one(sides[i % 2]) for i in range(size)]
+    if gender and size > 1:
+        word[-1] = known[2][gender]
+    return "".join(word)
+
+
+def surrogate_of(kind: str, name: str, key: bytes, attempt: int = 0, gender: str = "") -> str:
+    """A replacement for an entity's normalised text: words for words, letters for letters, digits for digits."""
+    stream, more = _Stream(key, kind, name, str(attempt)), attempt // GROWS
+    if kind == "name":
+        words = name.split(" ")
+        out = []
+        for i, word in enumerate(words):
+            runs = _RUN.findall(word)
+            if word in PARTICLES and 0 < i < len(words) - 1 or not runs:
+                out.append(word)
+            elif "." in word:
+                out.append(_RUN.sub(lambda m: _letter(m.group()[0], stream), word))
+            else:
+                first = gender or {ending: g for s in ALPHABETS.values() for g, ending in s[2].items()}.get(word[-1], "")
+                own = (first if i == 0 and len(words) > 1 else "", more if i == len(words) - 1 else 0)
+                out.append(_RUN.sub(lambda m, own=own: _drawn_run(m.group(), stream, own[1], own[0]), word))
+        if more and "." in words[-1]:
+            out.append(_drawn_run("ba" * more, stream))
+        return " ".join(out)
+
+    def changed(text: str) -> str:
+        return "".join(str(stream.below(10)) if c.isdigit() else _letter(c, stream) if c.isalpha() else c for c in text)
+
+    extra = "".join(str(stream.below(10)) for _ in range(more))
+    if kind == "email":
+        local, _, domain = name.partition("@")
+        host, dot, end = domain.partition(".")
+        return f"{extra}{changed(local)}@{changed(host)}{dot}{end}"
+    if kind == "address":
+        return re.sub(r"[^\W_]+", lambda m: _place(m.group(), changed), name) + extra
+    if kind == "phone":  # letters are those of "ext." or spelled digits
+        spelled = _DIGIT_WORD.sub(lambda m: stream.one(DIGIT_WORDS[len(m.group())]), name)
+        return re.sub("[0-9]", lambda m: str(stream.below(10)), spelled) + extra
+    return changed(name) + extra
+
+
+def _place(word: str, changed) -> str:
+    """A word of an address: words for streets stay, also at the end of a German one."""
+    if word in PLACES:
+        return word
+    end = next((e for e in STREET_ENDS if word.endswith(e) and len(word) > len(e)), "")
+    return changed(word[: len(word) - len(end)]) + end
+
+
+def _like(word: str, original: str) -> str:
+    """``word`` in capitals, with a capital at each part, or small, as ``original`` is."""
+    if len(original) > 1 and original.isupper():
+        return word.upper()
+    return _RUN.sub(lambda m: m.group()[0].upper() + m.group()[1:], word) if original[:1].isupper() else word
+
+
+def dressed(kind: str, span: str, known: str, replacement: str) -> str:
+    """The surrogate of the entity ``known`` in the form of the span: its order, marks and case."""
+    if kind == "name":
+        own = entity("name", span)
+        words, new = own.split(" "), replacement.split(" ")
+        if own != known:  # a short form of the entity
+            full = known.split(" ")
+            if len(words) > 1:
+                new = [new[0][0] + ".", *new[-1:]] if len(words) == 2 else [new[0][0] + ".", *words[1:-1], new[-1]]
+            else:
+                new = [new[0] if words[0] == full[0] else new[-1]]
+        if "," in span:
+            k = len(span.split(",", 1)[0].split())
+            order, originals = new[-k:] + new[:-k], span.replace(",", " ").split()
+            order = [_like(w, o) for w, o in zip(order, originals)] + order[len(originals) :]
+            return " ".join(order[:k]) + ", " + " ".join(order[k:])
+        originals = span.split()
+        return " ".join(_like(w, originals[min(i, len(originals) - 1)]) for i, w in enumerate(new))
+    places = {m.start() + i for m in _SPELLED.finditer(span) for i in range(len(m.group()))} if kind == "email" else set()
+    letters = [c for c in replacement if c.isalnum()]
+    held = sum(c.isalnum() and i not in places for i, c in enumerate(span))
+    extra = len(letters) - held
+    before, body = ("".join(letters[:extra]), letters[extra:]) if kind == "email" and extra > 0 else ("", letters)
+    out, at = [], 0
+    for i, c in enumerate(span):
+        if c.isalnum() and i not in places:
+            out.append(body[at].upper() if c.isupper() else body[at])
+            at += 1
+        else:
+            out.append(c)
+    return before + "".join(out) + "".join(body[at:])
 
-    Each round draws for the entities still open and keeps a draw only if no other
-    entity holds it. Draws of different lengths never meet, so short numbers, where a
-    kind could run out, end in the last step: they get their place in the list appended.
+
+# ---------------------------------------------------------------- the table of surrogates
+
+
+def entities(details: DataFrame) -> DataFrame:
+    """(kind, entity, gender) of a frame with ``details``: one row each, the gender most mentions tell."""
+    flat = details.select(F.explode("details").alias("d")).groupBy("d.kind", "d.entity").agg(F.sum(F.expr("int(d.gender = 'f') - int(d.gender = 'm')")).alias("n"))
+    return flat.select("kind", "entity", F.when(F.col("n") > 0, "f").when(F.col("n") < 0, "m").otherwise("").alias("gender"))
+
+
+def surrogates(known: DataFrame, key: str, taken: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """(kind, entity, surrogate), one to one within a kind; neither it nor a short form is a real text.
+
+    ``taken`` has further real texts in ``real``. Each round the entities still open make a
+    few draws; of a draw several want the first gets it, and an entity keeps its first.
+    An entity open after all rounds fails the job, so that no real text is let through.
     """
     secret = key.encode()
 
-    def drawn(attempt: int):
+    def drawn(first: int):
         def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                frame["surrogate"] = [surrogate_of(k, e, secret, attempt) for k, e in zip(frame["kind"], frame["entity"])]
-                yield frame
+                rows = []
+                for kind, name, gender in zip(frame["kind"], frame["entity"], frame["gender"]):
+                    for attempt in range(first, first + DRAWS):
+                        new = surrogate_of(kind, name, secret, attempt, gender)
+                        rows.append((kind, name, attempt, new, [new, *(short_forms(new) if kind == "name" else [])]))
+                yield pd.DataFrame(rows, columns=["kind", "entity", "attempt", "surrogate", "forms"])
 
         return batches
 
-    known = cut(known, "entities")
-    real = known.select("kind", F.col("entity").alias("surrogate"))
-    done, open_ = None, known
-    for attempt in range(rounds):
-        draw = open_.mapInPandas(drawn(attempt), f"{_TABLE}, surrogate string").join(real, ["kind", "surrogate"], "left_anti")
+    if "gender" not in known.columns:
+        known = known.withColumn("gender", F.lit(""))
+    known = cut(known.select("kind", "entity", "gender"), "entities")
+    real = known.select(F.col("entity").alias("real"))
+    real = cut((real if taken is None else real.union(taken.select("real"))).distinct(), "real")
+    done: DataFrame | None = None
+    open_ = known
+    for number in range(rounds):
+        draws = open_.mapInPandas(drawn(number * DRAWS), "kind string, entity string, attempt int, surrogate string, forms array<string>")
+        draws = cut(draws, "draws")
+        barred = draws.select("kind", "entity", "attempt", F.explode("forms").alias("real")).join(real, "real", "left_semi").select("kind", "entity", "attempt").distinct()
+        free = draws.drop("forms").join(barred, ["kind", "entity", "attempt"], "left_anti")
         if done is not None:
-            draw = draw.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        kept = draw.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity")).select("kind", "entity", "surrogate")
-        done = cut(kept if done is None else done.unionByName(kept), "surrogates")
+            free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
+        won = free.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("w"))
+        kept = won.groupBy("kind", "w.entity").agg(F.min(F.struct("w.attempt", "surrogate")).alias("k")).select("kind", "entity", F.col("k.surrogate").alias("surrogate"))
+        kept = cut(kept, "surrogates")
+        done = kept if done is None else done.unionByName(kept)
         open_ = known.join(done, ["kind", "entity"], "left_anti")
         if open_.isEmpty():
             return done
-    rest = open_.withColumn("surrogate", F.concat("entity", F.lit("-"), F.sha2(F.concat_ws("|", F.lit(key), "kind", "entity"), 256)))
-    return done.unionByName(rest)
+    raise RuntimeError(f"entities without a free surrogate after {rounds} rounds")
 
 
-def replaced(df: DataFrame, key: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with each detail replaced by its entity's surrogate in the form of the original."""
-    details = cut(detected(df.select(doc, text), text).filter(F.size("details") > 0), "details")
-    table = surrogates(entities(details), key)
+def _flat(details: DataFrame, key: str, ids: list[str]) -> DataFrame:
+    """(ids..., start, end, kind, span, new) of a written frame with ``details``."""
+    flat = details.select(*ids, F.explode("details").alias("d")).select(*ids, "d.*")
+    table = surrogates(entities(details), key, flat.select(F.col("own").alias("real")).distinct())
+
+    @F.pandas_udf("string")
+    def form(kinds: pd.Series, originals: pd.Series, known: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([dressed(*x) for x in zip(kinds, originals, known, new)])
+
+    return flat.join(table, ["kind", "entity"]).select(*ids, "start", "end", "kind", "span", form("kind", "span", "entity", "surrogate").alias("new"))
 
-    def named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["entity"] = [entity(k, s) for k, s in zip(frame["kind"], frame["span"])]
-            yield frame
 
-    flat = details.select(doc, F.explode("details").alias("d")).select(doc, "d.start", "d.end", "d.kind", "d.span")
-    kind = df.schema[doc].dataType.simpleString()
-    flat = flat.mapInPandas(named, f"`{doc}` {kind}, start int, end int, kind string, span string, entity string")
+def replacements(df: DataFrame, key: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, start, end, kind, span, new): every detail of every text with what replaces it."""
+    details = cut(spread(detected(df.select(doc, text), text).filter(F.size("details") > 0).select(doc, "details")), "details")
+    return _flat(details, key, [doc])
+
+
+def replaced(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``df`` with each detail replaced by its entity's surrogate in the form of the original."""
+    rows = cut(detected(df, text).withColumn("_row", F.monotonically_increasing_id()), "details")
+    some = rows.filter(F.size("details") > 0)
+    new = _flat(some.select("_row", "details"), key, ["_row"])
+    # A row's list holds the details of one text.
+    lists = new.groupBy("_row").agg(F.collect_list(F.struct("start", "end", "new")).alias("_new"))
 
     @F.pandas_udf("string")
-    def form(kinds: pd.Series, originals: pd.Series, new: pd.Series) -> pd.Series:
-        return pd.Series([dressed(k, o, n) for k, o, n in zip(kinds, originals, new)])
-
-    lists = (
-        flat.join(table, ["kind", "entity"])
-        .withColumn("new", form("kind", "span", "surrogate"))
-        .groupBy(doc)
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "new"))).alias("_new"))
-    )
-    got = df.join(lists, doc, "left").withColumn("_text", F.col(text))
-    return got.withColumn(text, F.when(F.col("_new").isNotNull(), _pieces(F.col("_new"), lambda d: d["new"])).otherwise(F.col(text))).drop("_text", "_new")
+    def placed(texts: pd.Series, parts: pd.Series) -> pd.Series:
+        return pd.Series([_spliced(t, [(p["start"], p["end"], p["new"]) for p in ps]) for t, ps in zip(texts, parts)])
+
+    got = some.drop("details").join(lists, "_row").withColumn(text, placed(text, "_new")).drop("_new")
+    return rows.filter(F.size("details") == 0).drop("details").unionByName(got).select(*df.drop("details").columns)

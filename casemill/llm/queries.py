@@ -85,8 +85,9 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The personal details in the documents, as written."""
-    return pii.found(table(spark, folder, "documents", "doc_id", "text"))
+    """The personal details in the documents, as written: those the surrogate operator replaces."""
+    got = pii.replacements(table(spark, folder, "documents", "doc_id", "text"), SURROGATE_KEY)
+    return got.filter("new is not null").select("doc_id", "kind", "span").distinct()
 
 
 def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from casemill.llm import canon, cooccur, mixing, pii, survivor, tokens
+from casemill.llm import canon, cooccur, details, mixing, pii, survivor, tokens
 from casemill.llm.bktree import BKTree, plain_distance
 
 VOCABULARY = Path(tokens.DEFAULT_VOCABULARY)
@@ -62,6 +62,19 @@ def test_canonical_and_shards(spark):
     sharded = {(r["report_id"], r["raw_value"]): r["substance_id"] for r in canon.canonical([("f", df)], reference, ["report_id", "drug_seq"], 2).collect()}
     assert sharded == got
     assert canon.canonical([("f", df.limit(0))], reference, ["report_id", "drug_seq"]).count() == 0
+    assert canon.canonical([("f", df.limit(0))], reference, ["report_id", "drug_seq"], 2).count() == 0
+
+
+def test_no_result_depends_on_the_size_of_a_shard(spark):
+    """Protected names, chains and combinations over shards, ties, and beginnings."""
+    values = ["DELTAVIRANE, BOVNE 5 MG", "DELTAVIRANE, BOVINE\\ALPHANOLIDE", "ALPHANOLIDE-BETAMYCINE TAB", "OMEGALIN-ETHA-THETANOL", "BETAMYCINE (ALPHANOLIDE)", "BRANDALPHA (ALPHANOLID)", "BETAMYC", "ET-HATHETANOL",
+              "GAMMASTATIN", "TIEA", "TIEB", "TIE", "ALPHAN0L1DE", "XYLOPHONIUM", "?", "A-B-C", "OMEGALIN, DELTAVIRANE, BOVINE", "ALPHANOLIDE AND XYLOPHONIUM"]
+    reference = spark.createDataFrame([*SUBSTANCES, ("TIECA", 8), ("TIECB", 9), ("TIECC", 9), ("ALPHANOLID-E", 7)], "name string, substance_id bigint")
+    df = spark.createDataFrame([(v,) for v in values], "raw_value string")
+    whole = sorted(canon.mapped(df, reference).collect())
+    assert len(whole) == len(values) and len({r["substance_id"] for r in whole}) > 5
+    for size in (1, 3, 10):
+        assert sorted(canon.mapped(df, reference, size).collect()) == whole
 
 
 def pair_loops(rows, support):
@@ -202,30 +215,109 @@ FOUND = {
     ],
 )
 def test_details(text, found):
-    assert {(s.kind, text[s.start : s.end]) for s in pii.spans(text)} == found
+    assert {(s.kind, text[s.start : s.end]) for s in details.spans(text)} == found
+
+
+# Written for this test, in words and with names the tables do not use.
+GENERAL = [
+    ("Dr. Emily Watson called about the event.", "name", "Emily Watson"), ("My name is Peter Brown.", "name", "Peter Brown"), ("Patient Maria Garcia reports pain.", "name", "Maria Garcia"),
+    ("I talked to the nurse, Sarah O'Neill, on Monday.", "name", "Sarah O'Neill"), ("The caller's mother, Mrs. Anna-Lena Krüger, was present.", "name", "Anna-Lena Krüger"),
+    ("His son Mark drove him to the ward.", "name", "Mark"), ("Please forward questions to Prof. J. R. Hill, Dept of Surgery.", "name", "J. R. Hill"), ("Sincerely,\nJonathan Miller", "name", "Jonathan Miller"),
+    ("Patient name: Li Wei; date of birth unknown.", "name", "Li Wei"), ("Karen Smith said the tablets were bitter.", "name", "Karen Smith"), ("Herr Weber rief am Montag an.", "name", "Weber"),
+    ("Telefonat mit Frau Dr. Sabine Vogel am Dienstag.", "name", "Sabine Vogel"), ("Entretien avec Mme Claire Dubois hier.", "name", "Claire Dubois"), ("Se habló con el médico, Juan Pérez, ayer.", "name", "Juan Pérez"),
+    ("La paciente Lucía Fernández refiere dolor.", "name", "Lucía Fernández"), ("REPORTED BY DR HELEN MARSH ON FRIDAY.", "name", "HELEN MARSH"), ("Consumer Thomas Lee phoned on Sunday.", "name", "Thomas Lee"),
+    ("The physician, Dr. Ahmed Khan, stopped the drug.", "name", "Ahmed Khan"), ("Interview with Olga Petrova took place.", "name", "Olga Petrova"), ("her daughter Susan answered the phone", "name", "Susan"),
+    ("Signed: M. Rossi, MD", "name", "M. Rossi"), ("The husband of the patient met with Ivan Dragunov at noon.", "name", "Ivan Dragunov"), ("Reported by: Chloe Bennett, RN", "name", "Chloe Bennett"),
+    ("Correspondence: c/o Ruth Adler, 3rd floor", "name", "Ruth Adler"), ("Elena wrote that her rash is gone.", "name", "Elena"), ("Ms Ngozi Okafor, a pharmacist, called.", "name", "Ngozi Okafor"),
+    ("Write to jane.doe+ae@mail.example.org today.", "email", "jane.doe+ae@mail.example.org"), ("Contact me: bob (at) clinic (dot) example", "email", "bob (at) clinic (dot) example"),
+    ("Her address is 12 Old Mill Road, Springfield, IL 62704.", "address", "12 Old Mill Road, Springfield, IL 62704"), ("He lives at 45 Baker Street, London NW1 6XE.", "address", "45 Baker Street, London NW1 6XE"),
+    ("Wohnhaft: Lindenstraße 4, 10969 Berlin.", "address", "Lindenstraße 4, 10969 Berlin"), ("Domicile : 8 rue de la Paix, 75002 Paris.", "address", "8 rue de la Paix, 75002 Paris"),
+    ("Calle Mayor 10, 28013 Madrid es su domicilio.", "address", "Calle Mayor 10, 28013 Madrid"), ("Ship it to 7 Elm Ct, Dayton.", "address", "7 Elm Ct, Dayton"),
+    ("SSN 123-45-6789 was on the chart.", "id_number", "123-45-6789"), ("Passport number: C01234567 copied.", "id_number", "C01234567"), ("DNI 12345678Z en el expediente.", "id_number", "12345678Z"),
+    ("NHS number 943 476 5919 verified.", "id_number", "943 476 5919"), ("National Insurance no. QQ 12 34 56 C.", "id_number", "QQ 12 34 56 C"), ("Social security number is 078-05-1120.", "id_number", "078-05-1120"),
+    ("Reisepass Nr. C01X00T47 lag vor.", "id_number", "C01X00T47"), ("Cell 415-555-0134, evenings only.", "phone", "415-555-0134"), ("You can reach her at (555) 123-4567 or by mail.", "phone", "(555) 123-4567"),
+    ("Tel. 030 1234567", "phone", "030 1234567"), ("Call me on +44 20 7946 0958 please.", "phone", "+44 20 7946 0958"), ("Fax: 212-555-0199.", "phone", "212-555-0199"),
+    ("Rückruf bitte unter 0171 5551234.", "phone", "0171 5551234"), ("Her work number: 020 7946 0123.", "phone", "020 7946 0123"), ("Móvil 612 345 678 por las tardes.", "phone", "612 345 678"),
+]
+PLAIN = [
+    "The Mayo Clinic confirmed the result.", "Muscle biopsy confirmed the diagnosis.", "Dose 100-200-3000 mg was given on 2014-05-06.", "Case ID 12345678 was closed.", "Batch no. AB1234567 expired.",
+    "Protocol 123-45-67 ended.", "Spoke with the patient about it.", "The nurse, however, called.", "Stevens-Johnson syndrome was reported.", "Patient was well. Reporter agreed.", "Subject 415-555 stopped.",
+    "The physician was informed.", "Her husband agreed.", "Symptoms began at 8:20 and eased by noon.", "Signed on Monday.", "The case was described in NCT01234567 and ref. 144.",
+]
+
+
+def test_details_of_other_texts():
+    hits = [any(s.kind == kind and text[s.start : s.end] == span for s in details.spans(text)) for text, kind, span in GENERAL]
+    assert sum(hits) >= 0.9 * len(hits)
+    assert sum(bool(details.spans(text)) for text in PLAIN) <= 0.1 * len(PLAIN)
 
 
 def test_redaction_and_surrogates(spark):
     texts = [TEXT, None, "", "no details", "Spoke with Vanda de Torrin about it. 👩🏽 Mail vanda.t@torrmail.co.example now.", "Signed TORRIN Vanda", TEXT + " x" * 20_000]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("details", F.lit("clash"))
-    got = {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()}
+    rows = [*enumerate(texts), (4, texts[4]), (None, texts[4]), (4, "Signed Dr. Pelm Oskarn")]  # repeated, NULL and clashing keys
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("details", F.lit("clash"))
+    got = {r["doc_id"]: r["text"] for r in pii.redacted(df.limit(7)).collect()}
     assert got[1] is None and got[2] == "" and got[3] == "no details"
     assert got[4] == "Spoke with [NAME] about it. 👩🏽 Mail [EMAIL] now."
     assert got[0].count("[NAME]") == 4 and "Torrin syndrome" in got[0] and "Mrs [NAME]" in got[0]
-    new = {r["doc_id"]: r["text"] for r in pii.replaced(df.drop("details"), "k").collect()}
-    assert new[1] is None and new[2] == "" and new[3] == "no details" and len(new[0]) == len(TEXT)
-    assert not any(s in new[0] for _, s in FOUND) and "Flat" not in new[0].split("address: ")[1][:4]
-    one, two = new[0][len("Spoke with Mrs ") :].split(" about")[0], new[4][len("Spoke with ") :].split(" about")[0]
-    assert one == two and one[0].isupper()  # the same person in both texts
-    assert {r["doc_id"]: r["text"] for r in pii.replaced(df.drop("details"), "k").collect()} == new
-    assert {r["doc_id"]: r["text"] for r in pii.replaced(df.drop("details"), "other").collect()} != new
+    every = [(r["doc_id"], r["text"]) for r in pii.replaced(df.drop("details"), "k").collect()]
+    assert len(every) == len(rows) and sorted(x for _, x in every if x) == sorted(x for _, x in [(r["doc_id"], r["text"]) for r in pii.replaced(df.drop("details").repartition(7), "k").collect()] if x)
+    new = {k: t for k, t in every if k is None or k != 4}
+    four = sorted(t for k, t in every if k == 4)
+    assert new[1] is None and new[2] == "" and new[3] == "no details" and four.count(new[None]) == 2
+    assert not any(s in t for t in (new[0], new[6], *four) for _, s in FOUND) and "Flat 3, 12 Elmgate" not in new[0] and "St., " in new[0]
+    one, two = new[0][len("Spoke with Mrs ") :].split(" about")[0], new[None][len("Spoke with ") :].split(" about")[0]
+    assert one == two and one[0].isupper() and " de " in one and one.split(" ")[0].endswith("a")  # the same woman in both texts
+    assert {r["text"] for r in pii.replaced(df.drop("details"), "other").collect()} != {t for _, t in every}
+    assert pii.replaced(df.drop("details").limit(0), "k").count() == 0 and pii.redacted(df.limit(0)).count() == 0
+
+
+FORMS = [
+    ("name", "Li", ""), ("name", "Jane Smith", "f"), ("name", "SMITH, Jane", "f"), ("name", "Иван Петров", "m"), ("name", "田中太郎", ""), ("name", "Γιώργος Παπάς", "m"), ("name", "Vanda de Torrin", "f"),
+    ("name", "J. Smith", ""), ("name", "Anne-Marie O'Hara", "f"), ("email", "vanda.t AT torrmail DOT co.example", ""), ("email", "A.B@C-CLINIC.EXAMPLE", ""), ("email", "a [at] b (dot) example", ""),
+    ("phone", "(01632) 960336 ext. 77", ""), ("phone", "five five five, 0104", ""), ("phone", "5", ""), ("id_number", "QQ 12 34 56 Z", ""), ("address", "Flat 3, 12 Elmgate St.,\nNorbury NO4 7QZ", ""),
+    ("address", "TORSTRASSE 5, 00123 NORD", ""),
+]
+
+
+@pytest.mark.parametrize(("kind", "span", "gender"), FORMS)
+def test_forms_of_surrogates(kind, span, gender):
+    known = pii.entity(kind, span)
+    for attempt in (0, 1, 5, 9, 17, 40):
+        new = pii.surrogate_of(kind, known, b"k", attempt, gender)
+        text = pii.dressed(kind, span, known, new)
+        assert pii.entity(kind, text) == new  # what is checked is what is printed
+        assert {pii._script(c) for c in text if c.isalpha()} == {pii._script(c) for c in span if c.isalpha()}
+        assert text.isupper() == span.isupper()
+    if gender == "f" and " " in span:
+        assert new.split(" ")[0][-1] in "aаα"
+
+
+def test_short_forms_are_one_person():
+    text = "Spoke with Jane Smith about it. Reporter: J. Smith. Mrs Smith called. Signed Dr. Pelm Oskarn"
+    got = {d["span"]: d["entity"] for d in pii._details(text, details.spans(text))}
+    assert got == {"Jane Smith": "jane smith", "J. Smith": "jane smith", "Smith": "jane smith", "Pelm Oskarn": "pelm oskarn"}
+    assert pii.dressed("name", "J. Smith", "jane smith", "kasa torma") == "K. Torma" and pii.dressed("name", "SMITH", "jane smith", "kasa torma") == "TORMA"
+    assert pii.linked(["jane smith", "john smith", "smith"])["smith"] == "smith"  # either may be meant
 
 
 def test_surrogates_stay_distinct(spark):
-    rows = [("phone", str(i)) for i in range(10)] + [("name", f"a{c}") for c in "bcd"]
+    """Kinds that run out of draws of their length get longer ones, and never the real text."""
+    short = [a + b for a in "bdfg" for b in "aeiou"]
+    rows = [("phone", str(i)) for i in range(10)] + [("name", w) for w in short] + [("id_number", f"{i:02}") for i in range(100)]
     got = pii.surrogates(spark.createDataFrame(rows, "kind string, entity string"), "k").collect()
     assert len(got) == len(rows) and len({(r["kind"], r["surrogate"]) for r in got}) == len(rows)
-    assert not {r["surrogate"] for r in got} & {e for _, e in rows}
+    real = {e for _, e in rows}
+    assert not {pii.dressed(r["kind"], r["entity"], r["entity"], r["surrogate"]) for r in got} & real
+
+
+def test_no_real_name_is_printed(spark):
+    """All two-letter names of one kind at once: their draws are all real names."""
+    names = [n for a in "BDFGKLMNPRSTVZ" for b in "aeiou" if details.spans(f"Spoke with {(n := a + b)} about it.")]  # but function words
+    assert len(names) > 50
+    df = spark.createDataFrame([(i, f"Spoke with {n} about it.") for i, n in enumerate(names)], "doc_id bigint, text string")
+    printed = [r["text"][len("Spoke with ") : -len(" about it.")] for r in pii.replaced(df, "k").collect()]
+    assert len(set(printed)) == len(names) and not set(printed) & set(names)
 
 
 def test_queries_run_on_the_small_tables(spark, small):
