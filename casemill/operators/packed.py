@@ -8,7 +8,7 @@
     delimiter <- one of \\ / | ; + & ,  or the word AND, or a line break
 
 Alternatives are tried in order; one that fails gives its text back to the next, so a
-quote that is never closed is read as part of a bare value and flagged. ``protected``
+quote or bracket that is never closed is read as part of a bare value and flagged. ``protected``
 is a name of the reference list that holds a delimiter itself ("X, BOVINE"), also
 misspelt, cut short or followed by a salt.
 
@@ -54,26 +54,29 @@ class Grammar:
     def __init__(self, names: list[str]):
         self.whole = set(names)
         self.skeletons = {letters(n) for n in names}
-        self.protected = []
+        self.protected: list[tuple[str, str, set[str], int]] = []  # before and behind the first delimiter, bigrams, delimiters
         for name in names:
             if m := _DELIMITER.search(name):
                 head = letters(name[: m.start()])
-                self.protected.append((head, letters(name[m.end() :]), _bigrams(head)))
+                self.protected.append((head, letters(name[m.end() :]), _bigrams(head), sum(1 for _ in _DELIMITER.finditer(name))))
+        #: Delimiters to look at: as many as a name holds, one it was misspelt with, and the one behind it.
+        self.reach = max((p[3] for p in self.protected), default=0) + 2
         self.cache: dict[str, list[Value]] = {}
-        self.judged: dict[str, bool] = {}
+        self.judged: dict[tuple[str, bool], bool] = {}
 
-    def is_protected(self, text: str) -> bool:
+    def is_protected(self, text: str, whole: bool = False) -> bool:
         """``_protects``, remembered."""
-        if text not in self.judged:
+        if (text, whole) not in self.judged:
             if len(self.judged) >= CACHE:
                 self.judged.clear()
-            self.judged[text] = self._protects(text)
-        return self.judged[text]
+            self.judged[text, whole] = self._protects(text, whole)
+        return self.judged[text, whole]
 
-    def _protects(self, text: str) -> bool:
+    def _protects(self, text: str, whole: bool) -> bool:
         """Does ``text`` mean one name that holds a delimiter, allowing for misspelling and cutting?
 
-        What stands behind the delimiter must not be a name of its own.
+        What stands behind the delimiter must not be a name of its own. With ``whole`` the
+        name must have as many delimiters as the text, so that it is not cut short at one.
         """
         name = normalised_py(text)
         if name in self.whole:
@@ -86,14 +89,15 @@ class Grammar:
         if not tail or tail in self.skeletons:
             return False
         near_head, near_tail = max(2, len(head) // 6), max(2, len(tail) // 5)
-        grams = _bigrams(head)
+        grams, marks = _bigrams(head), sum(1 for _ in _DELIMITER.finditer(name)) if whole else 0
         return any(
-            abs(len(head) - len(first)) <= near_head
+            (not whole or n == marks)
+            and abs(len(head) - len(first)) <= near_head
             and len(tail) <= len(rest) + near_tail
             and len(grams & known) >= len(known) - 3 * near_head  # an edit breaks three bigrams at most
             and _distances(head, first, near_head)[-1] <= near_head
             and min(_distances(tail, rest, near_tail)) <= near_tail
-            for first, rest, known in self.protected
+            for first, rest, known, n in self.protected
         )
 
     def values(self, text: str | None) -> list[Value]:
@@ -158,13 +162,21 @@ class Grammar:
             shut = text.find(_CLOSE[text[at]], at)
             if shut > 0 and (shut + 1 == len(text) or _DELIMITER.match(text, shut + 1)):
                 return shut + 1, text[at + 1 : shut], "bracketed"
+            flags = "malformed_bracket" if shut < 0 else ""
         stops = []
-        for m in _DELIMITER.finditer(text, at):
-            if not self._inside(text, m):
-                stops.append(m)
-                if len(stops) == 3:
-                    break
-        ends = [m.start() for m in stops[1:]] + [len(text)] * (0 < len(stops) < 3)
+        if self.protected:
+            for m in _DELIMITER.finditer(text, at):
+                if not self._inside(text, m):
+                    stops.append(m)
+                    if len(stops) == self.reach:
+                        break
+        else:
+            stops = [m for m in _DELIMITER.finditer(text, at) if not self._inside(text, m)][:1]
+        ends = [m.start() for m in stops[1:]] + [len(text)] * (0 < len(stops) < self.reach)
+        # A name of many delimiters goes before one it begins with; a name cut short comes last.
+        for end in reversed(ends) if self.reach > 3 else ():
+            if self.is_protected(text[at:end], True):
+                return end, text[at:end], flags
         for end in ends:
             if self.is_protected(text[at:end]):
                 return end, text[at:end], flags
@@ -215,8 +227,11 @@ def split_values(df: DataFrame, text: str, keys: list[str], names: list[str]) ->
     """
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
+    # At most ``MAX_NAMES`` names, see ``names_of``.
+    sent = df.sparkSession.sparkContext.broadcast(names)
+
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grammar = Grammar(names)
+        grammar = Grammar(sent.value)
         for frame in frames:
             lists = [grammar.values(v) for v in frame[text]]
             out = frame[keys].copy()
