@@ -1,6 +1,6 @@
 """Delimited lines that do not parse: minimum-cost error parse.
 
-A line is read as a path through four states (field start, bare field, quoted field,
+A line is read as a path through a few states (field start, bare field, quoted field,
 closed quote). Reading a token costs nothing; inserting or deleting a quote or a
 delimiter costs one. Lines whose cheapest path to the header's field count costs
 nothing, and whose typed fields hold valid values, load; for the others the edits of
@@ -25,7 +25,10 @@ DELIMITER = "$"
 _TOKEN = re.compile(r'\$|"|[^$"]+')
 _ID = re.compile(r"[0-9]{1,18}(?:\.0)?")
 _UNSAFE = re.compile("[\x00-\x1f\x7f-\x9f�]")
-START, BARE, QUOTED, CLOSED = range(4)
+# NEW: nothing stands between the quotes so far.
+START, BARE, QUOTED, CLOSED, QUOTED_NEW, CLOSED_NEW = range(6)
+_QUOTE = {START: QUOTED_NEW, BARE: BARE, QUOTED: CLOSED, CLOSED: QUOTED, QUOTED_NEW: CLOSED_NEW, CLOSED_NEW: QUOTED}
+_OPEN, _SHUT = (QUOTED, QUOTED_NEW), (CLOSED, CLOSED_NEW)
 
 
 def split_line(line: str) -> list[str] | None:
@@ -60,19 +63,29 @@ def split_line(line: str) -> list[str] | None:
 def cheapest_edits(line: str, width: int) -> list[str]:
     """The edits of a cheapest path of ``line`` to ``width`` fields, each with its place.
 
-    The table holds, for each token, four states times the number of delimiters read
+    The table holds, for each token, six states times the number of delimiters read
     (at most ``width``), so the work is tokens x width. One empty field more than
     ``width`` is allowed at the end.
     """
-    if '"' not in line:
-        places = [m.start() for m in re.finditer(r"\$", line)]
-        more = len(places) + 1 - width
-        if more <= 0:
-            return [f"insert_delimiter@{len(line)}"] * -more
-        if more <= 2:
-            return [f"delete_delimiter@{p}" for p in places[-more:]]
-        return [f"insert_quote@{places[width - 2] + 1 if width > 1 else 0}", f"insert_quote@{len(line)}"]
+    return _few_edits(line, width) if '"' not in line else searched_edits(line, width)
+
+
+def _few_edits(line: str, width: int) -> list[str]:
+    """``searched_edits`` of a line without a quote, where the costs can be told: too few or too many delimiters."""
+    places = [m.start() for m in re.finditer(r"\$", line)]
+    more = len(places) + 1 - width
+    if more <= 0:
+        return [f"insert_delimiter@{len(line)}"] * -more
+    if line.endswith(DELIMITER):  # the one empty field that is allowed
+        more -= 1
+        places.pop()
+    if more <= 2:
+        return [f"delete_delimiter@{p}" for p in places[len(places) - more :]]
+    return [f"insert_quote@{places[width - 2] + 1 if width > 1 else 0}", f"insert_quote@{len(line)}"]
+
 
+def searched_edits(line: str, width: int) -> list[str]:
+    """The edits of a cheapest path, by dynamic programming over all tokens."""
     best: dict[tuple[int, int], tuple[int, tuple | None]] = {(START, 0): (0, None)}
 
     def relax(states: dict, at: int) -> dict:
@@ -81,12 +94,10 @@ def cheapest_edits(line: str, width: int) -> list[str]:
         for state in queue:
             (mode, count), (cost, path) = state, states[state]
             steps = []
-            if mode == QUOTED:
-                steps.append((CLOSED, count, "insert_quote"))
-            elif count < width:
+            if mode not in _OPEN and count < width:
                 steps.append((START, count + 1, "insert_delimiter"))
-            if mode in (START, CLOSED):
-                steps.append((QUOTED, count, "insert_quote"))
+            if mode != BARE:
+                steps.append((_QUOTE[mode], count, "insert_quote"))
             for new_mode, new_count, what in steps:
                 new = (new_mode, new_count)
                 if new not in states or states[new][0] > cost + 1:
@@ -103,21 +114,21 @@ def cheapest_edits(line: str, width: int) -> list[str]:
         states: dict = {}
         for (mode, count), (cost, path) in relax(best, at).items():
             if token == DELIMITER:
-                if mode == QUOTED:
-                    better(states, (mode, count), cost, path)
+                if mode in _OPEN:
+                    better(states, (QUOTED, count), cost, path)
                 elif count < width:
                     better(states, (START, count + 1), cost, path)
                 better(states, (mode, count), cost + 1, (f"delete_delimiter@{at}", path))
             elif token == '"':
-                better(states, ({START: QUOTED, BARE: BARE, QUOTED: CLOSED, CLOSED: QUOTED}[mode], count), cost, path)
+                better(states, (_QUOTE[mode], count), cost, path)
                 better(states, (mode, count), cost + 1, (f"delete_quote@{at}", path))
-            elif mode != CLOSED:
-                better(states, (QUOTED if mode == QUOTED else BARE, count), cost, path)
+            elif mode not in _SHUT:
+                better(states, (QUOTED if mode in _OPEN else BARE, count), cost, path)
         best = states
     ends = [
         value
         for (mode, count), value in relax(best, len(line)).items()
-        if mode != QUOTED and (count == width - 1 or count == width and mode == START)
+        if mode not in _OPEN and (count == width - 1 or count == width and mode in (START, CLOSED_NEW))
     ]
     edits, path = [], min(ends, key=lambda x: x[0])[1]
     while path:
@@ -131,9 +142,12 @@ def read_line(line: str, width: int, id_at: int, name_at: int) -> tuple[list[str
     fields = split_line(line)
     if fields is not None and len(fields) == width + 1 and fields[-1] == "":
         fields.pop()
+    # A path that costs nothing proves the line; for all others the cheapest path decides.
     if fields is None or len(fields) != width:
         kind = "quoting" if fields is None else "field_count"
-        return None, f"{kind}: " + " ".join(cheapest_edits(line, width))
+        edits = cheapest_edits(line, width)
+        if edits:
+            return None, f"{kind}: " + " ".join(edits)
     if id_at >= 0 and not _ID.fullmatch(fields[id_at].strip()):
         return None, "report_id: not 1 to 18 digits"
     if name_at >= 0:

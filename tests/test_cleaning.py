@@ -79,6 +79,24 @@ def test_cheapest_edits_against_search():
             assert got == want, (line, width, got, want)
 
 
+def test_few_edits_against_the_table():
+    rng = random.Random(6)
+    assert len(badrows.cheapest_edits("1$b$c$d$", 3)) == 1
+    for _ in range(400):
+        line, width = "".join(rng.choice("ab$$") for _ in range(rng.randint(0, 9))), rng.randint(1, 5)
+        assert len(badrows.cheapest_edits(line, width)) == len(badrows.searched_edits(line, width)), (line, width)
+
+
+def test_a_path_without_edits_is_the_split():
+    """The table finds cost 0 exactly where the splitter gives the header's count of fields."""
+    rng = random.Random(7)
+    for _ in range(600):
+        line, width = "".join(rng.choice('a"$') for _ in range(rng.randint(0, 9))), rng.randint(1, 4)
+        fields = badrows.split_line(line)
+        free = fields is not None and (len(fields) == width or len(fields) == width + 1 and fields[-1] == "")
+        assert free == (not badrows.searched_edits(line, width)), (line, width)
+
+
 @pytest.mark.parametrize(
     ("line", "fields"),
     [("1$a", ["1", "a"]), ('1$"a$b"', ["1", "a$b"]), ('1$"a ""b"""', ["1", 'a "b"']), ("1$a$", ["1", "a"]), ("12345678901234567.0$x", ["12345678901234567.0", "x"]), ('1$5" tip', ["1", '5" tip'])],
