@@ -3,88 +3,66 @@
 The total is the largest at which every source can give its share within its repeats.
 A source's budget is used up by whole rounds over the source, then by a cut: records get
 hash-random keys, the keys are ranges of equal width (a range sort by construction), the
-ranges' sums are summed up over each source, and only the one range in which the budget
-ends is ordered record by record. No source is ever sorted or collected as a whole.
+ranges' sums are summed up over each source in a window, and only the one range in which
+the budget ends is ordered record by record. No source is ever sorted as a whole, and
+neither sums nor targets go through the driver.
 
 Defined results: records of sources without target, and targets without records, are
 left out; the shares of the targets that have tokens are scaled to 1, and the report
-lists the others with 0. Records without tokens cost nothing. A tie of keys is broken by
-the record's id. The last record that still fits the budget is the last taken, so a
-source's tokens fall short of its budget by less than one record.
+lists the others with 0. A target named twice counts once, with its largest share and
+cap. Records without tokens cost nothing. A tie of keys is broken by the record's id.
+A record is taken while half of it fits the rest of the budget, so a source's tokens
+miss its budget by half a record at most.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Targets are few; this is the largest list the driver takes.
-MAX_TARGETS = 10_000
-BITS = 12
+#: A source is 2**BITS ranges: a range of 10**10 records has some 150,000.
+BITS = 16
+
 
+def _wanted(targets: DataFrame) -> DataFrame:
+    """(source, share, cap) of the targets, each source once."""
+    named = targets.filter("source is not null and target_share is not null")
+    return named.groupBy("source").agg(F.max("target_share").cast("double").alias("share"), F.max("max_repeats").cast("bigint").alias("cap"))
 
-class Budget(NamedTuple):
-    source: str
-    share: float
-    rounds: int
-    rest: int
 
+def budgets(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, rounds, rest): whole rounds and rest of each source that has tokens, a positive share and a cap.
 
-def budgets(sizes: dict[str, int], targets: dict[str, tuple[float, int]]) -> list[Budget]:
-    """Whole rounds and rest of each source that has tokens, a positive share and a cap."""
-    usable = {s: (share, cap) for s, (share, cap) in targets.items() if sizes.get(s, 0) > 0 and share > 0 and cap > 0}
-    whole = sum(share for share, _ in usable.values())
-    if not usable:
-        return []
-    total = min(cap * sizes[s] / (share / whole) for s, (share, cap) in usable.items())
-    out = []
-    for source, (share, cap) in sorted(usable.items()):
-        budget = min(int(total * share / whole + 1e-6), cap * sizes[source])
-        out.append(Budget(source, share, *divmod(budget, sizes[source])))
-    return out
+    ``sizes`` is (source, size), the tokens of each source.
+    """
+    usable = _wanted(targets).join(sizes, "source").filter("size > 0 and share > 0 and cap > 0")
+    whole = usable.agg(F.sum("share").alias("whole"))
+    scaled = usable.join(F.broadcast(whole)).withColumn("part", F.col("share") / F.col("whole"))  # a single row
+    total = scaled.agg(F.min(F.col("cap") * F.col("size") / F.col("part")).alias("total"))
+    # The small number keeps a budget that is whole from falling below itself in the product.
+    budget = F.least(F.floor(F.col("total") * F.col("part") + 1e-6), F.col("cap") * F.col("size"))
+    split = scaled.join(F.broadcast(total)).withColumn("budget", budget)  # a single row
+    return split.select("source", F.floor(F.col("budget") / F.col("size")).cast("int").alias("rounds"), (F.col("budget") % F.col("size")).alias("rest"))
 
 
 def selection(sized: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 17) -> DataFrame:
     """(key, source, n_tokens, times) of the records taken; ``sized`` has key, source, n_tokens and is read twice."""
-    wanted = {
-        r["source"]: (r["target_share"], r["max_repeats"])
-        for r in targets.filter("source is not null and target_share is not null").limit(MAX_TARGETS + 1).collect()
-    }
-    if len(wanted) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets")
-    keyed = sized.filter(F.col("source").isin(list(wanted)) if wanted else F.lit(False)).select(
+    keyed = sized.select(
         key, "source", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"), F.xxhash64(F.lit(seed), F.col(key)).alias("_key")
-    )
-    keyed = keyed.withColumn("_range", F.shiftrightunsigned("_key", 64 - BITS).cast("int"))
-    # At most 2**BITS sums per target source.
-    sums = keyed.groupBy("source", "_range").agg(F.sum("n_tokens").alias("n")).collect()
-    sizes: dict[str, int] = {}
-    ranges: dict[str, dict[int, int]] = {}
-    for r in sums:
-        sizes[r["source"]] = sizes.get(r["source"], 0) + r["n"]
-        ranges.setdefault(r["source"], {})[r["_range"]] = r["n"]
-    rounds = F.lit(None).cast("int")
-    cut_at = F.lit(None).cast("int")
-    left = F.lit(None).cast("bigint")
-    for b in budgets(sizes, wanted):
-        rest, place = b.rest, 1 << BITS
-        for at in sorted(ranges[b.source]):
-            if ranges[b.source][at] > rest:
-                place = at
-                break
-            rest -= ranges[b.source][at]
-        own = F.col("source") == b.source
-        rounds = F.when(own, F.lit(b.rounds)).otherwise(rounds)
-        cut_at = F.when(own, F.lit(place if b.rest else -1)).otherwise(cut_at)
-        left = F.when(own, F.lit(rest).cast("bigint")).otherwise(left)
-    placed = keyed.withColumn("_rounds", rounds).withColumn("_cut", cut_at).withColumn("_left", left).filter("_rounds is not null")
+    ).withColumn("_range", F.shiftrightunsigned("_key", 64 - BITS).cast("int"))
+    sums = keyed.groupBy("source", "_range").agg(F.sum("n_tokens").alias("n"))
+    sizes = sums.groupBy("source").agg(F.sum("n").alias("size"))
+    order = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    ends = sums.join(budgets(sizes, targets), "source").withColumn("_sum", F.sum("n").over(order)).filter("_sum > rest")
+    # The first range in which the running sum passes the rest; nothing is cut where no rest is.
+    cuts = ends.groupBy("source").agg(F.first("rounds").alias("_rounds"), F.first("rest").alias("_rest"), F.min(F.struct("_range", (F.col("rest") - F.col("_sum") + F.col("n")).alias("left"))).alias("c"))
+    cuts = cuts.select("source", "_rounds", F.when(F.col("_rest") > 0, F.col("c._range")).otherwise(F.lit(-1)).alias("_cut"), F.col("c.left").alias("_left"))
+    placed = keyed.join(cuts, "source")
     inside = placed.filter("_range <> _cut").withColumn("times", F.col("_rounds") + (F.col("_range") < F.col("_cut")).cast("int"))
-    order = Window.partitionBy("source").orderBy(F.expr("_key"), key).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source").orderBy(F.expr("_key"), key).rowsBetween(Window.unboundedPreceding, 0)
     edge = (
         placed.filter("_range = _cut")
-        .withColumn("_sum", F.sum("n_tokens").over(order))
+        .withColumn("_sum", F.sum("n_tokens").over(within))
         .withColumn("times", F.col("_rounds") + (2 * F.col("_sum") - F.col("n_tokens") <= 2 * F.col("_left")).cast("int"))
         .drop("_sum")
     )

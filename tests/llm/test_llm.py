@@ -190,6 +190,14 @@ def test_mixture(spark):
     assert mixing.selection(sized, targets.limit(0)).count() == 0
 
 
+def test_mixture_of_very_many_sources(spark):
+    n = 10_000
+    sized = spark.range(3 * n).select(F.col("id").alias("doc_id"), F.format_string("s%05d", F.col("id") % n).alias("source"), (F.col("id") % 7 + 1).alias("n_tokens"))
+    targets = spark.range(n).select(F.format_string("s%05d", "id").alias("source"), F.lit(1.0).alias("target_share"), F.lit(2).alias("max_repeats"))
+    got = mixing.shares(mixing.selection(sized, targets), targets).agg(F.count(F.lit(1)).alias("n"), F.min("tokens").alias("low"), F.max("tokens").alias("high"), F.max("max_times").alias("times")).first()
+    assert got["n"] == n and 0 < got["low"] and got["high"] - got["low"] <= 7 and got["times"] <= 2
+
+
 TEXT = (
     "Spoke with Mrs Vanda de Torrin about the missing data. Signed Dr. Pelm Oskarn The patient, Torrin, Vanda, called back the next morning. "
     "Home address: Flat 3, 12 Elmgate St., Norbury NO4 7QZ. Mail vanda.t AT torrmail DOT co.example for the discharge letter. Her mobile is (01632) 960336 ext. 77. "
