@@ -47,11 +47,14 @@ def correlation(df: DataFrame, x: str, y: str, level: float = 0.95) -> DataFrame
     sums = both.agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r"))
     z = NormalDist().inv_cdf(1 - (1 - level) / 2)
 
-    @F.udf("double")
-    def p_value(n, r):
-        if r is None or n < 3 or abs(r) > 1:
-            return None
-        return 0.0 if abs(r) == 1 else student_p(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+    @F.pandas_udf("double")
+    def p_value(n: pd.Series, r: pd.Series) -> pd.Series:
+        def one(n: int, r: float) -> float | None:
+            if r != r or n < 3 or abs(r) > 1:
+                return None
+            return 0.0 if abs(r) == 1 else student_p(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+
+        return pd.Series([one(*x) for x in zip(n, r.astype("float64"))], dtype="float64")
 
     half = F.when(F.col("n") > 3, z / F.sqrt(F.greatest(F.col("n") - 3, F.lit(1))))
     middle = F.atanh("r")
@@ -132,9 +135,9 @@ def benjamini_hochberg(df: DataFrame, p: str, q: float = 0.05) -> DataFrame:
 
 
 def _arrays(df: DataFrame, columns: list[str]) -> pd.DataFrame:
-    """The pair list on the driver, behind a check of its size, in a fixed order."""
+    """The rows on the driver, behind a check of their number, in a fixed order."""
     if df.select(F.lit(1)).limit(MAX_PAIRS + 1).count() > MAX_PAIRS:
-        raise ValueError(f"more than {MAX_PAIRS} pairs for a replicated statistic")
+        raise ValueError(f"more than {MAX_PAIRS} rows for a replicated statistic")
     return df.select(*columns).orderBy(*columns).toPandas()
 
 
@@ -174,7 +177,7 @@ def permutation_test(pairs: DataFrame, implicated: DataFrame, n: int = 10_000, s
     implicated is drawn anew, their number kept. The statistic is the rate with both over
     the rate with neither; p counts the observed value among the replicates.
     """
-    listed = {r[0] for r in implicated.select("ingredient").distinct().limit(MAX_PAIRS).collect()}
+    listed = set(_arrays(implicated.select("ingredient").distinct(), ["ingredient"])["ingredient"])
 
     def enrichment(flags: np.ndarray, left: np.ndarray, right: np.ndarray, signal: np.ndarray) -> float:
         both, neither = flags[left] & flags[right], ~flags[left] & ~flags[right]

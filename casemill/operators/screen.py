@@ -73,10 +73,20 @@ def negative_pool(scored: DataFrame, controls: DataFrame, implicated: DataFrame,
     return rest.withColumn("stratum", F.when(top >= hard_rr, "hard").otherwise("easy")).drop("targets")
 
 
+#: Parts of a stratum that are ranked apart before the stratum is.
+SALTS = 64
+
+
 def sampled(pool: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """At most ``n`` pairs of each stratum by the order of a keyed hash: the same pairs in every run."""
-    order = Window.partitionBy("stratum").orderBy(F.xxhash64(F.lit(seed), "item_a", "item_b"), "item_a", "item_b")
-    return pool.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= n).drop("_rn")
+    """At most ``n`` pairs of each stratum by the order of a keyed hash: the same pairs in every run.
+
+    The first ``n`` of each of ``SALTS`` parts are taken first, so that a stratum is never sorted as a whole.
+    """
+    order = [F.xxhash64(F.lit(seed), "item_a", "item_b"), F.col("item_a"), F.col("item_b")]
+    salted = pool.withColumn("_salt", F.pmod(F.xxhash64("item_b", "item_a"), F.lit(SALTS)))
+    for by in (["stratum", "_salt"], ["stratum"]):
+        salted = salted.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rn") <= n).drop("_rn")
+    return salted.drop("_salt")
 
 
 def false_positive_rates(pool: DataFrame, threshold: float = 0.0, add: str = "omega_add_lower", mult: str = "omega_lower") -> DataFrame:

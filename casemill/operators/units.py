@@ -184,57 +184,72 @@ def shape_of(text: Column) -> tuple[Column, Column]:
 LOG_STEP = 0.05
 
 
-def custom_units(plain_values: DataFrame, source: str, value: str, named: str) -> DataFrame:
+def _median(bins: str, n: Column) -> Column:
+    """The first of the sorted (_bin, n) by which half of ``n`` is seen; NULL if there is nothing."""
+    return F.aggregate(
+        bins,
+        F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("median")),
+        lambda acc, b: F.struct(
+            (acc["seen"] + b["n"]).alias("seen"),
+            F.when(acc["median"].isNull() & (n > 0) & ((acc["seen"] + b["n"]) * 2 >= n), b["_bin"]).otherwise(acc["median"]).alias("median"),
+        ),
+    )["median"]
+
+
+#: log10 of the middle of ages in years where no value is named as years.
+TYPICAL = 1.7
+#: Nobody is older, in years.
+OLDEST = 130
+
+
+def custom_units(plain_values: DataFrame, source: str, value: str, named: str, years: str) -> DataFrame:
     """(source, custom_unit) of the sources that evidently record all values in another unit than years.
 
-    ``plain_values`` has a row per readable value: ``value``, and whether a unit is
-    ``named``. Per source the unnamed values are counted in log-spaced bins, so a source
-    of any size is a few hundred counters. The median of all values named as years is
-    the yardstick; a source's unit is the one that brings its median nearest to it. It
-    is evident if the source names hardly any unit itself (one value in twenty), has at
-    least five values, its largest bin is impossible as years (over 130), or, for
-    decades, none is over 13 and most are written with decimals.
+    ``plain_values`` has a row per readable value: ``value``, whether a unit is ``named``,
+    and whether it is named as ``years``. Per source the unnamed values are counted in
+    log-spaced bins, so a source of any size is a few hundred counters. The median of all
+    values named as years, whatever their source, is the yardstick; a source's unit is
+    the one that brings its median nearest to it. It is evident if the source names
+    hardly any unit itself (one value in twenty), has at least five values, and its
+    largest bin is impossible as years (over ``OLDEST``; then years and decades are out of
+    the question, however near) or, for decades, none is over 13 and most are written
+    with decimals.
     """
     bins = (
-        plain_values.filter((F.col(value) > 0) & F.col(source).isNotNull() & (F.trim(source) != ""))
+        plain_values.filter(F.col(value) > 0)
         .withColumn("_bin", F.floor(F.log10(value) / LOG_STEP).cast("int"))
         .groupBy(source, "_bin")
         .agg(
             F.count_if(~F.col(named)).alias("n"),
             F.count_if(F.col(named)).alias("n_named"),
+            F.count_if(F.col(years)).alias("n_years"),
             F.count_if(~F.col(named) & (F.col(value) != F.floor(value))).alias("n_decimal"),
         )
     )
-    lists = bins.groupBy(source).agg(
+    # A few hundred bins: the first by which half of the values named as years are seen.
+    per_bin = bins.groupBy("_bin").agg(F.sum("n_years").alias("n")).agg(F.array_sort(F.collect_list(F.struct("_bin", "n"))).alias("bins"), F.sum("n").alias("n"))
+    yardstick = per_bin.select(F.coalesce((_median("bins", F.col("n")) + 0.5) * LOG_STEP, F.lit(TYPICAL)).alias("typical"))
+    lists = bins.filter(F.col(source).isNotNull() & (F.trim(source) != "")).groupBy(source).agg(
         F.array_sort(F.collect_list(F.struct("_bin", "n"))).alias("bins"),
         F.sum("n").alias("n"),
         F.sum("n_named").alias("n_named"),
         F.sum("n_decimal").alias("n_decimal"),
         F.max(F.when(F.col("n") > 0, F.col("_bin"))).alias("top"),
     )
-    running = F.aggregate(
-        "bins",
-        F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("median")),
-        lambda acc, b: F.struct(
-            (acc["seen"] + b["n"]).alias("seen"),
-            F.when(acc["median"].isNull() & ((acc["seen"] + b["n"]) * 2 >= F.col("n")), b["_bin"]).otherwise(acc["median"]).alias("median"),
-        ),
-    )["median"]
-    typical = 1.7  # log10 of about 50 years, the middle of adult ages
+    lists = lists.join(F.broadcast(yardstick))  # a single row
     middle = (F.col("median") + 0.5) * LOG_STEP
-    nearest = F.array_min(
-        F.array(*(F.struct(F.abs(middle + F.log10(F.lit(f)) - typical).alias("far"), F.lit(u).alias("unit")) for u, f in YEARS.items()))
-    )["unit"]
     highest = F.pow(F.lit(10.0), F.col("top") * LOG_STEP)
+
+    def nearest(units: dict[str, float]) -> Column:
+        return F.array_min(F.array(*(F.struct(F.abs(middle + F.log10(F.lit(f)) - F.col("typical")).alias("far"), F.lit(u).alias("unit")) for u, f in units.items())))["unit"]
+
+    small = {u: f for u, f in YEARS.items() if f < 1}
+    decades = (nearest(YEARS) == "DEC") & (highest <= 13) & (F.col("n_decimal") * 2 > F.col("n"))
     return (
         lists.filter((F.col("n") >= 5) & (F.col("n_named") * 20 <= F.col("n")))
-        .withColumn("median", running)
-        .withColumn("custom_unit", nearest)
-        .filter(
-            F.when(F.col("custom_unit") == "DEC", (highest <= 13) & (F.col("n_decimal") * 2 > F.col("n")))
-            .when(F.col("custom_unit") == "YR", F.lit(False))
-            .otherwise(highest > 130)
-        )
+        .withColumn("median", _median("bins", F.col("n")))
+        .withColumn("custom_unit", F.when(highest > OLDEST, nearest(small)).when(decades, "DEC"))
+        .filter("custom_unit is not null")
         .select(source, "custom_unit")
     )
 
@@ -259,8 +274,9 @@ def ages(demo: DataFrame, text: str = "age", code: str = "age_cod", source: str
         .join(codes, "_code", "left")
         .withColumn("_value", F.when(F.col("_readable"), F.coalesce("_word", "_number")))
         .withColumn("_named", F.col("_text_unit").isNotNull() | (F.col("_code") != ""))
+        .withColumn("_years", F.coalesce(F.coalesce("_text_unit", "_code_unit") == "YR", F.lit(False)))
     )
-    custom = custom_units(joined.filter("_value is not null").select(source, "_value", "_named"), source, "_value", "_named")
+    custom = custom_units(joined.filter("_value is not null").select(source, "_value", "_named", "_years"), source, "_value", "_named", "_years")
     custom = custom.withColumnRenamed("custom_unit", "_custom")
     unit_from = (
         F.when(F.col("_value").isNull(), F.lit(None))

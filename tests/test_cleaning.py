@@ -45,6 +45,13 @@ def test_ages(spark):
     assert units.ages(spark.createDataFrame(rows, AGE)).count() == len(rows)
 
 
+def test_sender_of_children_in_months(spark):
+    """Values impossible as years are not years, however near their median is to an adult's age."""
+    rows = [(i, "A", str(40 + i), "YR", "q") for i in range(30)] + [(100 + i, "Child Ltd", str(5 * i + 3), None, "q") for i in range(40)]
+    got = units.ages(spark.createDataFrame(rows, AGE)).filter("report_id >= 100").select("age_unit").distinct().collect()
+    assert [r[0] for r in got] == ["MON"]
+
+
 def test_no_ages(spark):
     assert units.ages(spark.createDataFrame([], AGE)).count() == 0
 
