@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 ROLES = {"primary": ["PS", "SS", "I"], "sensitivity": ["PS", "SS", "I", "C"]}
 
 
+#: Items of a basket that one task takes as an array.
+BLOCK = 1000
+
+
 def raw_baskets(items: DataFrame, cases: DataFrame, policy: str = "primary") -> DataFrame:
     """Distinct (case_id, ingredient) of the surviving reports under a role policy."""
     rows = items.filter(F.upper(F.trim("role_cod")).isin(ROLES[policy])).select(
@@ -66,22 +70,64 @@ def top_items(single: DataFrame, n: int, order: str = "n_item_event", least: int
     return single.filter(F.col("n_item") >= least).orderBy(F.desc(order), "ingredient").limit(n)
 
 
-def pair_counts(rows: DataFrame, items: DataFrame | None = None, least: int = 1, keep: Sequence[str] = ()) -> DataFrame:
+def pair_rows(rows: DataFrame, carry: Sequence[str], largest: int | None = None) -> DataFrame:
+    """(carry..., item_a, item_b): a row per case and unordered pair of its items, a before b.
+
+    ``rows`` is (case_id, ingredient, carry...), the carried columns being the same in all
+    rows of a case. Each basket becomes one sorted array; from it the items after each
+    item are taken. ``largest`` is the size no basket exceeds, if the caller knows one;
+    without it, or beyond ``BLOCK``, a basket over ``BLOCK`` items is not made an array but
+    split into parts of about that size, each of which meets all items in a task of its own.
+    """
+    split = None
+    if largest is None or largest > BLOCK:
+        size = rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > BLOCK).withColumn("_parts", F.ceil(F.col("_size") / BLOCK).cast("int"))
+        large = rows.join(size.select("case_id", "_parts"), "case_id")
+        left = large.select("case_id", *carry, F.col("ingredient").alias("item_a"), F.pmod(F.xxhash64("ingredient"), F.col("_parts")).cast("int").alias("_part"))
+        right = large.select("case_id", F.col("ingredient").alias("item_b"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+        split = left.join(right, ["case_id", "_part"]).filter("item_a < item_b").select(*carry, "item_a", "item_b")
+        rows = rows.join(size, "case_id", "left_anti")
+    arrays = rows.groupBy("case_id").agg(F.array_sort(F.collect_list("ingredient")).alias("items"), *(F.max(c).alias(c) for c in carry))
+    heads = arrays.filter(F.size("items") > 1).select(*carry, "items", F.posexplode("items").alias("at", "item_a"))
+    pairs = heads.select(*carry, "item_a", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("item_b"))
+    return pairs if split is None else pairs.unionByName(split)
+
+
+def pair_counts(rows: DataFrame, items: DataFrame | None = None, least: int = 1, keep: Sequence[str] = (), largest: int | None = None) -> DataFrame:
     """(keep..., item_a, item_b, n_ab, n_abz) of unordered pairs, a before b.
 
-    Baskets are cut to ``items`` first. Each basket becomes one sorted array; from it the
-    items after each item are taken, and the pair counts are combined map-side before the
-    shuffle. The cap on basket size bounds the pairs of a case.
+    Baskets are cut to ``items`` first, and the counts of pairs are combined map-side before
+    the shuffle. ``keep`` are strata, the same in all rows of a case; for ``largest`` see
+    ``pair_rows``.
     """
     if items is not None:
         rows = rows.join(items.select("ingredient").distinct(), "ingredient", "left_semi")
-    arrays = rows.groupBy(*keep, "case_id").agg(F.array_sort(F.collect_list("ingredient")).alias("items"), F.bool_or("event").alias("event"))
-    heads = arrays.filter(F.size("items") > 1).select(*keep, "event", "items", F.posexplode("items").alias("at", "item_a"))
-    pairs = heads.select(*keep, "event", "item_a", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("item_b"))
-    counted = pairs.groupBy(*keep, "item_a", "item_b").agg(F.count(F.lit(1)).alias("n_ab"), F.count_if("event").alias("n_abz"))
+    counted = pair_rows(rows, [*keep, "event"], largest).groupBy(*keep, "item_a", "item_b").agg(F.count(F.lit(1)).alias("n_ab"), F.count_if("event").alias("n_abz"))
     return counted.filter(F.col("n_ab") >= least)
 
 
+def cap_sweep(raw: DataFrame, flags: DataFrame, caps: Sequence[int | None]) -> DataFrame:
+    """(cap, n_total, n_event, n_pairs, pair_rows) for several caps on the size of a basket; None is no cap.
+
+    ``flags`` is the population without a cap. A pair is there under a cap if its smallest
+    basket is, so all caps come from one pass over the pairs.
+    """
+    sizes = raw.groupBy("case_id").agg(F.count(F.lit(1)).alias("k"))
+    cases = flags.select("case_id", "is_core").join(sizes, "case_id", "left").fillna(0, ["k"])
+    least = pair_rows(raw.join(sizes, "case_id"), ["k"]).groupBy("item_a", "item_b").agg(F.min("k").alias("k"))
+    inside = {i: F.lit(True) if cap is None else F.col("k") <= cap for i, cap in enumerate(caps)}
+    pair_number = F.col("k") * (F.col("k") - 1) / 2
+    one = cases.agg(
+        *(F.count_if(w).alias(f"n{i}") for i, w in inside.items()), *(F.count_if(w & F.col("is_core")).alias(f"e{i}") for i, w in inside.items()),
+        *(F.coalesce(F.sum(F.when(w, pair_number)), F.lit(0)).cast("bigint").alias(f"r{i}") for i, w in inside.items()),
+    )
+    two = least.agg(*(F.count_if(w).alias(f"p{i}") for i, w in inside.items()))
+    each = F.array(
+        *(F.struct(F.lit(cap).cast("int").alias("cap"), *(F.col(f"{c}{i}").alias(n) for c, n in (("n", "n_total"), ("e", "n_event"), ("p", "n_pairs"), ("r", "pair_rows")))) for i, cap in enumerate(caps))
+    )
+    return one.join(F.broadcast(two)).select(F.explode(each).alias("x")).select("x.*")  # single rows
+
+
 def with_margins(pairs: DataFrame, single: DataFrame, whole: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """``pairs`` with n_a, n_az, n_b, n_bz, n_total and n_event; ``whole`` is one row per stratum."""
     a = single.select(*keep, F.col("ingredient").alias("item_a"), F.col("n_item").alias("n_a"), F.col("n_item_event").alias("n_az"))

@@ -8,6 +8,7 @@ control and implicated lists are data frames; they are joined, never collected.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,16 +43,40 @@ def ranked(pairs: DataFrame, score: str = "omega_add_lower") -> DataFrame:
     return pairs.orderBy(F.desc_nulls_last(score), "item_a", "item_b")
 
 
-def band_rates(pairs: DataFrame, threshold: Column | float, score: str = "omega_add_lower") -> DataFrame:
-    """(support, tested, signalled, rate, enrichment): the rate of each band against the unsupported one of the same rows."""
-    by = pairs.groupBy("support").agg(F.count(F.lit(1)).alias("tested"), F.count_if(F.col(score) > threshold).alias("signalled"))
+def band_rates(pairs: DataFrame, threshold: Column | float, score: str = "omega_add_lower", keep: Sequence[str] = ()) -> DataFrame:
+    """(keep..., support, tested, signalled, rate, enrichment): the rate of each band against the unsupported one of the same rows."""
+    by = pairs.groupBy(*keep, "support").agg(F.count(F.lit(1)).alias("tested"), F.count_if(F.col(score) > threshold).alias("signalled"))
     by = by.withColumn("rate", F.col("signalled") / F.col("tested"))
-    base = by.agg(F.max(F.when(F.col("support") == "unsupported", F.col("rate"))).alias("base"))
-    return by.join(F.broadcast(base)).select(  # a single row
-        "support", "tested", "signalled", F.round("rate", 6).alias("rate"), F.round(F.when(F.col("base") > 0, F.col("rate") / F.col("base")), 6).alias("enrichment")
+    base = by.groupBy(*keep).agg(F.max(F.when(F.col("support") == "unsupported", F.col("rate"))).alias("base"))
+    met = by.join(base, list(keep)) if keep else by.join(F.broadcast(base))  # a single row
+    return met.select(
+        *keep, "support", "tested", "signalled", F.round("rate", 6).alias("rate"), F.round(F.when(F.col("base") > 0, F.col("rate") / F.col("base")), 6).alias("enrichment")
     )
 
 
+def top_by_rate(pairs: DataFrame, least: int, k: int) -> DataFrame:
+    """The ``k`` pairs of at least ``least`` co-reports with the highest event rate, ties by name."""
+    rated = pairs.filter(F.col("n_ab") >= least).withColumn("rate", F.col("n_abz") / F.col("n_ab"))
+    return rated.orderBy(F.desc("rate"), "item_a", "item_b").limit(k)
+
+
+def ordered_union(lists: Sequence[DataFrame]) -> DataFrame:
+    """(item_a, item_b, position) of short lists one after the other, each pair at its first place.
+
+    A list keeps its order, so give it sorted; the positions are numbered in one task.
+    """
+    placed = [df.select("item_a", "item_b", F.lit(i).alias("_list"), F.monotonically_increasing_id().alias("_at")) for i, df in enumerate(lists)]
+    firsts = reduce(DataFrame.unionByName, placed).groupBy("item_a", "item_b").agg(F.min(F.struct("_list", "_at")).alias("_first"))
+    return firsts.select("item_a", "item_b", F.row_number().over(Window.orderBy("_first", "item_a", "item_b")).alias("position"))
+
+
+def bounds_by_stratum(per_stratum: DataFrame, stratum: str, names: Sequence[str], score: str = "omega_add_lower") -> DataFrame:
+    """(item_a, item_b, om025_<stratum>..., eras_with_signal, eras_signalled): a bound per stratum and the strata where it is above 0."""
+    wide = per_stratum.groupBy("item_a", "item_b").agg(*(F.max(F.when(F.col(stratum) == n, F.col(score))).alias(f"om025_{n}") for n in names))
+    up = F.filter(F.array(*(F.when(F.col(f"om025_{n}") > 0, F.lit(n)) for n in names)), lambda x: x.isNotNull())
+    return wide.withColumn("eras_with_signal", F.size(up)).withColumn("eras_signalled", F.array_join(up, ";"))
+
+
 def control_results(controls: DataFrame, scored: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Each control pair with its scores; a pair never counted has n_ab and n_abz 0 and no signal."""
     got = sorted_pairs(controls).join(scored.select("item_a", "item_b", "n_ab", "n_abz", *columns), ["item_a", "item_b"], "left")
@@ -82,7 +107,7 @@ def sampled(pool: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
     The first ``n`` of each of ``SALTS`` parts are taken first, so that a stratum is never sorted as a whole.
     """
-    order = [F.xxhash64(F.lit(seed), "item_a", "item_b"), F.col("item_a"), F.col("item_b")]
+    order = [F.md5(F.concat_ws("|", F.lit(seed), "item_a", "item_b")), F.col("item_a"), F.col("item_b")]
     salted = pool.withColumn("_salt", F.pmod(F.xxhash64("item_b", "item_a"), F.lit(SALTS)))
     for by in (["stratum", "_salt"], ["stratum"]):
         salted = salted.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rn") <= n).drop("_rn")
@@ -218,6 +243,24 @@ def documented_enrichment(pairs: DataFrame, documented: DataFrame, threshold: fl
     return sums.withColumn("enrichment", F.round(ratio, 6))
 
 
+def reference_coverage(pairs: DataFrame, having: DataFrame, documented: DataFrame, threshold: float, score: str, drop_items: DataFrame) -> DataFrame:
+    """One row: screened items and pairs without a text, and ``documented_enrichment`` of the pairs of which both items have one.
+
+    A pair of which one item has no text can never be documented, so it says nothing of
+    the reference; ``having`` are the items with a text.
+    """
+    items = pairs.select(F.explode(F.array("item_a", "item_b")).alias("ingredient")).distinct()
+    known = having.select("ingredient").distinct()
+    counts = items.agg(F.count(F.lit(1)).alias("screened_items")).join(F.broadcast(items.join(known, "ingredient", "left_anti").agg(F.count(F.lit(1)).alias("items_without_text"))))
+    marked = pairs
+    for side in "ab":
+        marked = _flag(marked, known.withColumnRenamed("ingredient", f"item_{side}"), [f"item_{side}"], f"_text_{side}")
+    whole = marked.agg(F.count(F.lit(1)).alias("pairs_total"), F.count_if(~(F.col("_text_a") & F.col("_text_b"))).alias("pairs_without_text"))
+    whole = whole.withColumn("share_without_text", F.round(F.try_divide(F.col("pairs_without_text"), F.col("pairs_total")), 6))
+    covered = documented_enrichment(marked.filter("_text_a and _text_b"), documented, threshold, score, drop_items)
+    return counts.join(F.broadcast(whole)).join(F.broadcast(covered))  # single rows
+
+
 def nesting(pairs: DataFrame, mult: str, add: str) -> DataFrame:
     """One row: when the signal set of the multiplicative null lies inside that of the additive one."""
     up = (F.col("rr_a") > 1) & (F.col("rr_b") > 1)
@@ -270,7 +313,7 @@ def triage(pairs: DataFrame, rows: DataFrame, marked: DataFrame, labels: DataFra
         .join(events.withColumnRenamed("ingredient", "item_b"), ["case_id", "item_b"])
         .join(marked.select("case_id").distinct().withColumn("mark", F.lit(1)), "case_id", "left")
     )
-    sums = hit.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("event_cases"), F.round(F.avg(F.col("mark").isNotNull().cast("double")), 6).alias("marked_fraction"))
+    sums = hit.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("event_cases"), F.avg(F.col("mark").isNotNull().cast("double")).alias("marked_fraction"))
     counted = hit.join(labels.select("case_id", "label").distinct(), "case_id").groupBy("item_a", "item_b", "label").count()
     order = Window.partitionBy("item_a", "item_b").orderBy(F.desc("count"), "label")
     top = counted.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)

@@ -1,8 +1,10 @@
 """Item pairs mined from texts: which item's text names which other item, and near what.
 
-Terms are met by an equi-join on their first word: each text gives its words with their
-places, a word that begins some term is joined to that term, and the text at that place
-is compared with the whole term. Text and term lists are never compared pair by pair.
+Terms are indexed by their first word: a word of a text that begins some term leads to
+that term, and the text at that place is compared with the whole term. Text and term
+lists are never compared pair by pair. An index of at most ``MAX_TERMS`` terms is
+broadcast, and texts are read in one pass without a shuffle; beyond, words and terms meet
+in an equi-join.
 """
 
 from __future__ import annotations
@@ -15,23 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 600
+MAX_TERMS = 200_000
 _WORD = re.compile(r"\w+", re.UNICODE)
 
 
-def _places(docs: DataFrame, key: str) -> DataFrame:
-    """(key, word, at): every distinct word of each upper-cased text with all its places."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for k, text in zip(frame[key], frame["text"]):
-                places: dict[str, list[int]] = {}
-                for m in _WORD.finditer(text):
-                    places.setdefault(m.group(), []).append(m.start())
-                if places:
-                    yield pd.DataFrame({key: [k] * len(places), "word": list(places), "at": list(places.values())})
-
-    return docs.mapInPandas(batches, f"`{key}` {kind}, word string, at array<int>")
+def _places(text: str, known) -> dict[str, list[int]]:
+    """The places of the words of ``text`` that are ``known``."""
+    places: dict[str, list[int]] = {}
+    for m in _WORD.finditer(text):
+        if m.group() in known:
+            places.setdefault(m.group(), []).append(m.start())
+    return places
 
 
 def _whole(text: str, term: str, lead: int, places: Iterable[int]) -> Iterator[tuple[int, int]]:
@@ -43,37 +39,85 @@ def _whole(text: str, term: str, lead: int, places: Iterable[int]) -> Iterator[t
             yield start, end
 
 
-def mentions(docs: DataFrame, terms: DataFrame, key: str = "ingredient", endpoint: str | None = None, restriction: str | None = None, shortest: int = 5) -> DataFrame:
+class _Judge:
+    """What a text says of a term at its mentions."""
+
+    def __init__(self, endpoint: str | None, restriction: str | None):
+        self.near, self.bar = (re.compile(p) if p else None for p in (endpoint, restriction))
+
+    def __call__(self, text: str, term: str, lead: int, places: Iterable[int]) -> tuple | None:
+        found = [text[max(0, a - WINDOW) : b + WINDOW] for a, b in _whole(text, term, lead, places)]
+        if not found:
+            return None
+        near = [bool(self.near and self.near.search(x)) for x in found]
+        return term, len(found), any(near), near[0], bool(self.bar and self.bar.search(found[0]))
+
+
+_COLUMNS = ["term", "n_mentions", "near", "near_first", "restricted_first"]
+
+
+def mentions(
+    docs: DataFrame, terms: DataFrame, key: str = "ingredient", endpoint: str | None = None, restriction: str | None = None, shortest: int = 5, most: int = MAX_TERMS
+) -> DataFrame:
     """(key, term, n_mentions, near, near_first, restricted_first) of terms named in other items' texts.
 
     A term of at least ``shortest`` letters counts where it stands as whole words. ``near``
     says whether the endpoint pattern occurs within ``WINDOW`` letters of any mention,
     ``near_first`` and ``restricted_first`` look at the first mention only. A text's own
-    key is no mention. NULL and empty texts mention nothing.
+    key is no mention. NULL and empty texts mention nothing. ``most`` is the longest list
+    of terms that is broadcast.
     """
     texts = docs.filter("text is not null and text <> ''").select(key, F.upper("text").alias("text"))
     listed = terms.select(F.upper(F.trim("term")).alias("term")).filter(F.length("term") >= shortest).distinct()
-    listed = listed.withColumn("word", F.regexp_extract("term", r"(?U)\w+", 0)).withColumn("lead", F.instr(F.col("term"), F.col("word")) - 1)
-    words = listed.select("word").distinct()
-    hits = _places(texts, key).join(words, "word", "left_semi").join(listed, "word").filter(F.col("term") != F.upper(F.col(key).cast("string")))
+    listed = listed.withColumn("word", F.regexp_extract("term", r"(?U)\w+", 0)).filter("word <> ''").withColumn("lead", F.instr(F.col("term"), F.col("word")) - 1)
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, term string, n_mentions int, near boolean, near_first boolean, restricted_first boolean"
+    if listed.limit(most + 1).count() > most:
+        return _joined(texts, listed, key, kind, schema, endpoint, restriction)
+    index: dict[str, list[tuple[str, int]]] = {}
+    for row in listed.collect():
+        index.setdefault(row["word"], []).append((row["term"], row["lead"]))
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = _Judge(endpoint, restriction)
+        for frame in frames:
+            out = []
+            for k, text in zip(frame[key], frame["text"]):
+                own = str(k).upper()
+                for word, at in _places(text, sent.value).items():
+                    out += [(k, *got) for term, lead in sent.value[word] if term != own and (got := judge(text, term, lead, at))]
+            yield pd.DataFrame(out, columns=[key, *_COLUMNS])
+
+    return texts.mapInPandas(batches, schema)
+
+
+def _joined(texts: DataFrame, listed: DataFrame, key: str, kind: str, schema: str, endpoint: str | None, restriction: str | None) -> DataFrame:
+    """``mentions`` where the terms are too many to send: the distinct words of the texts meet them in a join."""
+
+    class All:
+        def __contains__(self, word: str) -> bool:
+            return True
+
+    def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(k, w, at) for k, text in zip(frame[key], frame["text"]) for w, at in _places(text, All()).items()]
+            yield pd.DataFrame(rows, columns=[key, "word", "at"])
+
+    flat = texts.mapInPandas(words, f"`{key}` {kind}, word string, at array<int>")
+    hits = flat.join(listed, "word").filter(F.col("term") != F.upper(F.col(key).cast("string")))
     # One row per text with its terms, so that a text is sent once.
     by_text = hits.groupBy(key).agg(F.collect_list(F.struct("term", "lead", "at")).alias("hits")).join(texts, key)
-    kind = docs.schema[key].dataType.simpleString()
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near_re, bar_re = (re.compile(p) if p else None for p in (endpoint, restriction))
+        judge = _Judge(endpoint, restriction)
         for frame in frames:
             out = []
             for k, rows, text in zip(frame[key], frame["hits"], frame["text"]):
-                for row in rows:
-                    found = [(max(0, a - WINDOW), b + WINDOW) for a, b in _whole(text, row["term"], row["lead"], row["at"])]
-                    if found:
-                        near = [bool(near_re and near_re.search(text[a:b])) for a, b in found]
-                        out.append((k, row["term"], len(found), any(near), near[0], bool(bar_re and bar_re.search(text[found[0][0] : found[0][1]]))))
-            yield pd.DataFrame(out, columns=[key, "term", "n", "near", "near_first", "restricted_first"])
-
-    schema = f"`{key}` {kind}, term string, n int, near boolean, near_first boolean, restricted_first boolean"
-    return by_text.mapInPandas(batches, schema).withColumnRenamed("n", "n_mentions")
+                out += [(k, *got) for r in rows if (got := judge(text, r["term"], r["lead"], r["at"]))]
+            yield pd.DataFrame(out, columns=[key, *_COLUMNS])
+
+    return by_text.mapInPandas(batches, schema)
 
 
 def gathered(found: DataFrame, owners: DataFrame, doc: str, key: str = "ingredient") -> DataFrame:

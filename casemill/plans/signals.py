@@ -5,13 +5,13 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casemill.functions.ordinals import era_of, quarter_index, quarter_name
 from casemill.functions.text import normalised
 from casemill.operators import baskets as B
-from casemill.operators import bounds, contingency, events, inference, names, resolve, screen
+from casemill.operators import bounds, contingency, events, inference, names, resolve, screen, textref
 from casemill.operators.lexicon import DOSE_UNITS, FORMS, SALT_COMPOUNDS, SALTS, UNITS
 from casemill.session import cut
 from casemill.sources.tables import table
@@ -29,6 +29,13 @@ BINS = [("early", "2009q1", "2012q3"), ("middle", "2012q4", "2015q2"), ("late",
 MARKER_TERMS = ["CHEST PAIN", "CHEST DISCOMFORT"]
 N_SCREEN, N_POOL, N_CONTROL, N_IMPLICATED, LEAST_PAIR = 200, 400, 6, 15, 3
 SIZES = (100, 200, 400, 800)
+CAP, CAPS = 20, (10, 15, 20, 30, 40, None)
+ALPHAS = (0.1, 0.25, 0.5, 1.0, 2.0)
+#: The share of the negative pool that may pass, and the decimals bounds and threshold are kept to,
+#: so that no comparison hangs on the last digit.
+TARGET, DECIMALS = 0.05, 6
+#: Least co-reports and partners of the partner-anchored excess, and least co-reports of a ranked pair.
+LEAST_PARTNERS, LEAST_RANKED = 2, 5
 # Replicates of permutations and simulations, and of cluster bootstraps.
 REPLICATES, RESAMPLES = 10_000, 20_000
 FIRST, LAST = "2009q1", "2018q4"
@@ -81,12 +88,12 @@ class Base:
         items = self.t("drug_ingredients", "era", "report_id", "role_cod", "ingredient")
         return self.once(("raw", policy), lambda: B.raw_baskets(items, self.cases(), policy))
 
-    def flags(self, cap: int | None = 20, policy: str = "primary") -> DataFrame:
+    def flags(self, cap: int | None = CAP, policy: str = "primary") -> DataFrame:
         keep = ("era_bin", "sex_key")
         made = lambda: B.population(self.binned(), events.case_events(self.found()), B.excluded_cases(self.raw(policy), cap), keep)
         return self.once(("flags", cap, policy), made)
 
-    def rows(self, cap: int | None = 20, policy: str = "primary", tier: str = "core") -> DataFrame:
+    def rows(self, cap: int | None = CAP, policy: str = "primary", tier: str = "core") -> DataFrame:
         keep = ("era_bin", "sex_key")
         return self.once(("rows", cap, policy, tier), lambda: B.baskets(self.raw(policy), self.flags(cap, policy), tier, keep))
 
@@ -98,14 +105,30 @@ class Base:
         return B.top_items(self.single().filter("n_item_event > 0"), n)
 
     def counted(self, top: DataFrame) -> DataFrame:
-        return B.with_margins(B.pair_counts(self.rows(), top, LEAST_PAIR), self.single(), B.totals(self.flags()))
+        return B.with_margins(B.pair_counts(self.rows(), top, LEAST_PAIR, largest=CAP), self.single(), B.totals(self.flags()))
 
     def pairs(self) -> DataFrame:
         """The screened pairs with all their counts."""
         return self.once(("pairs",), lambda: self.counted(self.first(N_SCREEN)))
 
     def scored(self) -> DataFrame:
-        return self.once(("scored",), lambda: contingency.with_strength(contingency.scored(self.pairs())))
+        """The screened pairs with scores and bounds, for the queries that need no threshold."""
+        return self.once(("scored",), lambda: bound_of(contingency.with_strength(contingency.scored(self.pairs()))))
+
+    def universe(self) -> DataFrame:
+        """Pairs of the screen and of the pool, counted and scored once; ``screen`` and ``wide`` say whose they are."""
+
+        def made() -> DataFrame:
+            one = self.first(N_SCREEN).select("ingredient", F.lit(1).alias("s"), F.lit(0).alias("w"))
+            two = B.top_items(self.single(), N_POOL, "n_item", 5).select("ingredient", F.lit(0).alias("s"), F.lit(1).alias("w"))
+            items = cut(one.union(two).groupBy("ingredient").agg(F.max("s").alias("s"), F.max("w").alias("w")), "items")
+            pairs = self.counted(items)
+            for side in "ab":
+                pairs = pairs.join(items.select(F.col("ingredient").alias(f"item_{side}"), F.col("s").alias(f"s_{side}"), F.col("w").alias(f"w_{side}")), f"item_{side}")
+            pairs = pairs.withColumn("screen", (F.col("s_a") + F.col("s_b")) == 2).withColumn("wide", (F.col("w_a") + F.col("w_b")) == 2).drop("s_a", "s_b", "w_a", "w_b")
+            return bound_of(contingency.with_strength(contingency.scored(cut(pairs.filter("screen or wide"), "universe_counts"))))
+
+        return self.once(("universe",), made)
 
     def implicated(self) -> DataFrame:
         return self.once(("implicated",), lambda: self.first(N_IMPLICATED).select("ingredient"))
@@ -120,19 +143,43 @@ class Base:
 
         return self.once(("controls",), made)
 
-    def screened(self) -> DataFrame:
-        """Scored pairs with their support band."""
-        return self.once(("screened",), lambda: screen.annotated(self.scored(), self.controls(), self.implicated()))
-
     def pool(self) -> DataFrame:
         """The negative pool among the most frequent items."""
+        made = lambda: screen.negative_pool(self.universe().filter("wide").drop("screen", "wide"), self.controls(), self.implicated(), 0.3, 2.0)
+        return self.once(("pool",), made)
+
+    def threshold(self) -> float:
+        """The additive bound that one in twenty of the pool passes; 0 without a pool. A single value."""
+        if ("threshold",) not in self.kept:
+            found = screen.calibrated(self.pool(), TARGET, "omega_add_lower").select(F.round("threshold", DECIMALS)).first()[0]
+            self.kept[("threshold",)] = 0.0 if found is None else found
+        return self.kept[("threshold",)]
+
+    def screened(self) -> DataFrame:
+        """Scored pairs with their support band, and ``signal``: the bound is above the calibrated threshold."""
 
         def made() -> DataFrame:
-            pairs = cut(self.counted(B.top_items(self.single(), N_POOL, "n_item", 5)), "wide")
-            wide = cut(contingency.with_strength(contingency.scored(pairs)), "wide")
-            return screen.negative_pool(wide, self.controls(), self.implicated(), 0.3, 2.0)
+            pairs = screen.annotated(self.universe().filter("screen").drop("screen", "wide"), self.controls(), self.implicated())
+            return pairs.withColumn("signal", F.col("omega_add_lower") > self.threshold())
 
-        return self.once(("pool",), made)
+        return self.once(("screened",), made)
+
+    def labels(self) -> tuple[DataFrame, DataFrame]:
+        """(ingredient) of the items a label section is filed under, and (item_a, item_b): pairs of which one's label names the other."""
+
+        def made() -> DataFrame:
+            docs = self.t("documents", "doc_id", "text", "doc_type").filter("doc_type = 'label_section'")
+            found = cut(textref.mentions(docs, self.t("substances", "name").withColumnRenamed("name", "term"), "doc_id"), "labels")
+            first = found.groupBy("doc_id").agg(F.min("term").alias("ingredient"))
+            return textref.gathered(found, first, "doc_id").select("ingredient", "term").unionByName(first.select("ingredient", F.lit(None).cast("string").alias("term")))
+
+        kept = self.once(("label_texts",), made)
+        return kept.select("ingredient").distinct(), textref.undirected(kept.filter("term is not null"))
+
+
+def bound_of(scored: DataFrame) -> DataFrame:
+    """``scored`` with both lower bounds, to ``DECIMALS``."""
+    return bounds.bounded(scored).withColumns({c: F.round(c, DECIMALS) for c in ("omega_lower", "omega_add_lower")})
 
 
 QUERIES: dict = {}
@@ -157,7 +204,7 @@ def query(name: str, sql: str | None = None):
 
 
 def with_blocks(sql: str) -> str:
-    """``sql`` behind the blocks it uses, each once, in order of need."""
+    """``sql`` behind the blocks it uses, each once, in order of need; a ``with`` of its own comes after them."""
     order: list[str] = []
 
     def need(text: str) -> None:
@@ -168,7 +215,10 @@ def with_blocks(sql: str) -> str:
                     order.append(name)
 
     need(sql)
-    return ("with " + ", ".join(f"{n} as ({BLOCKS[n]})" for n in order) + " " if order else "") + sql
+    if not order:
+        return sql
+    own = sql.removeprefix("with ")
+    return "with " + ", ".join(f"{n} as ({BLOCKS[n]})" for n in order) + (", " if own != sql else " ") + own
 
 
 def _in(values) -> str:
@@ -247,15 +297,53 @@ _ROOT = """list_reduce(list_transform(range(61), lambda i: {'lo': greatest(0, n_
       then {'lo': (s.lo + s.hi) / 2, 'hi': s.hi} else {'lo': s.lo, 'hi': (s.lo + s.hi) / 2} end)"""
 
 
+def _gamma(x: str, a: str) -> str:
+    """P(a, x), the distribution function of the gamma law, by its series; ``x`` is given as its logarithm."""
+    return f"list_sum(list_transform(range(400), lambda k: exp(({a} + k) * {x} - exp({x}) - lgamma({a} + k + 1))))"
+
+
+def _gamma_quantile(q: float, a: str) -> str:
+    """The quantile of the gamma law of shape ``a``, by halving its logarithm."""
+    half = "((s.lo + s.hi) / 2)"
+    return (
+        f"exp(list_reduce(list_transform(range(61), lambda i: {{'lo': -60.0::double, 'hi': ln({a} + 10 * sqrt({a}) + 20)}}), "
+        f"lambda s, i: case when {_gamma(half, a)} < {q} then {{'lo': {half}, 'hi': s.hi}} else {{'lo': s.lo, 'hi': {half}}} end).lo)"
+    )
+
+
+def _beta(x: str, a: str, b: str) -> str:
+    """I_x(a, b), the distribution function of the beta law, by its series."""
+    return f"list_sum(list_transform(range(4000), lambda k: exp(({a} + k) * ln({x}) + {b} * ln(1 - {x}) + lgamma({a} + {b} + k) - lgamma({a} + k + 1) - lgamma({b}))))"
+
+
+def _beta_quantile(q: float, a: str, b: str) -> str:
+    half = "((t.lo + t.hi) / 2)"
+    return (
+        f"list_reduce(list_transform(range(61), lambda i: {{'lo': 0.0::double, 'hi': 1.0::double}}), "
+        f"lambda t, i: case when {_beta(half, a, b)} < {q} then {{'lo': {half}, 'hi': t.hi}} else {{'lo': t.lo, 'hi': {half}}} end).lo"
+    )
+
+
+def _jeffreys(k: str, n: str) -> tuple[str, str]:
+    low = f"case when {n} > 0 then case when {k} = 0 then 0.0 else {_beta_quantile(0.025, f'({k} + 0.5)', f'({n} - {k} + 0.5)')} end end"
+    high = f"case when {n} > 0 then case when {k} = {n} then 1.0 else {_beta_quantile(0.975, f'({k} + 0.5)', f'({n} - {k} + 0.5)')} end end"
+    return low, high
+
+
+BLOCKS["b_most"] = "select range n_abz from range(0, (select coalesce(max(n_item_event), 0) + 1 from (select count(*) filter (where tier in ('core', 'broad')) n_item_event from b_raw join b_found using (case_id) group by ingredient)))"
+BLOCKS["b_gamma"] = f"select n_abz, {_gamma_quantile(0.025, '(n_abz + 0.5)')} g_low, {_gamma_quantile(0.975, '(n_abz + 0.5)')} g_high from b_most"
+
+
 def _scored(pairs: str) -> str:
     return f"""
-  select *, log2((n_abz + 0.5) / (expected + 0.5)) omega, log2((n_abz + 0.5) / (additive_expected + 0.5)) omega_add,
-    log2((n_abz + 0.5) / (naive_expected + 0.5)) naive_log2_oe, log2(rr_a * rr_b) strength from (
+  select * exclude (g_low, g_high), log2((n_abz + 0.5) / (expected + 0.5)) omega, log2((n_abz + 0.5) / (additive_expected + 0.5)) omega_add,
+    log2((n_abz + 0.5) / (naive_expected + 0.5)) naive_log2_oe, log2(rr_a * rr_b) strength,
+    {_r('log2(g_low / (expected + 0.5))', DECIMALS)} omega_lower, {_r('log2(g_low / (additive_expected + 0.5))', DECIMALS)} omega_add_lower from (
   select *, case when n_a > 0 and n_b > 0 and n_event > 0 then (root.lo + root.hi) / 2 end expected,
     least(greatest(n_az / n_a + n_bz / n_b - n_event / n_total, n_az / n_a, n_bz / n_b), 1.0) * n_ab additive_expected,
     n_a::double * n_b * n_event / (n_total::double * n_total) naive_expected,
     case when n_az > 0 then (n_az / n_a) / (n_event / n_total) end rr_a, case when n_bz > 0 then (n_bz / n_b) / (n_event / n_total) end rr_b
-  from (select *, {_ROOT} root from {pairs}))"""
+  from (select *, {_ROOT} root from {pairs})) join b_gamma using (n_abz)"""
 
 
 def _annotated(scored: str) -> str:
@@ -267,7 +355,8 @@ def _annotated(scored: str) -> str:
 
 BLOCKS["b_pairs"] = _pairs("b_top")
 BLOCKS["b_scored"] = _scored("b_pairs")
-BLOCKS["b_screen"] = _annotated("b_scored")
+BLOCKS["b_banded"] = _annotated("b_scored")
+BLOCKS["b_screen"] = "select *, omega_add_lower > (select t from b_threshold) signal from b_banded"
 BLOCKS["b_wide"] = f"select ingredient from b_single where n_item >= 5 order by n_item desc, ingredient limit {N_POOL}"
 BLOCKS["b_widepairs"] = _pairs("b_wide")
 BLOCKS["b_widescored"] = _scored("b_widepairs")
@@ -276,6 +365,15 @@ BLOCKS["b_pool"] = """
   select *, case when greatest(coalesce(rr_a, 0), coalesce(rr_b, 0)) >= 2.0 then 'hard' else 'easy' end stratum from b_widemarked m
   where not is_control and n_implicated < 2 and exists (select 1 from b_widemarked c where c.is_control and abs(log10(c.n_ab) - log10(m.n_ab)) <= 0.3)"""
 
+BLOCKS["b_threshold"] = f"select coalesce({_r(f'quantile_cont(omega_add_lower, {1 - TARGET})', DECIMALS)}, 0) t from b_pool"
+
+BLOCKS["b_label_hits"] = r"""
+  select doc_id, name term from (select doc_id, upper(text) t from documents where doc_type = 'label_section' and text is not null) join (select distinct upper(trim(name)) name from substances) on contains(t, name)
+  where length(name) >= 5 and regexp_matches(t, '(^|[^\p{L}\p{N}_])' || regexp_escape(name) || '($|[^\p{L}\p{N}_])')"""
+BLOCKS["b_label_first"] = "select doc_id, min(term) ingredient from b_label_hits group by 1"
+BLOCKS["b_labelled"] = "select distinct ingredient from b_label_first"
+BLOCKS["b_label_pairs"] = "select distinct least(ingredient, term) item_a, greatest(ingredient, term) item_b from b_label_hits join b_label_first using (doc_id) where term <> ingredient"
+
 # ---------------------------------------------------------------- ordinals and cases
 
 
@@ -652,30 +750,30 @@ def score(b: Base) -> DataFrame:
     return b.scored().select(*names_, *(F.round(c, 6).alias(c) for c in ("expected", "additive_expected", "omega", "omega_add")))
 
 
-@query("omega_lower")
+@query("omega_lower", "select item_a, item_b, n_abz, omega_lower, omega_add_lower from b_scored")
 def omega_lower(b: Base) -> DataFrame:
     """Lower credibility bounds under both nulls."""
-    return bounds.bounded(b.scored()).select("item_a", "item_b", "n_abz", "omega_lower", "omega_add_lower")
+    return b.scored().select("item_a", "item_b", "n_abz", "omega_lower", "omega_add_lower")
 
 
-@query("omega_interval")
+@query("omega_interval", f"select item_a, item_b, {_r('log2(g_low / (expected + 0.5))')} as low, {_r('log2(g_high / (expected + 0.5))')} as high from b_scored join b_gamma using (n_abz)")
 def omega_interval(b: Base) -> DataFrame:
     """Both ends of the credibility interval."""
     n, e = F.col("n_abz"), F.col("expected")
-    return b.scored().select("item_a", "item_b", bounds.log_ratio_bound(n, e, 0.025).alias("low"), bounds.log_ratio_bound(n, e, 0.975).alias("high"))
+    return b.scored().select("item_a", "item_b", *(F.round(bounds.log_ratio_bound(n, e, q), DECIMALS).alias(c) for c, q in (("low", 0.025), ("high", 0.975))))
 
 
-@query("alpha_sweep")
+@query(
+    "alpha_sweep",
+    f"select item_a, item_b, alpha, {_r('log2(g / (additive_expected + alpha))')} as lower from b_scored join ("
+    + " union all ".join(f"select n_abz, {a}::double alpha, {_gamma_quantile(0.025, f'(n_abz + {a})')} g from b_most" for a in ALPHAS)
+    + ") using (n_abz)",
+)
 def alpha_sweep(b: Base) -> DataFrame:
     """The additive bound for several shrinkage constants."""
-    rows = b.scored()
-    return reduce(
-        DataFrame.unionByName,
-        (
-            rows.select("item_a", "item_b", F.lit(a).alias("alpha"), bounds.log_ratio_bound(F.col("n_abz"), F.col("additive_expected"), 0.025, a).alias("lower"))
-            for a in (0.1, 0.25, 0.5, 1.0, 2.0)
-        ),
-    )
+    n, e = F.col("n_abz"), F.col("additive_expected")
+    each = F.array(*(F.struct(F.lit(a).alias("alpha"), F.round(bounds.log_ratio_bound(n, e, 0.025, a), DECIMALS).alias("lower")) for a in ALPHAS))
+    return b.scored().select("item_a", "item_b", F.explode(each).alias("x")).select("item_a", "item_b", "x.*")
 
 
 BLOCKS["b_rates"] = """
@@ -685,61 +783,63 @@ BLOCKS["b_rates"] = """
 @query(
     "partner_median_excess",
     f"""select item_a, item_b, {_r('case when count(e) = 2 then min(e) end')} partner_excess from (
-      select p.item_a, p.item_b, case when count(r.rate) >= 5 then log2((p.n_abz + 0.5) / (p.n_ab * median(r.rate) + 0.5)) end e
+      select p.item_a, p.item_b, case when count(r.rate) >= {LEAST_PARTNERS} then log2((p.n_abz + 0.5) / (p.n_ab * median(r.rate) + 0.5)) end e
       from (select *, item_a item, item_b partner from b_pairs union all select *, item_b, item_a from b_pairs) p
       left join b_rates r on r.item = p.item and r.partner <> p.partner group by p.item_a, p.item_b, p.item, p.n_abz, p.n_ab) group by 1, 2""",
 )
 def partner_median_excess(b: Base) -> DataFrame:
     """The excess over what each item does with its other partners."""
-    got = contingency.partner_excess(b.pairs(), 3, 5)
+    got = contingency.partner_excess(b.pairs(), LEAST_PAIR, LEAST_PARTNERS)
     return got.select("item_a", "item_b", F.round("partner_excess", 6).alias("partner_excess"))
 
 
 # ---------------------------------------------------------------- screening
 
 
-@query("screen_bands", f"select item_a, item_b, support, {_r('omega_add')} omega_add, omega_add > 0.2 signal from b_screen")
+@query("screen_bands", "select item_a, item_b, support, omega_add_lower, signal from b_screen")
 def screen_bands(b: Base) -> DataFrame:
-    """Screened pairs with their band and signal."""
-    return b.screened().select("item_a", "item_b", "support", F.round("omega_add", 6).alias("omega_add"), (F.col("omega_add") > 0.2).alias("signal"))
+    """Screened pairs with their band and signal: the lower bound is above the calibrated threshold."""
+    return b.screened().select("item_a", "item_b", "support", "omega_add_lower", "signal")
 
 
-@query("ranked_screen")
+@query("ranked_screen", "select item_a, item_b, support, omega_add_lower from b_screen")
 def ranked_screen(b: Base) -> DataFrame:
     """The screen in falling order of its lower bound."""
-    return screen.ranked(bounds.bounded(b.screened())).select("item_a", "item_b", "support", "omega_add_lower")
+    return screen.ranked(b.screened()).select("item_a", "item_b", "support", "omega_add_lower")
 
 
 _BAND = f"""select support, tested, signalled, {_r('signalled / tested')} rate, {_r("(signalled / tested) / nullif(max(case when support = 'unsupported' then signalled / tested end) over (), 0)")} enrichment
-  from (select support, count(*) tested, count(*) filter (where omega_add > 0.2) signalled from {{0}} group by 1)"""
+  from (select support, count(*) tested, count(*) filter (where signal) signalled from {{0}} group by 1)"""
 
 
 @query("band_enrichment", _BAND.format("b_screen"))
 def band_enrichment(b: Base) -> DataFrame:
     """Signal rate of each band against the unsupported one."""
-    return screen.band_rates(b.screened(), 0.2, "omega_add")
+    return screen.band_rates(b.screened(), b.threshold(), "omega_add_lower")
 
 
-@query(
-    "vocabulary_hygiene",
-    _BAND.format("(select * from b_screen where item_a not in (select min(ingredient) from b_first) and item_b not in (select min(ingredient) from b_first))"),
-)
+BLOCKS["b_moiety"] = "select name ingredient, substance_id::varchar moiety from substances where name is not null"
+BLOCKS["b_valid"] = """
+  select s.* from b_screen s left join b_moiety x on x.ingredient = item_a left join b_moiety y on y.ingredient = item_b
+  where item_a not in (select min(ingredient) from b_first) and item_b not in (select min(ingredient) from b_first) and coalesce(x.moiety <> y.moiety, true)"""
+
+
+@query("vocabulary_hygiene", _BAND.format("b_valid"))
 def vocabulary_hygiene(b: Base) -> DataFrame:
-    """Band rates without non-specific items."""
+    """Band rates without non-specific items and without two names of one substance."""
     vague = b.first(N_CONTROL).agg(F.min("ingredient").alias("ingredient"))
-    none = b.spark.createDataFrame([], "ingredient string, moiety string")
-    return screen.band_rates(screen.without_invalid(b.screened(), vague, none), 0.2, "omega_add")
+    same = b.t("substances", "name", "substance_id").filter("name is not null").select(F.col("name").alias("ingredient"), F.col("substance_id").cast("string").alias("moiety"))
+    return screen.band_rates(screen.without_invalid(b.screened(), vague, same), b.threshold(), "omega_add_lower")
 
 
 @query(
     "control_results",
-    f"select c.item_a, c.item_b, coalesce(n_ab, 0) n_ab, coalesce(n_abz, 0) n_abz, {_r('omega_add')} omega_add, {_r('omega')} omega, coalesce(omega_add > 0, false) signal_omega_add, "
-    "coalesce(omega > 0, false) signal_omega from b_controls c left join b_scored s on s.item_a = c.item_a and s.item_b = c.item_b",
+    "select c.item_a, c.item_b, coalesce(n_ab, 0) n_ab, coalesce(n_abz, 0) n_abz, omega_add_lower, omega_lower, coalesce(omega_add_lower > 0, false) signal_omega_add_lower, "
+    "coalesce(omega_lower > 0, false) signal_omega_lower from b_controls c left join b_scored s on s.item_a = c.item_a and s.item_b = c.item_b",
 )
 def control_results(b: Base) -> DataFrame:
     """The control pairs under both nulls."""
-    got = screen.control_results(b.controls(), b.scored(), ["omega_add", "omega"])
-    return got.withColumns({c: F.round(c, 6) for c in ("omega_add", "omega")})
+    return screen.control_results(b.controls(), b.scored(), ["omega_add_lower", "omega_lower"])
 
 
 @query("negative_pool", f"select item_a, item_b, n_ab, stratum, {_r('rr_a')} rr_a, {_r('rr_b')} rr_b from b_pool")
@@ -748,92 +848,124 @@ def negative_pool(b: Base) -> DataFrame:
     return b.pool().select("item_a", "item_b", "n_ab", "stratum", F.round("rr_a", 6).alias("rr_a"), F.round("rr_b", 6).alias("rr_b"))
 
 
-@query("negative_sample")
+@query(
+    "negative_sample",
+    "select item_a, item_b, stratum from (select *, row_number() over (partition by stratum order by md5('7|' || item_a || '|' || item_b), item_a, item_b) rn from b_pool) where rn <= 25",
+)
 def negative_sample(b: Base) -> DataFrame:
-    """A fixed sample of the pool, as many of each stratum."""
+    """A fixed sample of the pool, as many of each stratum."""
     return screen.sampled(b.pool(), 25, 7).select("item_a", "item_b", "stratum")
 
 
 @query(
     "fpr_by_stratum",
-    f"""select stratum, count(*) n_pairs, {_r('avg((omega_add > 0)::int)')} fpr_additive, {_r('avg((omega > 0)::int)')} fpr_multiplicative,
-      {_r('quantile_cont(omega_add, 0.5)')} median_additive, {_r('quantile_cont(omega_add, 0.95)')} p95_additive, quantile_cont(n_ab, 0.5)::double median_n_ab
+    f"""select stratum, count(*) n_pairs, {_r('avg((omega_add_lower > 0)::int)')} fpr_additive, {_r('avg((omega_lower > 0)::int)')} fpr_multiplicative,
+      {_r('quantile_cont(omega_add_lower, 0.5)')} median_additive, {_r('quantile_cont(omega_add_lower, 0.95)')} p95_additive, quantile_cont(n_ab, 0.5)::double median_n_ab
     from (select * from b_pool union all select * replace ('all' as stratum) from b_pool) group by 1""",
 )
 def fpr_by_stratum(b: Base) -> DataFrame:
     """False-positive rates of the pool."""
-    return screen.false_positive_rates(b.pool(), 0.0, "omega_add", "omega")
+    return screen.false_positive_rates(b.pool())
 
 
-@query("calibration_quantile", f"select {_r('quantile_cont(omega_add, 0.95)')} threshold from b_pool")
+@query("calibration_quantile", f"select {_r('quantile_cont(omega_add_lower, 0.95)')} threshold from b_pool")
 def calibration_quantile(b: Base) -> DataFrame:
     """The threshold one in twenty of the pool passes."""
-    return screen.calibrated(b.pool(), 0.05, "omega_add").select(F.round("threshold", 6).alias("threshold"))
+    return screen.calibrated(b.pool(), TARGET, "omega_add_lower").select(F.round("threshold", DECIMALS).alias("threshold"))
 
 
 _BIN = "case " + " ".join(f"when quarter between '{f}' and '{l}' then '{n}'" for n, f, l in BINS) + " end"
-BLOCKS["b_strata"] = f"""
-  select era_bin, item_a, item_b, n_ab, n_abz, n_a, n_az, n_b, n_bz, n_total, n_event from (
-    select {_BIN} era_bin, a.ingredient item_a, b.ingredient item_b, count(*) n_ab, count(*) filter (where is_core) n_abz
-    from b_raw a join b_raw b on a.case_id = b.case_id and a.ingredient < b.ingredient join b_flags f on f.case_id = a.case_id
-    where a.ingredient in (select ingredient from b_top) and b.ingredient in (select ingredient from b_top) group by all having count(*) >= {LEAST_PAIR})
-  join (select {_BIN} era_bin, ingredient item_a, count(*) n_a, count(*) filter (where is_core) n_az from b_raw join b_flags using (case_id) group by all) using (era_bin, item_a)
-  join (select {_BIN} era_bin, ingredient item_b, count(*) n_b, count(*) filter (where is_core) n_bz from b_raw join b_flags using (case_id) group by all) using (era_bin, item_b)
-  join (select {_BIN} era_bin, count(*) n_total, count(*) filter (where is_core) n_event from b_flags group by all) using (era_bin)"""
-BLOCKS["b_strata_scored"] = _scored("b_strata")
-
-
-def _strata(b: Base, key: str) -> DataFrame:
+
+
+def _strata_sql(key: str, flags: str = "b_flags", top: str = "b_top", least: int = LEAST_PAIR) -> str:
+    """Pairs of the screened items within the strata that ``key``, an expression over the flags, makes."""
+    f = f"(select *, {key} stratum from {flags})"
+    return f"""
+  select stratum, item_a, item_b, n_ab, n_abz, n_a, n_az, n_b, n_bz, n_total, n_event from (
+    select stratum, a.ingredient item_a, b.ingredient item_b, count(*) n_ab, count(*) filter (where is_core) n_abz
+    from b_raw a join b_raw b on a.case_id = b.case_id and a.ingredient < b.ingredient join {f} f on f.case_id = a.case_id
+    where stratum is not null and a.ingredient in (select ingredient from {top}) and b.ingredient in (select ingredient from {top}) group by all having count(*) >= {least})
+  join (select stratum, ingredient item_a, count(*) n_a, count(*) filter (where is_core) n_az from b_raw join {f} using (case_id) group by all) using (stratum, item_a)
+  join (select stratum, ingredient item_b, count(*) n_b, count(*) filter (where is_core) n_bz from b_raw join {f} using (case_id) group by all) using (stratum, item_b)
+  join (select stratum, count(*) n_total, count(*) filter (where is_core) n_event from {f} group by all) using (stratum)"""
+
+
+_SEX = "case when upper(sex) in ('F', 'M') then upper(sex) end"
+BLOCKS["b_inside"] = "select distinct c.case_id from outc o join b_cases c using (era, report_id) where upper(trim(o.outc_cod)) = 'HO'"
+BLOCKS["b_hospital_flags"] = "select f.*, case_id in (select case_id from b_inside) hospitalised from b_flags f"
+for _stratum, _sql in (("era", _strata_sql(_BIN)), ("sex", _strata_sql(_SEX)), ("hospital", _strata_sql("hospitalised", "b_hospital_flags"))):
+    BLOCKS[f"b_{_stratum}_strata"] = _sql
+    BLOCKS[f"b_{_stratum}_scored"] = _scored(f"b_{_stratum}_strata")
+
+
+def _strata(b: Base, key: str, flags: DataFrame | None = None, rows: DataFrame | None = None, items: DataFrame | None = None, least: int = LEAST_PAIR) -> DataFrame:
     """Scored pairs within each stratum, from one pass with the stratum as a grouping column."""
-    flags, rows = (df.filter(F.col(key).isNotNull()) for df in (b.flags(), b.rows()))
-    counts = B.pair_counts(rows, b.first(N_SCREEN), LEAST_PAIR, (key,))
+    flags, rows = (df.filter(F.col(key).isNotNull()) for df in (flags or b.flags(), rows or b.rows()))
+    counts = B.pair_counts(rows, items or b.first(N_SCREEN), least, (key,), CAP)
     pairs = B.with_margins(counts, B.marginals(rows, (key,)), B.totals(flags, "core", (key,)), (key,))
-    return contingency.scored(cut(pairs, "strata"))
+    return bound_of(contingency.scored(cut(pairs, "strata")))
 
 
-@query("era_stratified_pairs", f"select era_bin, item_a, item_b, n_ab, n_abz, {_r('omega_add')} omega_add from b_strata_scored")
+@query("era_stratified_pairs", f"select stratum era_bin, item_a, item_b, n_ab, n_abz, {_r('omega_add')} omega_add, omega_add_lower from b_era_scored")
 def era_stratified_pairs(b: Base) -> DataFrame:
     """Pairs scored within each era bin."""
-    return _strata(b, "era_bin").select("era_bin", "item_a", "item_b", "n_ab", "n_abz", F.round("omega_add", 6).alias("omega_add"))
+    return _strata(b, "era_bin").select("era_bin", "item_a", "item_b", "n_ab", "n_abz", F.round("omega_add", 6).alias("omega_add"), "omega_add_lower")
 
 
-BLOCKS["b_stable"] = "select item_a, item_b, count(*) n_strata, count(*) filter (where omega_add > 0.2) strata_with_signal from b_strata_scored group by 1, 2"
+BLOCKS["b_stable"] = "select item_a, item_b, count(*) n_strata, count(*) filter (where omega_add_lower > (select t from b_threshold)) strata_with_signal from b_era_scored group by 1, 2"
 
 
 @query(
     "era_stability",
     """select count(*) filter (where neg) negatives, count(*) filter (where neg and up) negatives_passing, count(*) filter (where neg and up and k = 3) negatives_stable,
       count(*) filter (where up) signalled, count(*) filter (where up and k = 3) stable
-    from (select s.omega_add > 0.2 up, coalesce(t.strata_with_signal, 0) k, p.item_a is not null neg from b_scored s left join b_stable t using (item_a, item_b)
+    from (select s.signal up, coalesce(t.strata_with_signal, 0) k, p.item_a is not null neg from b_screen s left join b_stable t using (item_a, item_b)
       left join b_pool p on p.item_a = s.item_a and p.item_b = s.item_b)""",
 )
 def era_stability(b: Base) -> DataFrame:
     """How many pairs, and negative ones, pass in every era."""
-    strata = screen.strata_signals(_strata(b, "era_bin"), 0.2, "omega_add")
-    return screen.stability(b.scored(), strata, b.pool(), 0.2, "omega_add", len(BINS))
+    strata = screen.strata_signals(_strata(b, "era_bin"), b.threshold(), "omega_add_lower")
+    return screen.stability(b.screened(), strata, b.pool(), b.threshold(), "omega_add_lower", len(BINS))
 
 
-@query("sex_strata")
+@query("sex_strata", f"select stratum sex_key, item_a, item_b, n_ab, n_abz, {_r('omega_add')} omega_add, omega_add_lower from b_sex_scored")
 def sex_strata(b: Base) -> DataFrame:
     """Pairs scored within each sex."""
-    return _strata(b, "sex_key").select("sex_key", "item_a", "item_b", "n_ab", "n_abz", F.round("omega_add", 6).alias("omega_add"))
+    return _strata(b, "sex_key").select("sex_key", "item_a", "item_b", "n_ab", "n_abz", F.round("omega_add", 6).alias("omega_add"), "omega_add_lower")
 
 
-@query(
-    "hospital_strata",
-    f"""select hospitalised, count(*) n_cases, count(*) filter (where is_core) n_event, {_r('avg(is_core::int)')} event_rate
-    from (select f.*, case_id in (select c.case_id from outc o join b_cases c using (era, report_id) where upper(trim(o.outc_cod)) = 'HO') hospitalised from b_flags f) group by 1""",
-)
+def _hospital(b: Base) -> tuple[DataFrame, DataFrame]:
+    """Flags and baskets with ``hospitalised``: an outcome of the case says so."""
+    inside = b.t("outc", "era", "report_id", "outc_cod").filter(F.upper(F.trim("outc_cod")) == "HO").join(b.cases(), ["era", "report_id"]).select("case_id").distinct()
+    inside = cut(inside.withColumn("h", F.lit(True)), "inside")
+    flags, rows = (df.join(inside, "case_id", "left").withColumn("hospitalised", F.coalesce("h", F.lit(False))).drop("h") for df in (b.flags(), b.rows()))
+    return flags, rows
+
+
+@query("hospital_strata", f"select hospitalised, count(*) n_cases, count(*) filter (where is_core) n_event, {_r('avg(is_core::int)')} event_rate from b_hospital_flags group by 1")
 def hospital_strata(b: Base) -> DataFrame:
     """Population and event rate by reported hospitalisation."""
-    cases = b.cases()
-    inside = b.t("outc", "era", "report_id", "outc_cod").filter(F.upper(F.trim("outc_cod")) == "HO").join(cases, ["era", "report_id"]).select("case_id").distinct()
-    flags = b.flags().join(inside.withColumn("h", F.lit(True)), "case_id", "left")
-    return flags.groupBy(F.coalesce("h", F.lit(False)).alias("hospitalised")).agg(
+    return _hospital(b)[0].groupBy("hospitalised").agg(
         F.count(F.lit(1)).alias("n_cases"), F.count_if("is_core").alias("n_event"), F.round(F.avg(F.col("is_core").cast("double")), 6).alias("event_rate")
     )
 
 
+BLOCKS["b_hospital_banded"] = _annotated("b_hospital_scored")
+
+
+@query(
+    "hospital_bands",
+    f"""select hospitalised, support, tested, signalled, {_r('signalled / tested')} rate,
+      {_r("(signalled / tested) / nullif(max(case when support = 'unsupported' then signalled / tested end) over (partition by hospitalised), 0)")} enrichment
+    from (select stratum hospitalised, support, count(*) tested, count(*) filter (where omega_add_lower > (select t from b_threshold)) signalled from b_hospital_banded group by 1, 2)""",
+)
+def hospital_bands(b: Base) -> DataFrame:
+    """Pairs rescored within hospitalised cases and the others: the rates of the bands in each."""
+    flags, rows = _hospital(b)
+    pairs = screen.annotated(_strata(b, "hospitalised", flags, rows), b.controls(), b.implicated())
+    return screen.band_rates(pairs, b.threshold(), "omega_add_lower", ("hospitalised",))
+
+
 @query(
     "polypharmacy_bands",
     f"""select band, cases, events, {_r('pairs / sum(pairs) over ()')} pair_share, {_r('events / cases')} event_rate from (
@@ -846,42 +978,98 @@ def polypharmacy_bands(b: Base) -> DataFrame:
     return B.size_bands(b.raw(), b.flags(None))
 
 
-@query("cap_sweep")
+BLOCKS["b_size"] = "select case_id, coalesce(k, 0) k, coalesce(is_core, false) is_core from b_cases left join (select case_id, count(*) k from b_raw group by 1) using (case_id) left join b_events using (case_id)"
+BLOCKS["b_first_size"] = "select a.ingredient x, b.ingredient y, min(k) k from b_raw a join b_raw b on a.case_id = b.case_id and a.ingredient < b.ingredient join b_size s on s.case_id = a.case_id group by 1, 2"
+
+
+@query(
+    "cap_sweep",
+    " union all ".join(
+        f"select {'null' if c is None else c}::int cap, (select count(*) from b_size where k <= {c or 10**9}) n_total, (select count(*) from b_size where k <= {c or 10**9} and is_core) n_event, "
+        f"(select count(*) from b_first_size where k <= {c or 10**9}) n_pairs, (select coalesce(sum(k * (k - 1) // 2), 0)::bigint from b_size where k <= {c or 10**9}) pair_rows"
+        for c in CAPS
+    ),
+)
 def cap_sweep(b: Base) -> DataFrame:
     """Cases, event cases and pair rows for several caps; none is a case of its own."""
-    out = []
-    for cap in (10, 15, 20, 30, 40, None):
-        flags, rows = b.flags(cap), b.rows(cap)
-        pairs = B.pair_counts(rows).agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("n_ab").alias("pair_rows"))
-        out.append(B.totals(flags).join(F.broadcast(pairs)).select(F.lit(cap).cast("int").alias("cap"), "n_total", "n_event", "n_pairs", "pair_rows"))
-    return reduce(DataFrame.unionByName, out)
+    return B.cap_sweep(b.raw(), b.flags(None), CAPS)
+
+
+_SIZED = """select least(greatest(a.r, b.r), 1000000) r, s.omega_add_lower > (select t from b_threshold) up from b_sized_scored s join b_rank_{0} a on a.ingredient = item_a join b_rank_{0} b on b.ingredient = item_b"""
+for _order in ("n_item_event", "n_item"):
+    BLOCKS[f"b_rank_{_order}"] = f"select ingredient, row_number() over (order by {_order} desc, ingredient) r from b_single where n_item_event > 0"
+BLOCKS["b_sized"] = f"select distinct ingredient from (select * from b_rank_n_item_event union all select * from b_rank_n_item) where r <= {max(SIZES)}"
+BLOCKS["b_sized_pairs"] = _pairs("b_sized")
+BLOCKS["b_sized_scored"] = _scored("b_sized_pairs")
 
 
-@query("screen_sizes")
+@query(
+    "screen_sizes",
+    " union all ".join(
+        f"select '{o}' item_order, {n} n_items, count(*) n_pairs, count(*) filter (where up) n_signal from ({_SIZED.format(o)}) where r <= {n}" for o in ("n_item_event", "n_item") for n in SIZES
+    ),
+)
 def screen_sizes(b: Base) -> DataFrame:
-    """Pairs and signals of wider screens and other item orders."""
-    out = []
-    for order in ("n_item_event", "n_item"):
-        for n in SIZES:
-            top = B.top_items(b.single().filter("n_item_event > 0"), n, order)
-            got = contingency.scored(cut(b.counted(top), "sizes"))
-            sums = got.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("omega_add") > 0.2).alias("n_signal"))
-            out.append(sums.select(F.lit(order).alias("item_order"), F.lit(n).alias("n_items"), "n_pairs", "n_signal"))
+    """Pairs and signals of wider screens and other item orders (C29); all pairs are counted once."""
+    items = b.single().filter("n_item_event > 0")
+    tops = {o: B.top_items(items, max(SIZES), o) for o in ("n_item_event", "n_item")}
+    # As many rows as the widest screen has items.
+    ranks = {o: cut(df.withColumn("r", F.row_number().over(Window.orderBy(F.desc(o), "ingredient"))).select("ingredient", "r"), "ranks") for o, df in tops.items()}
+    pairs = bound_of(contingency.scored(cut(b.counted(reduce(DataFrame.unionByName, ranks.values())), "sizes"))).select("item_a", "item_b", (F.col("omega_add_lower") > b.threshold()).alias("up"))
+    pairs, out = cut(pairs, "sizes"), []
+    for order, rank in ranks.items():
+        placed = pairs
+        for side in "ab":
+            placed = placed.join(rank.select(F.col("ingredient").alias(f"item_{side}"), F.col("r").alias(f"r_{side}")), f"item_{side}")
+        worst = F.greatest("r_a", "r_b")
+        sums = placed.agg(*(F.count_if(worst <= n).alias(f"n{n}") for n in SIZES), *(F.count_if((worst <= n) & F.col("up")).alias(f"k{n}") for n in SIZES))
+        each = F.array(*(F.struct(F.lit(n).alias("n_items"), F.col(f"n{n}").alias("n_pairs"), F.col(f"k{n}").alias("n_signal")) for n in SIZES))
+        out.append(sums.select(F.lit(order).alias("item_order"), F.explode(each).alias("x")).select("item_order", "x.*"))
     return reduce(DataFrame.unionByName, out)
 
 
-@query("specification_grid")
+def _recovered(b: Base, rows: DataFrame, flags: DataFrame, tier: str = "core") -> DataFrame:
+    """(n_controls, recovered_additive, recovered_multiplicative) of the control pairs in other baskets."""
+    controls = b.controls()
+    items = controls.select(F.explode(F.array("item_a", "item_b")).alias("ingredient"))
+    got = bound_of(contingency.scored(cut(B.with_margins(B.pair_counts(rows, items, largest=CAP), B.marginals(rows), B.totals(flags, tier)), "controls")))
+    res = screen.control_results(controls, got, ["omega_add_lower", "omega_lower"])
+    return res.agg(
+        F.count(F.lit(1)).alias("n_controls"), F.count_if("signal_omega_add_lower").alias("recovered_additive"), F.count_if("signal_omega_lower").alias("recovered_multiplicative")
+    )
+
+
+def _recovered_sql(label: str, rows: str, flags: str) -> str:
+    """The same for (case_id, ingredient, event) rows and (case_id, event) flags."""
+    pairs = f"""select p.*, x.n n_a, x.k n_az, y.n n_b, y.k n_bz, n_total, n_event from (
+        select a.ingredient item_a, b.ingredient item_b, count(*) n_ab, count(*) filter (where a.event) n_abz from {rows} a join {rows} b on a.case_id = b.case_id and a.ingredient < b.ingredient
+        where a.ingredient in (select ingredient from b_first) and b.ingredient in (select ingredient from b_first) group by 1, 2) p
+      join (select ingredient, count(*) n, count(*) filter (where event) k from {rows} group by 1) x on x.ingredient = item_a
+      join (select ingredient, count(*) n, count(*) filter (where event) k from {rows} group by 1) y on y.ingredient = item_b, (select count(*) n_total, count(*) filter (where event) n_event from {flags})"""
+    return f"""select {label}, count(*) n_controls, count(*) filter (where omega_add_lower > 0) recovered_additive, count(*) filter (where omega_lower > 0) recovered_multiplicative
+      from b_controls left join ({_scored(f'({pairs})')}) using (item_a, item_b)"""
+
+
+for _policy in ("primary", "sensitivity"):
+    BLOCKS[f"b_raw_{_policy}"] = f"""
+  select distinct c.case_id, upper(trim(d.ingredient)) ingredient from drug_ingredients d join b_cases c using (era, report_id)
+  where upper(trim(d.role_cod)) in ({_in(B.ROLES[_policy])}) and trim(d.ingredient) <> ''"""
+    for _tier in ("core", "broad"):
+        BLOCKS[f"b_flags_{_policy}_{_tier}"] = f"""
+  select case_id, coalesce(is_{_tier}, false) event from b_cases left join b_events using (case_id) where case_id not in (select case_id from b_raw_{_policy} group by 1 having count(*) > {CAP})"""
+        BLOCKS[f"b_rows_{_policy}_{_tier}"] = f"select r.*, event from b_raw_{_policy} r join b_flags_{_policy}_{_tier} using (case_id)"
+
+
+@query(
+    "specification_grid",
+    " union all ".join(
+        _recovered_sql(f"'{p}' as policy, '{t}' tier", f"b_rows_{p}_{t}", f"b_flags_{p}_{t}") for p in ("primary", "sensitivity") for t in ("core", "broad")
+    ),
+)
 def specification_grid(b: Base) -> DataFrame:
     """Controls recovered under each role policy and event tier."""
-    out, controls = [], b.controls()
-    items = controls.select(F.explode(F.array("item_a", "item_b")).alias("ingredient"))
-    for policy in ("primary", "sensitivity"):
-        for tier in ("core", "broad"):
-            flags, rows = b.flags(20, policy), b.rows(20, policy, tier)
-            got = contingency.scored(cut(B.with_margins(B.pair_counts(rows, items), B.marginals(rows), B.totals(flags, tier)), "grid"))
-            res = screen.control_results(controls, got, ["omega_add", "omega"])
-            sums = res.agg(F.count(F.lit(1)).alias("n_controls"), F.count_if("signal_omega_add").alias("recovered_additive"), F.count_if("signal_omega").alias("recovered_multiplicative"))
-            out.append(sums.select(F.lit(policy).alias("policy"), F.lit(tier).alias("tier"), "*"))
+    cells = [(p, t) for p in ("primary", "sensitivity") for t in ("core", "broad")]
+    out = [_recovered(b, b.rows(CAP, p, t), b.flags(CAP, p), t).select(F.lit(p).alias("policy"), F.lit(t).alias("tier"), "*") for p, t in cells]
     return reduce(DataFrame.unionByName, out)
 
 
@@ -898,51 +1086,109 @@ def proxy_third_item(b: Base) -> DataFrame:
     return screen.third_item_share(b.controls(), b.rows(), b.implicated())
 
 
+N_PANEL, N_RATE = 20, 10
+BLOCKS["b_best"] = f"select item_a, item_b from b_screen order by omega_add_lower desc, item_a, item_b limit {N_PANEL}"
+BLOCKS["b_panel"] = "select item_a, item_b from b_best union select item_a, item_b from b_controls"
+BLOCKS["b_panel_items"] = "select item_a ingredient from b_panel union select item_b from b_panel"
+BLOCKS["b_panel_strata"] = _strata_sql(_BIN, "b_flags", "b_panel_items", 1)
+BLOCKS["b_panel_scored"] = _scored("b_panel_strata")
+BLOCKS["b_marked"] = f"select distinct c.case_id from reac r join b_cases c using (era, report_id) where upper(trim(r.pt)) in ({_in(MARKER_TERMS)})"
 BLOCKS["b_hit"] = """
-  select a.case_id, item_a, item_b from b_controls join b_rows a on a.ingredient = item_a join b_rows b on b.ingredient = item_b and b.case_id = a.case_id where a.event"""
+  select a.case_id, item_a, item_b from b_panel join b_rows a on a.ingredient = item_a join b_rows b on b.ingredient = item_b and b.case_id = a.case_id where a.event"""
+_ERAS = [n for n, _, _ in BINS]
 
 
 @query(
     "top_k_per_pair",
-    f"""select c.item_a, c.item_b, coalesce(event_cases, 0) event_cases, {_r('marked_fraction')} marked_fraction, top_labels from b_controls c
-    left join (select item_a, item_b, count(*) event_cases, avg((case_id in (select c.case_id from reac r join b_cases c using (era, report_id)
-        where upper(trim(r.pt)) in ({_in(MARKER_TERMS)})))::int) marked_fraction from b_hit group by 1, 2) using (item_a, item_b)
+    f"""select c.item_a, c.item_b, coalesce(support, 'not_screened') support, coalesce(event_cases, 0) event_cases, {_r('marked_fraction')} marked_fraction,
+      {_r('marked_fraction / nullif((select avg((case_id in (select case_id from b_marked))::int) from b_flags where is_core), 0)')} marked_vs_background, top_labels,
+      {", ".join(f"om025_{n}" for n in _ERAS)}, {" + ".join(f"coalesce(om025_{n} > 0, false)::int" for n in _ERAS)} eras_with_signal,
+      concat_ws(';', {", ".join(f"case when om025_{n} > 0 then '{n}' end" for n in _ERAS)}) eras_signalled
+    from b_panel c left join (select item_a, item_b, support from b_screen) using (item_a, item_b)
+    left join (select item_a, item_b, count(*) event_cases, avg((case_id in (select case_id from b_marked))::int) marked_fraction from b_hit group by 1, 2) using (item_a, item_b)
+    left join (select item_a, item_b, {", ".join(f"max(omega_add_lower) filter (where stratum = '{n}') om025_{n}" for n in _ERAS)} from b_panel_scored group by 1, 2) using (item_a, item_b)
     left join (select item_a, item_b, string_agg(label || '(' || n || ')', ';' order by n desc, label) top_labels from (
       select item_a, item_b, label, count(*) n, row_number() over (partition by item_a, item_b order by count(*) desc, label) rn
       from b_hit join (select distinct c.case_id, upper(trim(o.outc_cod)) as label from outc o join b_cases c using (era, report_id) where trim(o.outc_cod) <> '') using (case_id)
       group by 1, 2, 3) where rn <= 3 group by 1, 2) using (item_a, item_b)""",
 )
 def top_k_per_pair(b: Base) -> DataFrame:
-    """Marker share and most frequent outcomes of each control pair's event cases."""
+    """Triage panel of the head of the screen and the controls: marker share against background, outcomes, bounds by era."""
     keyed = b.cases().select("case_id", "era", "report_id")
-    marked = b.t("reac", "era", "report_id", "pt").filter(F.upper(F.trim("pt")).isin(MARKER_TERMS)).join(keyed, ["era", "report_id"])
+    marked = cut(b.t("reac", "era", "report_id", "pt").filter(F.upper(F.trim("pt")).isin(MARKER_TERMS)).join(keyed, ["era", "report_id"]).select("case_id").distinct(), "marked")
     labels = b.t("outc", "era", "report_id", "outc_cod").filter(F.trim("outc_cod") != "").join(keyed, ["era", "report_id"]).select("case_id", F.upper(F.trim("outc_cod")).alias("label"))
-    return screen.triage(b.controls(), b.rows(), marked, labels)
+    panel = cut(screen.ordered_union([screen.ranked(b.screened()).limit(N_PANEL), b.controls()]).select("item_a", "item_b"), "panel")
+    got = screen.triage(panel, b.rows(), marked, labels)
+    events = b.flags().filter("is_core").join(marked.withColumn("m", F.lit(1.0)), "case_id", "left")
+    background = events.agg(F.avg(F.coalesce("m", F.lit(0.0))).alias("background"))
+    items = panel.select(F.explode(F.array("item_a", "item_b")).alias("ingredient"))
+    eras = screen.bounds_by_stratum(_strata(b, "era_bin", items=items, least=1), "era_bin", _ERAS)
+    out = got.join(b.screened().select("item_a", "item_b", "support"), ["item_a", "item_b"], "left").join(eras, ["item_a", "item_b"], "left").join(F.broadcast(background))  # a single row
+    out = out.fillna({"support": "not_screened", "eras_with_signal": 0, "eras_signalled": ""})
+    return out.withColumn("marked_vs_background", F.round(F.try_divide(F.col("marked_fraction"), F.col("background")), 6)).withColumn("marked_fraction", F.round("marked_fraction", 6)).drop("background")
+
+
+BLOCKS["b_rated"] = f"select *, n_abz / n_ab rate from b_screen where n_ab >= {LEAST_RANKED}"
+
+
+@query(
+    "top_by_rate",
+    f"""select r.item_a, r.item_b, n_ab, n_abz, {_r('rate')} rate, support, omega_add_lower, coalesce(strata_with_signal, 0) eras_with_signal
+    from (select * from b_rated order by rate desc, item_a, item_b limit {N_RATE}) r left join b_stable using (item_a, item_b)""",
+)
+def top_by_rate(b: Base) -> DataFrame:
+    """The pairs with the highest event rate among enough co-reports."""
+    strata = screen.strata_signals(_strata(b, "era_bin"), b.threshold(), "omega_add_lower").select("item_a", "item_b", F.col("strata_with_signal").alias("eras_with_signal"))
+    top = screen.top_by_rate(b.screened(), LEAST_RANKED, N_RATE)
+    return top.join(strata, ["item_a", "item_b"], "left").fillna(0, ["eras_with_signal"]).select("item_a", "item_b", "n_ab", "n_abz", F.round("rate", 6).alias("rate"), "support", "omega_add_lower", "eras_with_signal")
+
+
+BLOCKS["b_leading"] = "select * from b_rated where signal order by rate desc, item_a, item_b limit 5"
+
+
+@query(
+    "ranked_proxy",
+    f"""select r.item_a, r.item_b, n_ab, n_abz, {_r('rate')} rate, omega_add_lower, omega_lower, coalesce(omega_lower > 0, false) signals_multiplicative_too, support,
+      (item_a, item_b) in (select (item_a, item_b) from b_label_pairs) documented, {_r('third')} third_share
+    from b_leading r left join (select l.item_a, l.item_b, avg((exists (select 1 from b_rows c where c.case_id = a.case_id and c.ingredient not in (l.item_a, l.item_b)
+        and c.ingredient in (select ingredient from b_implicated)))::int) third
+      from b_leading l join b_rows a on a.ingredient = l.item_a join b_rows b on b.ingredient = l.item_b and b.case_id = a.case_id where a.event group by 1, 2) using (item_a, item_b)""",
+)
+def ranked_proxy(b: Base) -> DataFrame:
+    """The signalled pairs of the highest event rate, and how many of their event cases hold a third implicated item."""
+    top = cut(screen.top_by_rate(b.screened().filter("signal"), LEAST_RANKED, 5), "leading")
+    shares = screen.third_item_share(top, b.rows(), b.implicated()).select("item_a", "item_b", F.col("share").alias("third_share"))
+    documented = b.labels()[1].withColumn("documented", F.lit(True))
+    got = top.join(shares, ["item_a", "item_b"], "left").join(documented, ["item_a", "item_b"], "left")
+    return got.select(
+        "item_a", "item_b", "n_ab", "n_abz", F.round("rate", 6).alias("rate"), "omega_add_lower", "omega_lower", F.coalesce(F.col("omega_lower") > 0, F.lit(False)).alias("signals_multiplicative_too"),
+        "support", F.coalesce("documented", F.lit(False)).alias("documented"), "third_share",
+    )
 
 
 @query(
     "nesting_counts",
     """select count(*) n_pairs, count(*) filter (where up) n_both_elevated, count(*) filter (where bad) violations_all, count(*) filter (where bad and up) violations_both_elevated,
       count(*) filter (where o) n_ordered, count(*) filter (where bad and o) violations_ordered
-    from (select coalesce(rr_a > 1 and rr_b > 1, false) up, omega > 0 and not omega_add > 0 bad, expected >= additive_expected o from b_scored where omega is not null and omega_add is not null)""",
+    from (select coalesce(rr_a > 1 and rr_b > 1, false) up, omega_lower > 0 and not omega_add_lower > 0 bad, expected >= additive_expected o from b_scored where omega_lower is not null and omega_add_lower is not null)""",
 )
 def nesting_counts(b: Base) -> DataFrame:
     """When one null's signals lie inside the other's."""
-    return screen.nesting(b.scored(), "omega", "omega_add")
+    return screen.nesting(b.scored(), "omega_lower", "omega_add_lower")
 
 
-BLOCKS["b_edges"] = "select quantile_cont(strength, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) e, avg((omega_add > 0.2)::int) pooled from b_pool where strength is not null"
+BLOCKS["b_edges"] = "select quantile_cont(strength, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) e, avg((omega_add_lower > (select t from b_threshold))::int) pooled from b_pool where strength is not null"
 _CUTS = "(select min(strength) from b_screen where is_control)"
 
 
 @query(
     "in_regime_quintiles",
-    f"""select i + 1 as bin, {_r('min(e[i + 1])')} as low, {_r('min(e[i + 2])')} as high, count(*) n, {_r('avg((omega_add > 0)::int)')} rate_additive, {_r('avg((omega > 0)::int)')} rate_multiplicative
+    f"""select i + 1 as bin, {_r('min(e[i + 1])')} as low, {_r('min(e[i + 2])')} as high, count(*) n, {_r('avg((omega_add_lower > 0)::int)')} rate_additive, {_r('avg((omega_lower > 0)::int)')} rate_multiplicative
     from b_pool, b_edges, range(5) t(i) where strength >= e[i + 1] and strength <= e[i + 2] group by i""",
 )
 def in_regime_quintiles(b: Base) -> DataFrame:
     """False-positive rates by marginal strength."""
-    return screen.quintiles(b.pool(), "omega_add", "omega")
+    return screen.quintiles(b.pool(), "omega_add_lower", "omega_lower")
 
 
 @query(
@@ -955,78 +1201,117 @@ def high_marginal_pool(b: Base) -> DataFrame:
     return screen.in_regime(b.pool(), marked).select("item_a", "item_b", F.round("strength", 6).alias("strength"))
 
 
-BLOCKS["b_regime"] = f"select omega_add, omega from b_pool where strength >= {_CUTS}"
+BLOCKS["b_regime"] = f"select omega_add_lower, omega_lower from b_pool where strength >= {_CUTS}"
 BLOCKS["b_sweep"] = " union all ".join(
-    f"select {t} target_fpr, quantile_cont(omega_add, {q}) ta, quantile_cont(omega, {q}) tm from b_regime" for t, q in ((0.05, 0.95), (0.1, 0.9), (0.2, 0.8))
+    f"select {t} target_fpr, quantile_cont(omega_add_lower, {q}) ta, quantile_cont(omega_lower, {q}) tm from b_regime" for t, q in ((0.05, 0.95), (0.1, 0.9), (0.2, 0.8))
 )
 
 
 @query(
     "operating_characteristic",
     f"""select target_fpr::double target_fpr, {_r('ta')} threshold_additive, {_r('tm')} threshold_multiplicative,
-      {_r('(select avg((omega_add > ta)::int) from b_regime)')} realised_additive, {_r('(select avg((omega > tm)::int) from b_regime)')} realised_multiplicative,
-      (select count(*) from b_screen where is_control and omega_add > ta) recovered_additive, (select count(*) from b_screen where is_control and omega > tm) recovered_multiplicative
+      {_r('(select avg((omega_add_lower > ta)::int) from b_regime)')} realised_additive, {_r('(select avg((omega_lower > tm)::int) from b_regime)')} realised_multiplicative,
+      (select count(*) from b_screen where is_control and omega_add_lower > ta) recovered_additive, (select count(*) from b_screen where is_control and omega_lower > tm) recovered_multiplicative
     from b_sweep""",
 )
 def operating_characteristic(b: Base) -> DataFrame:
     """Controls recovered at matched false-positive rates."""
     controls = b.screened().filter("is_control")
     pool = screen.in_regime(b.pool(), controls)
-    return screen.operating_characteristic(controls, pool, [0.05, 0.1, 0.2], {"additive": "omega_add", "multiplicative": "omega"})
+    return screen.operating_characteristic(controls, pool, [0.05, 0.1, 0.2], {"additive": "omega_add_lower", "multiplicative": "omega_lower"})
 
 
 @query(
     "strength_matched",
-    f"""select support, count(*) tested, count(*) filter (where omega_add > 0.2) observed, {_r('sum(pooled)')} expected_pooled, {_r('sum(coalesce(rate, pooled))')} expected_matched
-    from (select s.support, s.omega_add, pooled, least(greatest(len(list_filter(e, lambda x: x <= s.strength)) - 1, 0), 4) i from b_screen s, b_edges where s.strength is not null) k
-    left join (select i, avg((omega_add > 0.2)::int) rate from b_pool, b_edges, range(5) t(i) where strength >= e[i + 1] and strength <= e[i + 2] group by i) using (i) group by 1""",
+    f"""select support, count(*) tested, count(*) filter (where signal) observed, {_r('sum(pooled)')} expected_pooled, {_r('sum(coalesce(rate, pooled))')} expected_matched
+    from (select s.support, s.signal, pooled, least(greatest(len(list_filter(e, lambda x: x <= s.strength)) - 1, 0), 4) i from b_screen s, b_edges where s.strength is not null) k
+    left join (select i, avg((omega_add_lower > (select t from b_threshold))::int) rate from b_pool, b_edges, range(5) t(i) where strength >= e[i + 1] and strength <= e[i + 2] group by i) using (i) group by 1""",
 )
 def strength_matched(b: Base) -> DataFrame:
     """What chance alone gives each band, by strength."""
-    return screen.strength_matched(b.screened(), b.pool(), 0.2, "omega_add")
+    return screen.strength_matched(b.screened(), b.pool(), b.threshold(), "omega_add_lower")
+
+
+BLOCKS["b_partner"] = f"""
+  select item_a, item_b, {_r('case when count(e) = 2 then min(e) end')} partner_excess from (
+      select p.item_a, p.item_b, case when count(r.rate) >= {LEAST_PARTNERS} then log2((p.n_abz + 0.5) / (p.n_ab * median(r.rate) + 0.5)) end e
+      from (select *, item_a item, item_b partner from b_pairs union all select *, item_b, item_a from b_pairs) p
+      left join b_rates r on r.item = p.item and r.partner <> p.partner group by p.item_a, p.item_b, p.item, p.n_abz, p.n_ab) group by 1, 2"""
 
 
-@query("third_estimand")
+@query("third_estimand", "select s.item_a, s.item_b, support, partner_excess, omega_add_lower, omega_lower from b_screen s join b_partner using (item_a, item_b) where partner_excess is not null")
 def third_estimand(b: Base) -> DataFrame:
     """The partner-anchored excess beside both nulls on the same pairs."""
-    anchored = contingency.partner_excess(b.pairs(), 3, 5).filter("partner_excess is not null")
-    return b.screened().join(anchored, ["item_a", "item_b"]).select("item_a", "item_b", "support", "partner_excess", "omega_add", "omega")
+    anchored = contingency.partner_excess(b.universe().filter("screen"), LEAST_PAIR, LEAST_PARTNERS).filter("partner_excess is not null")
+    return b.screened().join(anchored, ["item_a", "item_b"]).select("item_a", "item_b", "support", F.round("partner_excess", 6).alias("partner_excess"), "omega_add_lower", "omega_lower")
+
+
+_DOCUMENTED = f"""select nd documented_tested, kd documented_signalled, nu undocumented_tested, ku undocumented_signalled, {_r('(kd / nullif(nd, 0)) / nullif(ku / nullif(nu, 0), 0)')} enrichment
+    from (select count(*) filter (where d) nd, count(*) filter (where d and signal) kd, count(*) filter (where not d) nu, count(*) filter (where not d and signal) ku
+      from (select s.*, (item_a, item_b) in (select (item_a, item_b) from b_label_pairs) d from b_screen s where item_a not in (select ingredient from b_first) and item_b not in (select ingredient from b_first){{0}}))"""
+_COVERED = " and item_a in (select ingredient from b_labelled) and item_b in (select ingredient from b_labelled)"
+
+
+@query("documented_enrichment", _DOCUMENTED.format(""))
+def documented_enrichment(b: Base) -> DataFrame:
+    """Signals inside and outside the pairs that label texts name together, control items left out."""
+    drop = b.controls().select(F.explode(F.array("item_a", "item_b")).alias("ingredient"))
+    return screen.documented_enrichment(b.screened(), b.labels()[1], b.threshold(), "omega_add_lower", drop)
 
 
 @query(
-    "documented_enrichment",
-    f"""select nd documented_tested, kd documented_signalled, nu undocumented_tested, ku undocumented_signalled, {_r('(kd / nullif(nd, 0)) / nullif(ku / nullif(nu, 0), 0)')} enrichment
-    from (select count(*) filter (where n_implicated = 2) nd, count(*) filter (where n_implicated = 2 and omega_add > 0.2) kd, count(*) filter (where n_implicated < 2) nu,
-      count(*) filter (where n_implicated < 2 and omega_add > 0.2) ku from b_screen where item_a not in (select ingredient from b_first) and item_b not in (select ingredient from b_first))""",
+    "reference_coverage",
+    f"""select * from (select count(*) screened_items, count(*) filter (where ingredient not in (select ingredient from b_labelled)) items_without_text
+      from (select item_a ingredient from b_screen union select item_b from b_screen)),
+    (select count(*) pairs_total, count(*) filter (where u) pairs_without_text, {_r('count(*) filter (where u) / count(*)')} share_without_text
+      from (select item_a not in (select ingredient from b_labelled) or item_b not in (select ingredient from b_labelled) u from b_screen)), ({_DOCUMENTED.format(_COVERED)})""",
 )
-def documented_enrichment(b: Base) -> DataFrame:
-    """Signals inside and outside a reference of pairs, control items left out."""
-    marked = b.screened()
+def reference_coverage(b: Base) -> DataFrame:
+    """How many screened items and pairs no text can document, and the enrichment among the others."""
     drop = b.controls().select(F.explode(F.array("item_a", "item_b")).alias("ingredient"))
-    return screen.documented_enrichment(marked, marked.filter("n_implicated = 2"), 0.2, "omega_add", drop)
+    having, pairs = b.labels()
+    return screen.reference_coverage(b.screened(), having, pairs, b.threshold(), "omega_add_lower", drop)
+
 
+_ADD_LOW, _ADD_HIGH = _jeffreys("k_add", "n_pairs")
+_MULT_LOW, _MULT_HIGH = _jeffreys("k_mult", "n_pairs")
 
-@query("independent_controls")
+
+def _interval(k: str, n: str, prefix: str = "") -> list:
+    ci = bounds.jeffreys(F.col(k), F.col(n))
+    return [F.round(ci[side], 6).alias(prefix + side) for side in ("low", "high")]
+
+
+@query(
+    "independent_controls",
+    f"""select n_pairs, k_add, k_mult, {_r(_ADD_LOW)} add_low, {_r(_ADD_HIGH)} add_high, {_r(_MULT_LOW)} mult_low, {_r(_MULT_HIGH)} mult_high
+    from (select count(*) n_pairs, count(*) filter (where omega_add_lower > 0) k_add, count(*) filter (where omega_lower > 0) k_mult from b_screen where not is_control and n_implicated = 2 and n_ab >= 5)""",
+)
 def independent_controls(b: Base) -> DataFrame:
-    """Recovery of documented pairs that are no controls, with Jeffreys intervals."""
-    rows = bounds.bounded(b.screened()).filter("not is_control and n_implicated = 2 and n_ab >= 5")
+    """Recovery of implicated pairs that are no controls, with Jeffreys intervals."""
+    rows = b.screened().filter("not is_control and n_implicated = 2 and n_ab >= 5")
     sums = rows.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("omega_add_lower") > 0).alias("k_add"), F.count_if(F.col("omega_lower") > 0).alias("k_mult"))
-    return sums.select("n_pairs", "k_add", "k_mult", bounds.jeffreys(F.col("k_add"), F.col("n_pairs")).alias("ci_add"), bounds.jeffreys(F.col("k_mult"), F.col("n_pairs")).alias("ci_mult"))
+    return sums.select("n_pairs", "k_add", "k_mult", *_interval("k_add", "n_pairs", "add_"), *_interval("k_mult", "n_pairs", "mult_"))
+
 
+EVENT_WORDS = ("JOINT", "CHEST", "SKIN")
+for _word in EVENT_WORDS:
+    _terms = _in(f"{_word} {x}" for x in ("PAIN", "SWELLING", "WEAKNESS"))
+    BLOCKS[f"b_flags_{_word.lower()}"] = f"""
+  select case_id, case_id in (select c.case_id from reac r join b_cases c using (era, report_id) where upper(trim(r.pt)) in ({_terms})) event from b_cases where case_id not in (select case_id from b_over)"""
+    BLOCKS[f"b_rows_{_word.lower()}"] = f"select r.*, event from b_raw r join b_flags_{_word.lower()} using (case_id)"
 
-@query("event_generalisation")
+
+@query("event_generalisation", " union all ".join(_recovered_sql(f"'{w}' as event", f"b_rows_{w.lower()}", f"b_flags_{w.lower()}") for w in EVENT_WORDS))
 def event_generalisation(b: Base) -> DataFrame:
     """The same controls under other events."""
-    cases, out, controls, raw = b.cases(), [], b.controls(), b.raw()
-    items = controls.select(F.explode(F.array("item_a", "item_b")).alias("ingredient"))
-    for word in ("JOINT", "CHEST", "SKIN"):
+    cases, out, raw = b.cases(), [], b.raw()
+    for word in EVENT_WORDS:
         terms = b.spark.createDataFrame([(f"{word} {x}", "core", word) for x in ("PAIN", "SWELLING", "WEAKNESS")], "pt string, tier string, concept string")
         found = events.case_events(events.case_terms(b.t("reac", "era", "report_id", "pt"), cases, terms))
-        flags = cut(B.population(cases, found, B.excluded_cases(raw)), "flags")
+        flags = cut(B.population(cases, found, B.excluded_cases(raw, CAP)), "flags")
         rows = cut(B.baskets(raw, flags), "rows")
-        got = contingency.scored(cut(B.with_margins(B.pair_counts(rows, items), B.marginals(rows), B.totals(flags)), "events"))
-        res = screen.control_results(controls, got, ["omega_add", "omega"])
-        out.append(res.agg(F.count(F.lit(1)).alias("n_controls"), F.count_if("signal_omega_add").alias("recovered_additive"), F.count_if("signal_omega").alias("recovered_multiplicative")).select(F.lit(word).alias("event"), "*"))
+        out.append(_recovered(b, rows, flags).select(F.lit(word).alias("event"), "*"))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -1048,25 +1333,81 @@ def fuzzy_jaccard(b: Base) -> DataFrame:
     return screen.fuzzy_duplicates(b.cases(), b.rows())
 
 
+WINDOW_OF_CASES = ("2009q1", "2015q2")
+BLOCKS["b_rate_sets"] = """
+  select 'control' of, n_abz / n_ab rate from b_scored join b_controls using (item_a, item_b)
+  union all select 'documented', n_abz / n_ab from b_scored anti join b_controls using (item_a, item_b) semi join b_label_pairs using (item_a, item_b)"""
+
+
 @query(
     "provenance",
-    f"""select era, count(*) cases, min(quarter) first_quarter, max(quarter) last_quarter, {_r('count(*) / sum(count(*)) over ()')} share from b_cases group by era""",
+    "select metric, round(value, 6) as value from ("
+    + " union all ".join(
+        [
+            "select 'raw_rows_' || era metric, count(*)::double as value from demo group by era",
+            "select 'rows_without_case_id_' || era, count(*) from demo where case_id is null group by era",
+            "select 'cases_' || era, count(*) from b_cases group by era",
+            "select 'term_vocabulary', count(distinct upper(trim(pt))) from reac where trim(pt) <> ''",
+            "select 'bridged_ids', (select count(*) from b_latest) - (select count(*) from b_bridged)",
+            f"select 'cases_in_window', count(*) from b_cases where quarter between '{WINDOW_OF_CASES[0]}' and '{WINDOW_OF_CASES[1]}'",
+            "select 'cases_over_cap', count(*) from b_over",
+            "select 'context_excluded_cases', count(distinct case_id) from b_rows where ingredient in (select ingredient from b_first)",
+            "select 'hospital_outcome_rows', count(*) from outc where upper(trim(outc_cod)) = 'HO'",
+            "select 'implicated_share_of_event_cases', avg((n > 0)::int) from (select case_id, count(*) filter (where ingredient in (select ingredient from b_implicated)) n from b_rows where event group by 1)",
+            "select 'baseline_event_rate', n_event / n_total from b_total",
+            "select of || '_pairs', count(*) from b_rate_sets group by of",
+            "select of || '_median_rate', median(rate) from b_rate_sets group by of",
+            "select of || '_median_rate_vs_baseline', median(rate) / (select n_event / n_total from b_total) from b_rate_sets group by of",
+        ]
+    )
+    + ")",
 )
 def provenance(b: Base) -> DataFrame:
-    """Cases by era, with their window and share."""
-    by = b.cases().groupBy("era").agg(F.count(F.lit(1)).alias("cases"), F.min("quarter").alias("first_quarter"), F.max("quarter").alias("last_quarter"))
-    whole = by.agg(F.sum("cases").alias("n"))
-    return by.join(F.broadcast(whole)).select("era", "cases", "first_quarter", "last_quarter", F.round(F.col("cases") / F.col("n"), 6).alias("share"))  # a single row
+    """Counts by era, exclusions, and the gap in event rate between control and documented pairs, one row a figure."""
+    demo, reac, rows, count = b.t("demo", "era", "case_id"), b.t("reac", "pt"), b.rows(), F.count(F.lit(1))
+    name = lambda text: F.concat(F.lit(text), F.col("era"))
+    latest = cut(resolve.latest_versions(b.t("demo")), "latest")
+    implicated = rows.filter("event").join(b.implicated().withColumn("i", F.lit(1)), "ingredient", "left").groupBy("case_id").agg(F.count("i").alias("n"))
+    rates = b.scored().withColumn("rate", F.col("n_abz") / F.col("n_ab"))
+    keys, controls = ["item_a", "item_b"], b.controls()
+    sets = rates.join(controls, keys, "left_semi").select(F.lit("control").alias("of"), "rate").unionByName(
+        rates.join(controls, keys, "left_anti").join(b.labels()[1], keys, "left_semi").select(F.lit("documented").alias("of"), "rate")
+    )
+    base = B.totals(b.flags()).select((F.col("n_event") / F.col("n_total")).alias("value"))
+    of = lambda text: F.concat(F.col("of"), F.lit(text))
+    medians = cut(sets.groupBy("of").agg(count.alias("n"), F.percentile("rate", F.lit(0.5)).alias("m")), "medians")
+    parts = [
+        demo.groupBy("era").agg(count.alias("value")).select(name("raw_rows_").alias("metric"), "value"),
+        demo.filter("case_id is null").groupBy("era").agg(count.alias("value")).select(name("rows_without_case_id_").alias("metric"), "value"),
+        b.cases().groupBy("era").agg(count.alias("value")).select(name("cases_").alias("metric"), "value"),
+        medians.select(of("_pairs").alias("metric"), F.col("n").alias("value")),
+        medians.select(of("_median_rate").alias("metric"), F.col("m").alias("value")),
+        medians.join(F.broadcast(base)).select(of("_median_rate_vs_baseline").alias("metric"), (F.col("m") / F.col("value")).alias("value")),  # a single row
+    ]
+    single = {
+        "term_vocabulary": reac.filter("trim(pt) <> ''").agg(F.count_distinct(F.upper(F.trim("pt"))).alias("value")),
+        "bridged_ids": latest.agg((count - F.count_distinct("case_id")).alias("value")),
+        "cases_in_window": b.cases().filter(F.col("quarter").between(*WINDOW_OF_CASES)).agg(count.alias("value")),
+        "cases_over_cap": B.excluded_cases(b.raw(), CAP).agg(count.alias("value")),
+        "context_excluded_cases": rows.join(b.first(N_CONTROL).select("ingredient"), "ingredient", "left_semi").agg(F.count_distinct("case_id").alias("value")),
+        "hospital_outcome_rows": b.t("outc", "outc_cod").filter(F.upper(F.trim("outc_cod")) == "HO").agg(count.alias("value")),
+        "implicated_share_of_event_cases": implicated.agg(F.avg((F.col("n") > 0).cast("double")).alias("value")),
+        "baseline_event_rate": base,
+    }
+    parts += [df.select(F.lit(metric).alias("metric"), "value") for metric, df in single.items()]
+    return reduce(DataFrame.unionByName, (p.select("metric", F.round(F.col("value").cast("double"), 6).alias("value")) for p in parts))
 
 
 # ---------------------------------------------------------------- inference
 
+_LOW, _HIGH = _jeffreys("signalled", "tested")
+
 
-@query("jeffreys")
+@query("jeffreys", f"select support, tested, signalled, {_r(_LOW)} as low, {_r(_HIGH)} as high from (select support, count(*) tested, count(*) filter (where signal) signalled from b_screen group by 1)")
 def jeffreys(b: Base) -> DataFrame:
     """Jeffreys interval of each band's signal rate."""
-    by = screen.band_rates(b.screened(), 0.2, "omega_add")
-    return by.select("support", "tested", "signalled", bounds.jeffreys(F.col("signalled"), F.col("tested")).alias("ci"))
+    by = screen.band_rates(b.screened(), b.threshold(), "omega_add_lower")
+    return by.select("support", "tested", "signalled", *_interval("signalled", "tested"))
 
 
 @query("rule_of_three", f"select support, {_r('-ln(1 - 0.95) / count(*)')} upper_bound from b_screen group by 1")
@@ -1079,12 +1420,12 @@ def rule_of_three(b: Base) -> DataFrame:
     "ratio_ci",
     f"""select support, {_r('case when ok then ratio end')} ratio, {_r('case when ok then exp(ln(ratio) - 1.959963984540054 * se) end')} low, {_r('case when ok then exp(ln(ratio) + 1.959963984540054 * se) end')} high
     from (select *, ka > 0 and kb > 0 ok, case when ka > 0 and kb > 0 then (ka / na) / (kb / nb) end ratio, case when ka > 0 and kb > 0 then sqrt(greatest(0, 1 / ka - 1 / na + 1 / kb - 1 / nb)) end se
-      from (select a.support, a.k ka, a.n na, b.k kb, b.n nb from (select support, count(*) n, count(*) filter (where omega_add > 0.2) k from b_screen group by 1) a,
-        (select count(*) n, count(*) filter (where omega_add > 0.2) k from b_screen where support = 'unsupported') b))""",
+      from (select a.support, a.k ka, a.n na, b.k kb, b.n nb from (select support, count(*) n, count(*) filter (where signal) k from b_screen group by 1) a,
+        (select count(*) n, count(*) filter (where signal) k from b_screen where support = 'unsupported') b))""",
 )
 def ratio_ci(b: Base) -> DataFrame:
     """Each band's rate against the unsupported one, with an interval."""
-    by = b.screened().groupBy("support").agg(F.count(F.lit(1)).alias("na"), F.count_if(F.col("omega_add") > 0.2).alias("ka"))
+    by = b.screened().groupBy("support").agg(F.count(F.lit(1)).alias("na"), F.count_if("signal").alias("ka"))
     base = by.filter("support = 'unsupported'").select(F.col("na").alias("nb"), F.col("ka").alias("kb"))
     r, low, high = inference.ratio_interval(F.col("ka"), F.col("na"), F.col("kb"), F.col("nb"))
     return by.join(F.broadcast(base)).select("support", F.round(r, 6).alias("ratio"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))  # a single row
@@ -1096,26 +1437,34 @@ def pearson(b: Base) -> DataFrame:
     return inference.correlation(b.scored(), "omega", "strength").select("n", F.round("r", 6).alias("r"))
 
 
-@query("pearson_interval")
+_P = f"case when x <= (n / 2.0) / (n / 2.0 + 1.5) then {_beta('x', '((n - 2) / 2.0)', '0.5')} else 1 - {_beta('(1 - x)', '0.5', '((n - 2) / 2.0)')} end"
+
+
+@query(
+    "pearson_interval",
+    f"""select n, {_r('r')} r, {_r('tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3))')} ci_low, {_r('tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3))')} ci_high, {_r(_P)} p_value
+    from (select *, 1 - r * r x from (select count(*) n, corr(omega_add, strength) r from b_scored where omega_add is not null and strength is not null))""",
+)
 def pearson_interval(b: Base) -> DataFrame:
-    """The same with interval and p-value (I4)."""
-    return inference.correlation(b.scored(), "omega_add", "strength")
+    """The same for the additive score, with interval and p-value (I4)."""
+    got = inference.correlation(b.scored(), "omega_add", "strength")
+    return got.select("n", *(F.round(c, 6).alias(c) for c in ("r", "ci_low", "ci_high", "p_value")))
 
 
 @query(
     "leave_one_out",
     f"""select count(*) n_folds, count(*) filter (where pick) folds_first, sum(case when pick then a else m end)::bigint loo_recovered, sum(a)::bigint in_sample_recovered,
       {_r('(sum(a) - sum(case when pick then a else m end)) / count(*)')} optimism
-    from (select *, sum(a) over () - a >= sum(m) over () - m pick from (select (omega_add > 0)::int a, (omega > 0)::int m from b_screen where is_control))""",
+    from (select *, sum(a) over () - a >= sum(m) over () - m pick from (select (omega_add_lower > 0)::int a, (omega_lower > 0)::int m from b_banded where is_control))""",
 )
 def leave_one_out(b: Base) -> DataFrame:
     """Recovery with the null chosen on the other controls."""
-    rows = b.screened().filter("is_control").select((F.col("omega_add") > 0).alias("a"), (F.col("omega") > 0).alias("m"))
+    rows = b.screened().filter("is_control").select((F.col("omega_add_lower") > 0).alias("a"), (F.col("omega_lower") > 0).alias("m"))
     return inference.leave_one_out(rows, "a", "m")
 
 
 BLOCKS["b_mh"] = """
-  select omega_add > 0.2 s, n_implicated >= 1 d, least(len(list_filter(e, lambda x: x <= n_ab)) - 1, 9) st from b_screen,
+  select signal s, n_implicated >= 1 d, least(len(list_filter(e, lambda x: x <= n_ab)) - 1, 9) st from b_screen,
     (select quantile_cont(n_ab, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) e from b_screen)"""
 
 
@@ -1127,12 +1476,12 @@ BLOCKS["b_mh"] = """
 )
 def mantel_haenszel(b: Base) -> DataFrame:
     """The risk ratio stratified by co-report count."""
-    rows = b.screened().select((F.col("omega_add") > 0.2).alias("signal"), (F.col("n_implicated") >= 1).alias("documented"), "n_ab")
+    rows = b.screened().select("signal", (F.col("n_implicated") >= 1).alias("documented"), "n_ab")
     return inference.mantel_haenszel(rows, "signal", "documented", "n_ab")
 
 
 def _signals(b: Base) -> DataFrame:
-    return b.screened().select("item_a", "item_b", "n_ab", "support", "n_implicated", (F.col("omega_add") > 0.2).alias("signal"), (F.col("n_implicated") >= 1).alias("documented"))
+    return b.screened().select("item_a", "item_b", "n_ab", "support", "n_implicated", "signal", (F.col("n_implicated") >= 1).alias("documented"))
 
 
 @query("permutation")
@@ -1162,7 +1511,7 @@ def pair_cluster_ci(b: Base) -> DataFrame:
 @query("heldout_calibration")
 def heldout_calibration(b: Base) -> DataFrame:
     """Threshold set on one half of the pool, measured on the other."""
-    return inference.heldout_calibration(b.pool(), "omega_add")
+    return inference.heldout_calibration(b.pool(), "omega_add_lower", TARGET)
 
 
 @query("induced_corr")
@@ -1171,8 +1520,13 @@ def induced_corr(b: Base) -> DataFrame:
     return inference.induced_correlation(b.scored(), "expected", REPLICATES)
 
 
-@query("bh_fdr")
+@query(
+    "bh_fdr",
+    f"""with tails as (select item_a, item_b, n_abz, case when n_abz = 0 then 1.0 else {_gamma('ln(greatest(additive_expected, 1e-12))', 'n_abz')} end p from b_scored),
+    lined as (select *, p <= 0.05 * count(*) over (order by p range between unbounded preceding and current row) / count(*) over () ok from tails)
+    select item_a, item_b, n_abz, {_r('p', 9)} p, coalesce(p <= (select max(p) from lined where ok), false) discovery from tails""",
+)
 def bh_fdr(b: Base) -> DataFrame:
     """Discoveries among Poisson tails."""
     rows = b.scored().withColumn("p", bounds.poisson_tail(F.col("n_abz"), F.greatest(F.col("additive_expected"), F.lit(1e-12))))
-    return inference.benjamini_hochberg(rows.select("item_a", "item_b", "n_abz", "p"), "p")
+    return inference.benjamini_hochberg(rows.select("item_a", "item_b", "n_abz", "p"), "p").withColumn("p", F.round("p", 9))

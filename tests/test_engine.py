@@ -112,7 +112,7 @@ def test_population_keeps_cases_without_items(spark):
     assert B.population(cases, found, B.excluded_cases(raw, None)).count() == 3
 
 
-def test_pair_counts_against_loops(spark):
+def test_pair_counts_against_loops(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = sorted({(int(c), f"I{i}", bool(c % 3 == 0)) for c, i in zip(rng.integers(0, 60, 400), rng.integers(0, 9, 400))})
     want = {}
@@ -122,8 +122,51 @@ def test_pair_counts_against_loops(spark):
             for b in items[i + 1 :]:
                 n, z = want.get((a, b), (0, 0))
                 want[a, b] = (n + 1, z + (c % 3 == 0))
-    got = B.pair_counts(spark.createDataFrame(rows, "case_id bigint, ingredient string, event boolean"))
-    assert {(r["item_a"], r["item_b"]): (r["n_ab"], r["n_abz"]) for r in got.collect()} == want
+    df = spark.createDataFrame(rows, "case_id bigint, ingredient string, event boolean")
+    for block in (B.BLOCK, 3):  # all baskets over three items are split into parts
+        monkeypatch.setattr(B, "BLOCK", block)
+        assert {(r["item_a"], r["item_b"]): (r["n_ab"], r["n_abz"]) for r in B.pair_counts(df).collect()} == want
+    assert B.pair_counts(df.limit(0)).count() == 0
+
+
+def test_cap_sweep_against_loops(spark):
+    rng = np.random.default_rng(2)
+    baskets = {c: {f"I{i}" for i in rng.integers(0, 9, rng.integers(0, 8))} for c in range(50)}
+    raw = spark.createDataFrame([(c, i) for c, items in baskets.items() for i in sorted(items)], "case_id bigint, ingredient string")
+    flags = spark.createDataFrame([(c, c % 4 == 0) for c in baskets], "case_id bigint, is_core boolean")
+    for r in B.cap_sweep(raw, flags, (0, 2, 4, None)).collect():
+        kept = {c: x for c, x in baskets.items() if r["cap"] is None or len(x) <= r["cap"]}
+        pairs = [(a, b) for x in kept.values() for a in x for b in x if a < b]
+        assert (r["n_total"], r["n_event"], r["n_pairs"], r["pair_rows"]) == (len(kept), sum(c % 4 == 0 for c in kept), len(set(pairs)), len(pairs))
+
+
+def test_lists_of_pairs_keep_their_order(spark):
+    schema = "item_a string, item_b string, x int"
+    one, two = spark.createDataFrame([("C", "D", 3), ("A", "B", 2)], schema).orderBy("x", ascending=False).limit(5), spark.createDataFrame([("A", "B", 1), ("A", "Z", 1)], schema)
+    got = screen.ordered_union([one, two]).orderBy("position").collect()
+    assert [(r["item_a"], r["item_b"]) for r in got] == [("C", "D"), ("A", "B"), ("A", "Z")]
+
+
+def test_samples_are_those_of_the_whole_stratum(spark):
+    pool = spark.createDataFrame([(f"A{i}", f"B{i % 7}", "hard" if i % 3 else "easy") for i in range(300)], "item_a string, item_b string, stratum string")
+    got = screen.sampled(pool, 10, 3).orderBy("stratum", "item_a", "item_b").collect()
+    from hashlib import md5
+
+    want = []
+    for stratum in ("easy", "hard"):
+        rows = [r for r in pool.collect() if r["stratum"] == stratum]
+        want += sorted(sorted(rows, key=lambda r: md5(f"3|{r['item_a']}|{r['item_b']}".encode()).hexdigest())[:10])
+    assert got == want
+    assert screen.sampled(pool.limit(0), 10).count() == 0
+
+
+def test_bounds_are_quantiles_of_the_gamma_law(spark):
+    """At the bound the distribution function of the shrunk rate is the level asked for."""
+    rows = [(float(n), e) for n in (0, 1, 2, 7, 40) for e in (0.0, 0.3, 2.0, 55.5)]
+    df = spark.createDataFrame(rows, "n double, e double").select("n", "e", *(bounds.log_ratio_bound(F.col("n"), F.col("e"), q).alias(f"b{q}".replace(".", "_")) for q in (0.025, 0.975)))
+    for r in df.collect():
+        for q, b in ((0.025, r["b0_025"]), (0.975, r["b0_975"])):
+            assert float(special.gamma_p(r["n"] + 0.5, 2**b * (r["e"] + 0.5))) == pytest.approx(q, abs=1e-9)
 
 
 def ipf(table, sweeps=5000):
@@ -293,6 +336,7 @@ def test_mentions(spark):
     docs = spark.createDataFrame([("ALPHA", "Take with betamine. " + "x" * 700 + " muscle pain with BETAMINE, avoid."), ("BETAMINE", "no partner"), ("GAMMA", None), ("DELTA", ""), ("EPS", "BETAMINES and UN-BETAMINE ACID X")], "ingredient string, text string")
     terms = spark.createDataFrame([("BETAMINE",), ("ALPHA",), ("X",), ("BETAMINE ACID",), ("Betamine",)], "term string")
     found = textref.mentions(docs, terms, "ingredient", "MUSCLE", "AVOID")
+    assert sorted(textref.mentions(docs, terms, "ingredient", "MUSCLE", "AVOID", most=0).collect()) == sorted(found.collect())  # terms too many to send
     got = {(r["ingredient"], r["term"]): (r["n_mentions"], r["near"], r["near_first"], r["restricted_first"]) for r in found.collect()}
     assert got == {("ALPHA", "BETAMINE"): (2, True, False, False), ("EPS", "BETAMINE"): (1, False, False, False), ("EPS", "BETAMINE ACID"): (1, False, False, False)}
     status = {r["item_a"] + r["item_b"]: r["status"] for r in textref.verified_pairs(spark.createDataFrame([("ALPHA", "BETAMINE"), ("DELTA", "GAMMA"), ("BETAMINE", "EPS"), ("ALPHA", "EPS")], "item_a string, item_b string"), docs, found).collect()}
