@@ -13,7 +13,8 @@ from casemill.session import cut
 from casemill.sources import delimited
 from casemill.sources.tables import table
 
-CHILDREN = ["drug", "reac", "outc"]
+CHILDREN = {"drug": "quarter", "reac": "quarter", "outc": "quarter", "drug_resolved": "era", "drug_ingredients": "era"}
+TABLES = ["demo", "drug", "drug_resolved", "drug_ingredients", "case_drugs", "reac", "outc", "documents", "substances", "mix_targets", "raw_files", "raw_lines"]
 #: The endpoint and restriction patterns of the text queries.
 ENDPOINT = "MUSCLE|JOINT|KINASE"
 RESTRICTION = "AVOID|DO NOT EXCEED|CONTRAINDICAT"
@@ -25,17 +26,17 @@ def key_uniqueness(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def orphans(spark: SparkSession, folder: str) -> DataFrame:
-    """Child rows without a demo row in their quarter (Q2)."""
-    parent = table(spark, folder, "demo", "quarter", "report_id")
-    parts = [
-        quality.orphans(table(spark, folder, t, "quarter", "report_id"), parent, ["quarter", "report_id"]).withColumn("table_name", F.lit(t)) for t in CHILDREN
-    ]
+    """Rows of each child table without a demo row in their quarter, or in their era where they have no quarter (Q2)."""
+    parts = []
+    for name, by in CHILDREN.items():
+        parent = table(spark, folder, "demo", by, "report_id")
+        parts.append(quality.orphans(table(spark, folder, name, by, "report_id"), parent, [by, "report_id"]).withColumn("table_name", F.lit(name)))
     return reduce(DataFrame.unionByName, parts)
 
 
 def rowcounts(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of each table against a manifest made of the distinct ones (Q3)."""
-    frames = {t: table(spark, folder, t) for t in CHILDREN}
+    frames = {t: table(spark, folder, t) for t in TABLES}
     manifest = reduce(
         DataFrame.unionByName,
         (df.distinct().agg(F.count(F.lit(1)).alias("expected")).withColumn("table_name", F.lit(t)) for t, df in frames.items()),
@@ -84,24 +85,28 @@ def quarter_gaps(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quarter_gaps(table(spark, folder, "demo", "quarter"))
 
 
-REAC = ["report_id", "case_id", "pt", "quarter", "era"]
-
-
-def _reac_lines(spark: SparkSession, folder: str) -> DataFrame:
-    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in REAC]
-    return table(spark, folder, "reac", *REAC).select(F.concat(F.concat_ws("$", *texts), F.lit("$")).alias("line"))
+def _split(spark: SparkSession, folder: str) -> DataFrame:
+    """All raw lines behind the headers, split plainly by the header of their file."""
+    files, lines = table(spark, folder, "raw_files"), table(spark, folder, "raw_lines")
+    body = lines.filter((F.col("line_no") > 1) & F.col("line").rlike(r"\S"))
+    return delimited.split_by_header(body, badrows.headers(files, lines)).join(files.select("file_id", "table_name"), "file_id")
 
 
 def delimited_parse(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of reac written as lines with a trailing delimiter and split again."""
-    return delimited.split_fields(_reac_lines(spark, folder), REAC).select(*REAC, "has_trailing", "n_surplus")
+    """Every raw line in the fields of its header, without regard to quotes."""
+    rows = _split(spark, folder)
+    return rows.select("file_id", "line_no", "skipped", "has_trailing", "n_surplus", F.array_join("fields", "|").alias("fields"))
 
 
 def scan_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    """Counters of the plain split over all raw lines of outc files (Q8)."""
-    outc = table(spark, folder, "raw_files").filter("table_name = 'outc'").select("file_id")
-    lines = table(spark, folder, "raw_lines").filter("line_no > 1").join(outc, "file_id", "left_semi").filter(F.col("line").rlike(r"\S"))
-    return delimited.scan_statistics(lines, ["a", "b", "c"])
+    """Counters of the plain split over all raw lines, by table (Q8)."""
+    return delimited.scan_statistics(_split(spark, folder), "table_name")
+
+
+def header_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The header of every raw file and its number of columns; only first lines are read."""
+    files, lines = table(spark, folder, "raw_files"), table(spark, folder, "raw_lines")
+    return badrows.headers(files, lines).select("file_id", "table_name", F.array_join("names", ";").alias("columns"), F.size("names").alias("n_columns"))
 
 
 def member_classes(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,9 +122,8 @@ def withdrawn_list(spark: SparkSession, folder: str) -> DataFrame:
 
 def canonical_numbers(spark: SparkSession, folder: str) -> DataFrame:
     """Row counts of all tables as one JSON document."""
-    names = ["demo", "drug", "reac", "outc", "case_drugs", "documents"]
     rows = reduce(
-        DataFrame.unionByName, (table(spark, folder, t).agg(F.count(F.lit(1)).alias("value")).select(F.lit(f"rows_{t}").alias("metric"), "value") for t in names)
+        DataFrame.unionByName, (table(spark, folder, t).agg(F.count(F.lit(1)).alias("value")).select(F.lit(f"rows_{t}").alias("metric"), "value") for t in TABLES)
     )
     return delimited.numbers_json(rows)
 
@@ -167,7 +171,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         key_uniqueness, orphans, rowcounts, id_overlap, cast_failures, missing_tables, schema_changes, column_presence, schema_vs_config, quarter_gaps, delimited_parse,
-        scan_statistics, member_classes, withdrawn_list, canonical_numbers, term_mentions, proximity, mention_pairs, verified_controls,
+        scan_statistics, header_scan, member_classes, withdrawn_list, canonical_numbers, term_mentions, proximity, mention_pairs, verified_controls,
     )
 }
 
@@ -180,13 +184,34 @@ def _cast_row(column: str, bad: str) -> str:
 
 _LAYOUT = r"""
 with heads as (
-  select f.file_id, series_id, table_name, quarter, list_transform(string_split(regexp_replace(line, '\r$', ''), '$'), lambda x: lower(trim(replace(replace(x, chr(65279), ''), '"', '')))) names
-  from raw_lines l join raw_files f on f.file_id = l.file_id where line_no = 1
+  select file_id, series_id, table_name, quarter, case when len(n) > 1 and n[-1] = '' then n[:-2] else n end names from (
+    select f.file_id, series_id, table_name, quarter, list_transform(string_split(regexp_replace(line, '\r$', ''), '$'), lambda x: lower(trim(replace(replace(replace(x, chr(65279), ''), '"', ''), chr(9), '')))) n
+    from raw_lines l join raw_files f on f.file_id = l.file_id where line_no = 1 and line is not null)
+)
+"""
+_SPLIT = _LAYOUT + r""", split as (
+  select file_id, line_no, table_name, len(f) > k + 5 skipped, len(f) > k and len(f) <= k + 5 has_trailing, case when len(f) > k + 5 then 0 else len(list_filter(f[k + 1:k + 5], lambda x: trim(x) <> '')) end n_surplus,
+    case when len(f) <= k + 5 then array_to_string(list_transform(range(1, k + 1), lambda i: coalesce(trim(f[i]), '')), '|') end fields
+  from (select file_id, line_no, table_name, len(names) k, string_split(regexp_replace(line, '\r$', ''), '$') f from raw_lines join heads using (file_id) where line_no > 1 and regexp_matches(line, '\S'))
 )
 """
-_MENTION = r"""
-with docs as (select doc_id, upper(text) t from documents where text is not null), hits as (
-  select doc_id, t, name term from docs join substances on contains(t, name) where length(name) >= 5 and regexp_matches(t, '(^|[^\p{L}\p{N}_])' || regexp_escape(name) || '($|[^\p{L}\p{N}_])')
+#: Whole-word mentions of the substances in the documents: where they stand, and what stands around them.
+_MENTION = rf"""
+with docs as (select doc_id, doc_type, upper(text) t from documents where text is not null), found as (
+  select doc_id, doc_type, t, name term, string_split(t, name) parts from docs join (select distinct upper(trim(name)) name from substances) on contains(t, name) where length(name) >= 5
+), placed as (
+  select *, list_filter(list_transform(range(1, len(parts)), lambda k: list_sum(list_transform(parts[1:k], lambda p: length(p))) + (k - 1) * length(term) + 1),
+    lambda a: not regexp_matches(substr(t, (a - 1)::bigint, 1), '[\p{{L}}\p{{N}}_]') and not regexp_matches(substr(t, (a + length(term))::bigint, 1), '[\p{{L}}\p{{N}}_]')) places from found
+), around as (
+  select *, list_transform(places, lambda a: substr(t, greatest(1, a - 600)::bigint, (a + length(term) + 600 - greatest(1, a - 600))::bigint)) windows from placed where len(places) > 0
+), hits as (
+  select doc_id, doc_type, term, len(list_filter(windows, lambda w: regexp_matches(w, '{ENDPOINT}'))) > 0 near, regexp_matches(windows[1], '{ENDPOINT}') near_first, regexp_matches(windows[1], '{RESTRICTION}') restricted_first from around
+), owner as (
+  select doc_id, min(term) ingredient from hits where doc_type = 'label_section' group by 1
+), told as (
+  select ingredient, term, bool_or(near_first) near, bool_or(restricted_first) restricted from hits join owner using (doc_id) where doc_type = 'label_section' and term <> ingredient group by 1, 2
+), listed as (
+  select distinct least(ingredient, term) item_a, greatest(ingredient, term) item_b from told
 )
 """
 
@@ -194,13 +219,13 @@ SQL = {
     "key_uniqueness": "select quarter, count(*) n_rows, count(distinct report_id) distinct_keys, count(*) - count(distinct report_id) duplicates from demo group by 1 having count(*) <> count(distinct report_id)",
     "orphans": " union all ".join(
         f"select '{t}' table_name, count(*) n_rows, count(*) filter (where o) orphans, round(count(*) filter (where o) / count(*), 6) rate, case when count(*) filter (where o) = 0 then 'PASS' else 'FAIL' end status "
-        f"from (select not exists (select 1 from demo d where d.quarter = c.quarter and d.report_id = c.report_id) o from {t} c)"
-        for t in CHILDREN
+        f"from (select not exists (select 1 from demo d where d.{by} = c.{by} and d.report_id = c.report_id) o from {t} c)"
+        for t, by in CHILDREN.items()
     ),
     "rowcounts": " union all ".join(
         f"select '{t}' table_name, (select count(*) from (select distinct * from {t})) expected, (select count(*) from {t}) found, "
         f"case when (select count(*) from (select distinct * from {t})) = (select count(*) from {t}) then 'PASS' else 'FAIL' end status"
-        for t in CHILDREN
+        for t in TABLES
     ),
     "id_overlap": "select count(*) n_ids, min(case_id) as low, max(case_id) as high, count(*) filter (where k) matched, round(count(*) filter (where k) / count(*), 6) rate, "
     "case when count(*) filter (where k) / count(*) > 0.1 then 'PASS' else 'FAIL' end status "
@@ -228,13 +253,20 @@ SQL = {
     + ") group by 1, 2",
     "quarter_gaps": "select quarter, n_rows, coalesce(i - lag(i) over (order by quarter) - 1, 0) gap from (select quarter, count(*) n_rows, "
     "min(substr(quarter, 1, 4)::int * 4 + substr(quarter, 6, 1)::int) i from demo where quarter is not null group by 1)",
-    "delimited_parse": "select coalesce(report_id::varchar, '') report_id, coalesce(case_id::varchar, '') case_id, trim(coalesce(pt, '')) pt, trim(coalesce(quarter, '')) as quarter, "
-    "trim(coalesce(era, '')) era, true has_trailing, 0 n_surplus from reac",
+    "delimited_parse": _SPLIT + "select file_id, line_no, skipped, has_trailing, n_surplus, fields from split",
+    "scan_statistics": _SPLIT + "select table_name, count(*) rows_raw, count(*) filter (where not skipped) rows_parsed, count(*) filter (where skipped) rows_skipped, "
+    "count(*) filter (where has_trailing) as trailing, sum(n_surplus)::bigint surplus_values from split group by 1",
+    "header_scan": _LAYOUT + "select file_id, table_name, array_to_string(names, ';') columns, len(names) n_columns from heads",
+    "canonical_numbers": "select '{' || string_agg('\"rows_' || t || '\":' || n, ',' order by 'rows_' || t) || '}' document from ("
+    + " union all ".join(f"select '{t}' t, count(*) n from {t}" for t in TABLES)
+    + ")",
+    "proximity": _MENTION + "select doc_id, term from hits where near",
+    "mention_pairs": _MENTION + "select item_a, item_b from listed",
+    "verified_controls": _MENTION
+    + """select item_a, item_b, (select count(distinct ingredient) from owner where ingredient in (item_a, item_b)) texts_available, true named,
+      case when bool_or(near) and bool_or(restricted) then 'restriction' when bool_or(near) then 'endpoint' else 'other_mention' end status
+    from listed join told on least(ingredient, term) = item_a and greatest(ingredient, term) = item_b group by item_a, item_b""",
     "member_classes": r"select file_name, lower(regexp_extract(file_name, '(?i)(DEMO|DRUG|REAC|OUTC|RPSR|THER|INDI|STAT)([0-9]{2})Q([0-9])[A-Z0-9_]*\.TXT$', 1)) member_table, 'table' kind from raw_files",
     "withdrawn_list": r"select distinct w::bigint case_id from (select unnest(regexp_split_to_array(trim(text), '[\s\x0b]+')) w from documents) where regexp_full_match(w, '[0-9]{1,18}')",
     "term_mentions": _MENTION + "select doc_id, term from hits",
-    "scan_statistics": r"""select count(*) rows_raw, count(*) filter (where n <= 8) rows_parsed, count(*) filter (where n > 3 and n <= 8) as trailing,
-      coalesce(sum(len(list_filter(f[4:], lambda x: trim(x) <> ''))) filter (where n <= 8), 0)::bigint surplus_values, count(*) filter (where n > 8) rows_skipped
-    from (select string_split(regexp_replace(line, '\r$', ''), '$') f, len(f) n from raw_lines where line_no > 1 and regexp_matches(line, '\S')
-      and file_id in (select file_id from raw_files where table_name = 'outc'))""",
 }

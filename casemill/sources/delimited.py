@@ -75,6 +75,35 @@ def members(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(batches, "path string, member string, content binary")
 
 
+#: A member without a line end in its first MiB has no header.
+HEADER_LIMIT = 1 << 20
+
+
+def member_headers(spark: SparkSession, path: str, delimiter: str = "$") -> DataFrame:
+    """(path, member, size, header, names) of every member of every archive; only first lines are unpacked.
+
+    ``header`` and ``names`` are NULL for folders and members without a line end in the
+    first ``HEADER_LIMIT`` bytes that are longer than it; names are trimmed and lower-cased.
+    """
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, raw in zip(frame["path"], frame["content"]):
+                with zipfile.ZipFile(io.BytesIO(raw)) as archive:
+                    for info in archive.infolist():
+                        with archive.open(info) as member:
+                            first = member.readline(HEADER_LIMIT)
+                        whole = not info.is_dir() and (first.endswith(b"\n") or len(first) < HEADER_LIMIT)
+                        header = decode(first)[0].strip("\r\n") if whole else None
+                        names = [n.strip().lstrip("\ufeff").lower() for n in header.split(delimiter)] if whole else None
+                        rows.append((name, info.filename, info.file_size, header, names))
+            yield pd.DataFrame(rows, columns=["path", "member", "size", "header", "names"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(batches, "path string, member string, size bigint, header string, names array<string>")
+
+
 def lines_of(unpacked: DataFrame) -> DataFrame:
     """(path, member, line_no, line, decode_errors) of the non-blank lines, without their ends."""
 
@@ -113,13 +142,28 @@ def split_fields(df: DataFrame, names: list[str], line: str = "line", delimiter:
     return got.withColumn("has_trailing", F.size("_f") > len(names)).withColumn("n_surplus", F.size(F.filter(extra, lambda x: F.trim(x) != ""))).drop("_f")
 
 
-def scan_statistics(df: DataFrame, names: list[str], line: str = "line") -> DataFrame:
-    """One row (rows_raw, rows_parsed, rows_skipped, trailing, surplus_values) of a split."""
-    raw = df.agg(F.count(F.lit(1)).alias("rows_raw"))
-    sums = split_fields(df, names, line).agg(
-        F.count(F.lit(1)).alias("rows_parsed"), F.count_if("has_trailing").alias("trailing"), F.coalesce(F.sum("n_surplus"), F.lit(0)).alias("surplus_values")
+def split_by_header(lines: DataFrame, headers: DataFrame, delimiter: str = "$") -> DataFrame:
+    """``lines`` (file_id, line) of files of different columns, split plainly by ``headers`` (file_id, names).
+
+    Adds names, fields (trimmed, one per name), has_trailing, n_surplus and ``skipped``,
+    true for lines with more than ``PAD`` fields over the names, which have no fields.
+    """
+    parts = F.split(F.regexp_replace("line", "\r$", ""), re.escape(delimiter), -1)
+    rows = lines.join(headers.select("file_id", "names"), "file_id").withColumn("_f", parts).withColumn("_n", F.size("names"))
+    extra = F.filter(F.slice("_f", F.col("_n") + 1, F.lit(PAD)), lambda x: F.trim(x) != "")
+    fields = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.coalesce(F.trim(F.get("_f", i)), F.lit("")))
+    skipped = F.size("_f") > F.col("_n") + PAD
+    return rows.withColumns(
+        {"skipped": skipped, "has_trailing": ~skipped & (F.size("_f") > F.col("_n")), "n_surplus": F.when(skipped, 0).otherwise(F.size(extra)), "fields": F.when(~skipped, fields)}
+    ).drop("_f", "_n")
+
+
+def scan_statistics(split: DataFrame, by: str) -> DataFrame:
+    """(by, rows_raw, rows_parsed, rows_skipped, trailing, surplus_values) of ``split_by_header``, in one pass."""
+    return split.groupBy(by).agg(
+        F.count(F.lit(1)).alias("rows_raw"), F.count_if(~F.col("skipped")).alias("rows_parsed"), F.count_if("skipped").alias("rows_skipped"),
+        F.count_if("has_trailing").alias("trailing"), F.sum("n_surplus").alias("surplus_values"),
     )
-    return raw.join(F.broadcast(sums)).withColumn("rows_skipped", F.col("rows_raw") - F.col("rows_parsed"))  # single rows
 
 
 def id_list(lines: DataFrame, line: str = "line") -> DataFrame:

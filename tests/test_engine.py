@@ -362,8 +362,12 @@ def test_archives(spark, tmp_path):
     assert names_ == ["report_id", "pt"]
     got = {tuple(r) for r in delimited.split_fields(reac, names_).select("report_id", "pt", "has_trailing", "n_surplus").collect()}
     assert got == {("4204616", "NAUSEA", True, 0), ("4204617", "X", True, 1)}
-    stats = delimited.scan_statistics(reac, names_).first()
-    assert (stats["rows_raw"], stats["rows_skipped"], stats["surplus_values"]) == (2, 0, 1)
+    heads = spark.createDataFrame([(1, names_)], "file_id int, names array<string>")
+    more = reac.select(F.lit(1).alias("file_id"), "line").union(spark.createDataFrame([(1, "$".join("abcdefghi")), (1, "7")], "file_id int, line string"))
+    stats = delimited.scan_statistics(delimited.split_by_header(more, heads).withColumn("t", F.lit("reac")), "t").first()
+    assert (stats["rows_raw"], stats["rows_skipped"], stats["trailing"], stats["surplus_values"]) == (4, 1, 2, 1)
+    first = {r["member"]: r["names"] for r in delimited.member_headers(spark, str(tmp_path / "a.zip")).collect()}
+    assert first["ascii/REAC04Q1.TXT"] == ["isr", "pt"] and first["ascii/DRUG04Q1.TXT"] == ["isr", "drugname"]
     assert "CROHN’S" in {r["line"].split("$")[1] for r in lines.filter("member like '%DRUG%' and line_no > 1").collect()}
     assert {r[0] for r in delimited.id_list(lines.filter("member like '%elet%'")).collect()} == {12, 34}
     with pytest.raises(ValueError):
@@ -414,3 +418,19 @@ def test_every_query_is_callable():
 
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and all(callable(q) for q in queries.values())
+
+
+def test_catalog_and_settings(spark, tmp_path, small):
+    from casemill.sources import catalog
+
+    catalog.register(spark, small, ["substances", "drug_ingredients"], "t_")
+    assert spark.sql("select count(*) from t_substances").first()[0] > 700
+    name = spark.sql("select ingredient from t_drug_ingredients where ingredient like '% %' order by 1 limit 1").first()[0]
+    got = {r[0] for r in catalog.like_prefix(spark, "t_drug_ingredients", "ingredient", name.split(" ")[0]).collect()}
+    assert name in got and all(x.startswith(name.split(" ")[0] + " ") for x in got)
+    assert catalog.like_prefix(spark, "t_drug_ingredients", "ingredient", "x' or '1'='1").count() == 0
+    settings = catalog.Settings(least_pair=5).calibrated(0.25)
+    catalog.write_settings(spark, settings, str(tmp_path / "s"))
+    assert catalog.read_settings(spark, str(tmp_path / "s")) == settings
+    catalog.write_settings(spark, catalog.Settings(), str(tmp_path / "s"))
+    assert catalog.read_settings(spark, str(tmp_path / "s")) == catalog.Settings()
