@@ -76,6 +76,13 @@ def p5_rows(spark: SparkSession, folder: str) -> DataFrame:
     return _parsed(spark, folder).filter("reason is null").select("file_id", "line_no", "table_name", "names", "fields")
 
 
+def p5_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines that load, a row per column that is filled."""
+    rows = _parsed(spark, folder).filter("reason is null")
+    each = rows.select("file_id", "line_no", "table_name", F.explode(F.arrays_zip("names", "fields")).alias("z"))
+    return each.select("file_id", "line_no", "table_name", F.col("z.names").alias("column_name"), F.col("z.fields").alias("value")).filter("value <> ''")
+
+
 def p5_rejected(spark: SparkSession, folder: str) -> DataFrame:
     """The lines that do not load, with the edits or the value that state the reason."""
     return badrows.rejected(_parsed(spark, folder))
@@ -97,6 +104,7 @@ QUERIES = {
     "p3_values": p3_values,
     "p3_found": p3_found,
     "p5_rows": p5_rows,
+    "p5_values": p5_values,
     "p5_rejected": p5_rejected,
     "p5_found": p5_found,
 }
@@ -107,7 +115,8 @@ with spelled as (
 ), words as (
   select *, regexp_replace(regexp_replace(t, '^p(t?)([0-9.,]+)([a-z])$', '\2 \3'), '^(one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve) ', '1 ') u from spelled
 ), read as (
-  select *, try_cast(replace(regexp_extract(u, '[0-9]+([.,][0-9]+)?'), ',', '.') as double) v,
+  select *, coalesce(nullif(list_position(['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve'], regexp_extract(t, '^[a-z]+')), 0)::double,
+      try_cast(replace(regexp_extract(u, '[0-9]+([.,][0-9]+)?'), ',', '.') as double)) v,
     case when regexp_matches(u, '^[0-9]+([.,][0-9]+)?$') then 'none'
          when regexp_matches(u, '^[0-9]+/12$') then 'MON' when regexp_matches(u, '^[0-9]+/52$') then 'WK' when regexp_matches(u, '^[0-9]+/7$') then 'DY'
          when regexp_matches(u, '[0-9][ -]?(dec|decades?|dec\.|décennies?|dekaden?)$') then 'DEC'
@@ -129,7 +138,8 @@ with spelled as (
   from plain where n >= 5 and k * 20 <= n and mx > 145
 ), unit as (
   select r.*, case when v is null or tu is null then null when tu <> 'none' and (c = '' or cu is not null) then tu when cu is not null then cu
-    when c <> '' then null else coalesce(su, 'YR') end unit
+    when c <> '' then null else coalesce(su, 'YR') end unit,
+    case when tu <> 'none' and (c = '' or cu is not null) then 'text' when cu is not null then 'code' when su is not null then 'source' else 'default' end unit_from
   from read r left join custom using (mfr_sndr)
 )
 """
@@ -159,6 +169,8 @@ with names as (
 
 SQL = {
     "p1_found": _AGE_SQL + "select distinct report_id, quarter from unit where unit <> 'YR'",
+    "p1_ages": _AGE_SQL
+    + f"select report_id, case_id, quarter, age, age_cod, unit age_unit, unit_from age_unit_from, round(v * case unit {' '.join(f'when {u!r} then {f!r}' for u, f in units.YEARS.items())} end, 6) age_years from unit where unit is not null",
     "p2_found": _LINES_SQL
     + ", known as (select * from (values "
     + ", ".join(f"('{n}', '{a}')" for n, a in sorted(ATTRIBUTE.items()))
@@ -180,5 +192,6 @@ select file_id, old column_name, 'removed' change from met where now is null
 union select file_id, now, 'added' from met where old is null
 union select file_id, now, 'renamed' from met where now <> old
 union select file_id, now, 'retyped' from met where k <> j""",
+    "p5_values": _LINES_SQL + "select file_id, line_no, table_name, n column_name, replace(v, '\"\"', '\"') as value from (select file_id, line_no, table_name, unnest(names) n, unnest(f[1:len(names)]) v from judged where not bad) where v <> ''",
     "p5_found": _LINES_SQL + "select distinct file_id, line_no from judged where bad",
 }
