@@ -147,6 +147,26 @@ with ranked as (
 select case_id, report_id, quarter from ranked where rn = 1 and n >= 2
 """,
 }
+# The fields of demo that completeness counts.
+_FIELDS = "i_f_cod event_dt fda_dt rept_cod mfr_num mfr_sndr age age_cod sex wt wt_cod occp_cod reporter_country occr_country era".split()
+_FILLED = {f: f"case when trim({f}) <> '' then {f} end" for f in _FIELDS}
+SQL["p7_survivors"] = f"""
+with recursive base as (
+  select case_id k, coalesce(try_cast(caseversion as bigint), -1) v, coalesce(quarter, '') q, coalesce(report_id, -1) r, {' + '.join(f"(coalesce(trim({f}), '') <> '')::int" for f in _FIELDS)} c,
+    {', '.join(f'{x} {f}' for f, x in _FILLED.items())} from demo where case_id is not null
+), points as (select distinct k, v, q, c from base),
+above as (
+  select b.k, a.v av, a.q aq, a.c ac, b.v, b.q, b.c from points a join points b on a.k = b.k and a.v >= b.v and a.q >= b.q and a.c >= b.c and (a.v > b.v or a.q > b.q)
+), deep as (
+  select k, v, q, c, 1 layer from points
+  union
+  select x.k, x.v, x.q, x.c, d.layer + 1 from deep d join above x on x.k = d.k and x.av = d.v and x.aq = d.q and x.ac = d.c
+), layers as (select k, v, q, c, max(layer) layer from deep group by all),
+placed as (select base.*, layer from base join layers using (k, v, q, c)),
+best as (select k, arg_max({{'r': r, 'q': q, 'v': v}}, (v, q, r)) filter (where layer = 1) b, count(*) n_rows, max(layer) n_layers,
+    {', '.join(f'arg_max({f}, (-layer, v, q, r, {f})) filter (where {f} is not null) {f}' for f in _FIELDS)} from placed group by k)
+select k case_id, nullif(b.r, -1) report_id, nullif(b.q, '') as quarter, nullif(b.v, -1) caseversion, {', '.join(_FIELDS)}, n_rows, n_layers from best
+"""
 _H = "case when ({0}) > 0 then ({0})::double * ln(({0})::double) else 0 end"
 for _term in ("n_ab", "n_a - n_ab", "n_b - n_ab", "n - n_a - n_b + n_ab", "n_a", "n - n_a", "n_b", "n - n_b", "n"):
     SQL["p6_pairs"] = SQL["p6_pairs"].replace(f"h({_term})", _H.format(_term))
