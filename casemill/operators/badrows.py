@@ -85,55 +85,57 @@ def _few_edits(line: str, width: int) -> list[str]:
 
 
 def searched_edits(line: str, width: int) -> list[str]:
-    """The edits of a cheapest path, by dynamic programming over all tokens."""
-    best: dict[tuple[int, int], tuple[int, tuple | None]] = {(START, 0): (0, None)}
-
-    def relax(states: dict, at: int) -> dict:
-        """Edits that insert, cheapest first."""
-        queue = sorted(states, key=lambda s: states[s][0])
-        for state in queue:
-            (mode, count), (cost, path) = state, states[state]
+    """The edits of a cheapest path over (token, state, delimiters read), by dynamic programming in order of cost.
+
+    All places a path of one cost can reach are filled in before those of the next, so the
+    search ends with the first path that reaches the end.
+    """
+    tokens = [(m.group(), m.start()) for m in _TOKEN.finditer(line)]
+    end = len(tokens)
+    origin: dict[tuple[int, int, int], tuple | None] = {(0, START, 0): None}
+    layer = list(origin)
+    while True:
+        following: list[tuple[tuple, tuple, str]] = []
+        for place in layer:  # grows: free steps stay in the layer
+            i, mode, count = place
+            if i == end:
+                if mode not in _OPEN and (count == width - 1 or count == width and mode in (START, CLOSED_NEW)):
+                    return _edits(origin, place)
+                at, token = len(line), ""
+            else:
+                token, at = tokens[i]
+            free = None
+            if token == DELIMITER:
+                free = (i + 1, QUOTED, count) if mode in _OPEN else (i + 1, START, count + 1) if count < width else None
+            elif token == '"':
+                free = (i + 1, _QUOTE[mode], count)
+            elif token and mode not in _SHUT:
+                free = (i + 1, QUOTED if mode in _OPEN else BARE, count)
+            if free and free not in origin:
+                origin[free] = (place, "")
+                layer.append(free)
             steps = []
+            if token == DELIMITER or token == '"':
+                steps.append(((i + 1, mode, count), f"delete_{'delimiter' if token == DELIMITER else 'quote'}@{at}"))
             if mode not in _OPEN and count < width:
-                steps.append((START, count + 1, "insert_delimiter"))
+                steps.append(((i, START, count + 1), f"insert_delimiter@{at}"))
             if mode != BARE:
-                steps.append((_QUOTE[mode], count, "insert_quote"))
-            for new_mode, new_count, what in steps:
-                new = (new_mode, new_count)
-                if new not in states or states[new][0] > cost + 1:
-                    states[new] = (cost + 1, (f"{what}@{at}", path))
-                    queue.append(new)
-        return states
-
-    def better(states: dict, key: tuple, cost: int, path: tuple | None) -> None:
-        if key not in states or states[key][0] > cost:
-            states[key] = (cost, path)
-
-    for match in _TOKEN.finditer(line):
-        token, at = match.group(), match.start()
-        states: dict = {}
-        for (mode, count), (cost, path) in relax(best, at).items():
-            if token == DELIMITER:
-                if mode in _OPEN:
-                    better(states, (QUOTED, count), cost, path)
-                elif count < width:
-                    better(states, (START, count + 1), cost, path)
-                better(states, (mode, count), cost + 1, (f"delete_delimiter@{at}", path))
-            elif token == '"':
-                better(states, (_QUOTE[mode], count), cost, path)
-                better(states, (mode, count), cost + 1, (f"delete_quote@{at}", path))
-            elif mode not in _SHUT:
-                better(states, (QUOTED if mode in _OPEN else BARE, count), cost, path)
-        best = states
-    ends = [
-        value
-        for (mode, count), value in relax(best, len(line)).items()
-        if mode not in _OPEN and (count == width - 1 or count == width and mode in (START, CLOSED_NEW))
-    ]
-    edits, path = [], min(ends, key=lambda x: x[0])[1]
-    while path:
-        edits.append(path[0])
-        path = path[1]
+                steps.append(((i, _QUOTE[mode], count), f"insert_quote@{at}"))
+            following += [(new, place, what) for new, what in steps]
+        layer = []
+        for new, place, what in following:
+            if new not in origin:
+                origin[new] = (place, what)
+                layer.append(new)
+
+
+def _edits(origin: dict, place: tuple) -> list[str]:
+    """The edits on the way to ``place``."""
+    edits = []
+    while origin[place]:
+        place, what = origin[place]
+        if what:
+            edits.append(what)
     return edits[::-1]
 
 
