@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.operators.attributes import NAMES
+from casemill.session import cut
 
 DELIMITER = "$"
 _TOKEN = re.compile(r'\$|"|[^$"]+')
@@ -139,17 +140,19 @@ def _edits(origin: dict, place: tuple) -> list[str]:
     return edits[::-1]
 
 
-def read_line(line: str, width: int, id_at: int, name_at: int) -> tuple[list[str] | None, str | None]:
-    """Fields and None of a line that loads, else None and the reason."""
+def read_line(line: str, width: int, id_at: int, name_at: int, reasons: bool = True) -> tuple[list[str] | None, str | None]:
+    """Fields and None of a line that loads, else None and the reason.
+
+    A path that costs nothing proves the line: each token has one free step at most, so
+    where the splitter fails no such path is. The edits that state the reason are looked
+    for only with ``reasons``.
+    """
     fields = split_line(line)
     if fields is not None and len(fields) == width + 1 and fields[-1] == "":
         fields.pop()
-    # A path that costs nothing proves the line; for all others the cheapest path decides.
     if fields is None or len(fields) != width:
         kind = "quoting" if fields is None else "field_count"
-        edits = cheapest_edits(line, width)
-        if edits:
-            return None, f"{kind}: " + " ".join(edits)
+        return None, f"{kind}: " + " ".join(cheapest_edits(line, width)) if reasons else kind
     if id_at >= 0 and not _ID.fullmatch(fields[id_at].strip()):
         return None, "report_id: not 1 to 18 digits"
     if name_at >= 0:
@@ -185,39 +188,42 @@ def headers(files: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def parse(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """All non-blank lines after the headers: (file_id, line_no, table_name, names, fields, reason).
+def headed(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """All non-blank lines after the headers with what is needed of their header: (file_id, line_no, line, table_name, header, width, id_at, name_at).
+
+    The headers are written first: their size is then known, so that the planner sends
+    them to all tasks while they are small and no line is moved; otherwise it joins them
+    by file and splits hot files. ``header`` is the names in one text.
+    """
+    known = cut(headers(files, lines), "headers").select("file_id", "table_name", F.concat_ws(DELIMITER, "names").alias("header"), F.size("names").alias("width"), "id_at", "name_at")
+    body = lines.filter((F.col("line_no") > 1) & F.col("line").rlike(r"\S"))
+    return body.select("file_id", "line_no", "line").join(known, "file_id", "left")
+
+
+def read_frame(frame: pd.DataFrame, reasons: bool = True) -> Iterator[tuple[list[str] | None, str | None]]:
+    """``read_line`` for each row of a batch of ``headed``."""
+    for line, width, id_at, name_at in zip(frame["line"], frame["width"], frame["id_at"], frame["name_at"]):
+        if width != width or not width:
+            yield None, "no_header"
+        else:
+            yield read_line(line.removesuffix("\r"), int(width), int(id_at), int(name_at), reasons)
+
 
-    ``reason`` is NULL and ``fields`` filled for the lines that load; the other way
-    round for the rest. Lines meet their header in an equi-join that the adaptive
-    planner broadcasts while the headers are small and splits where one file is hot.
+def parse(files: DataFrame, lines: DataFrame, reasons: bool = True) -> DataFrame:
+    """All non-blank lines after the headers: (file_id, line_no, table_name, header, fields, reason).
+
+    ``reason`` is NULL and ``fields`` filled for the lines that load; the other way round
+    for the rest. ``header`` holds the names of the fields, with the delimiter between them.
     """
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            fields, reasons = [], []
-            for line, width, id_at, name_at in zip(frame["line"], frame["width"], frame["id_at"], frame["name_at"]):
-                if width != width or not width:
-                    got = (None, "no_header")
-                else:
-                    got = read_line(line.removesuffix("\r"), int(width), int(id_at), int(name_at))
-                fields.append(got[0])
-                reasons.append(got[1])
-            yield pd.DataFrame(
-                {"file_id": frame["file_id"], "line_no": frame["line_no"], "table_name": frame["table_name"],
-                 "names": frame["names"], "fields": fields, "reason": reasons}
-            )
+            got = list(read_frame(frame, reasons))
+            out = frame[["file_id", "line_no", "table_name", "header"]].copy()
+            out["fields"], out["reason"] = [g[0] for g in got], [g[1] for g in got]
+            yield out
 
-    body = lines.filter((F.col("line_no") > 1) & F.col("line").rlike(r"\S"))
-    return (
-        body.select("file_id", "line_no", "line")
-        .join(headers(files, lines), "file_id", "left")
-        .withColumn("width", F.size("names"))
-        .mapInPandas(
-            batches,
-            "file_id bigint, line_no int, table_name string, names array<string>, fields array<string>, reason string",
-        )
-    )
+    return headed(files, lines).mapInPandas(batches, "file_id bigint, line_no int, table_name string, header string, fields array<string>, reason string")
 
 
 def rejected(parsed: DataFrame) -> DataFrame:

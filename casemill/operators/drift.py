@@ -1,9 +1,11 @@
 """Files whose columns drift: rescue-column ingestion and the list of changes.
 
-Each parsed line becomes a map from attribute to text. The target schema takes what
-casts; unknown fields and values that do not cast stay as JSON in ``_rescued``.
-``promote`` adds an approved rescued field as a typed column and replays its rescued
-values; ``replay`` does so for columns whose type was corrected.
+Each line that loads goes through ``Rescue``: the target schema of its table takes the
+values that cast, and unknown fields and values that do not cast are rescued. ``ingest``
+makes of this one typed table with the rescued values as JSON in ``_rescued``; the list
+of changes compares, file by file, what was taken and what was rescued under which name
+and of which type. ``promote`` adds an approved rescued field as a typed column and
+replays its rescued values; ``replay`` does so for columns whose type was corrected.
 
 Defined results: blank values are NULL and never rescued; of columns that mean the same
 attribute in one file the first filled one counts; a file without lines that load has
@@ -13,6 +15,7 @@ never ``retyped``.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -23,11 +26,59 @@ from pyspark.sql import functions as F
 
 from casemill.functions.text import number
 from casemill.operators.attributes import ATTRIBUTE, SCHEMA, attribute
+from casemill.operators.badrows import DELIMITER, headed, read_frame
 
 SKETCH = 16
 MERGES = 64
 _WHOLE = re.compile(r"[+-]?[0-9]+")
 _DECIMAL = re.compile(r"[+-]?(?:[0-9]+\.[0-9]*|\.[0-9]+)")
+_INTEGER = re.compile(r"([+-]?[0-9]+)(?:\.0+)?")
+_NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
+_BITS = {"bigint": 63, "int": 31}
+
+
+def fits(value: str, kind: str) -> bool:
+    """Does the trimmed text cast to the type?"""
+    if kind == "string":
+        return True
+    if kind == "double":
+        return bool(_NUMBER.fullmatch(value))
+    m = _INTEGER.fullmatch(value)
+    return bool(m) and -(2 ** _BITS[kind]) <= int(m[1]) < 2 ** _BITS[kind]
+
+
+class Rescue:
+    """The rows of one header under the target schema of its table."""
+
+    def __init__(self, header: str, table: str):
+        self.names = header.split(DELIMITER)
+        self.schema = SCHEMA.get(table, {})
+        self.attributes = [attribute(n) for n in self.names]
+        self.kinds = [self.schema.get(a) for a in self.attributes]
+
+    def row(self, fields: list[str]) -> tuple[dict[str, str], dict[str, str]]:
+        """(taken, rescued): attribute to text of the values the schema takes, and of those it does not."""
+        taken: dict[str, str] = {}
+        rescued: dict[str, str] = {}
+        bad: dict[str, str] = {}
+        for value, name, kind in zip(fields, self.attributes, self.kinds):
+            value = value.strip()
+            if not value or name in taken or name in rescued or name in bad:
+                continue
+            if kind is None:
+                rescued[name] = value
+            elif fits(value, kind):
+                taken[name] = value
+            else:
+                bad[name] = value
+        if bad:
+            rescued.update((n, bad[n]) for n in self.schema if n in bad)
+        return taken, rescued
+
+
+def _kind(value: str) -> int:
+    """1 whole number, 2 decimal, 3 text."""
+    return 1 if _WHOLE.fullmatch(value) else 2 if _DECIMAL.fullmatch(value) else 3
 
 
 def _sketch(values: Iterable[str]) -> list[int]:
@@ -35,41 +86,55 @@ def _sketch(values: Iterable[str]) -> list[int]:
     return sorted({zlib.crc32(v.upper().encode()) for v in values})[:SKETCH]
 
 
-def profiles(parsed: DataFrame) -> DataFrame:
-    """(file_id, at, kind, sketch) of each column with values: its type and a bottom-k sketch.
+class _Profile:
+    """What the rows of one file in one batch hold, by attribute: the type, the values, and whether any was rescued."""
 
-    Types and sketches are first made per Arrow batch, so a file with a third of all
-    rows is merged from a few rows per batch. ``kind`` is 1 whole, 2 decimal, 3 text.
+    def __init__(self, rescue: Rescue):
+        self.rescue = rescue
+        self.kinds: dict[str, int] = {}
+        self.values: dict[str, set[str]] = {}
+        self.rescued: set[str] = set()
+
+    def add(self, fields: list[str]) -> None:
+        taken, rescued = self.rescue.row(fields)
+        if rescued:
+            self.rescued.update(rescued)
+            taken.update(rescued)
+        for name, value in taken.items():
+            kind = self.kinds.get(name, 0)
+            if kind < 3:
+                self.kinds[name] = max(kind, _kind(value))
+            self.values.setdefault(name, set()).add(value)
+
+
+def profiles(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """(file_id, attribute, kind, sketch, rescued) of what ingestion takes and rescues of each file.
+
+    ``kind`` is 1 whole, 2 decimal, 3 text; ``sketch`` is a bottom-k sketch of the values.
+    Lines are parsed and rescued in one pass, and profiles are first made per Arrow batch,
+    so that a file with a third of all rows is merged from a few rows per batch.
     """
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple[str, str], Rescue] = {}
         for frame in frames:
-            kinds: dict[int, list[int]] = {}
-            seen: dict[int, list[set[str]]] = {}
-            for file_id, fields in zip(frame["file_id"], frame["fields"]):
-                if file_id not in kinds:
-                    kinds[file_id], seen[file_id] = [0] * len(fields), [set() for _ in fields]
-                kind, values = kinds[file_id], seen[file_id]
-                for at, value in enumerate(fields):
-                    value = value.strip()
-                    if value:
-                        values[at].add(value)
-                        if kind[at] < 3:
-                            kind[at] = max(kind[at], 1 if _WHOLE.fullmatch(value) else 2 if _DECIMAL.fullmatch(value) else 3)
-            yield pd.DataFrame(
-                [(f, at, k, _sketch(seen[f][at])) for f, kind in kinds.items() for at, k in enumerate(kind) if k],
-                columns=["file_id", "at", "kind", "sketch"],
-            )
-
-    merged = (
-        parsed.filter(F.col("reason").isNull())
-        .select("file_id", "fields")
-        .mapInPandas(batches, "file_id bigint, at int, kind int, sketch array<bigint>")
-    )
+            found: dict[int, _Profile] = {}
+            for file_id, table, header, (fields, _) in zip(frame["file_id"], frame["table_name"], frame["header"], read_frame(frame, False)):
+                if fields is not None:
+                    if file_id not in found:
+                        if (table, header) not in known:
+                            known[table, header] = Rescue(header, str(table).lower())
+                        found[file_id] = _Profile(known[table, header])
+                    found[file_id].add(fields)
+            rows = [(f, name, kind, _sketch(p.values[name]), name in p.rescued) for f, p in found.items() for name, kind in p.kinds.items()]
+            yield pd.DataFrame(rows, columns=["file_id", "attribute", "kind", "sketch", "rescued"])
+
+    merged = headed(files, lines).mapInPandas(batches, "file_id bigint, attribute string, kind int, sketch array<bigint>, rescued boolean")
     lowest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))), 1, SKETCH).alias("sketch")
+    sums = (F.max("kind").alias("kind"), lowest, F.bool_or("rescued").alias("rescued"))
     # Twice, so that the many batches of a hot file never meet in one row.
-    salted = merged.groupBy("file_id", "at", F.pmod(F.xxhash64("sketch"), F.lit(MERGES)).alias("salt")).agg(F.max("kind").alias("kind"), lowest)
-    return salted.groupBy("file_id", "at").agg(F.max("kind").alias("kind"), lowest)
+    salted = merged.groupBy("file_id", "attribute", F.pmod(F.xxhash64("sketch"), F.lit(MERGES)).alias("salt")).agg(*sums)
+    return salted.groupBy("file_id", "attribute").agg(*sums)
 
 
 def layouts(files: DataFrame, headers: DataFrame, profile: DataFrame) -> DataFrame:
@@ -78,10 +143,12 @@ def layouts(files: DataFrame, headers: DataFrame, profile: DataFrame) -> DataFra
     One row per file; the window runs over the files of one series and table, which are
     as many as there are quarters.
     """
+    known = F.create_map(*(F.lit(x) for pair in sorted(ATTRIBUTE.items()) for x in pair))
     named = (
         headers.select("file_id", F.posexplode("names").alias("at", "name"))
         .filter("name <> ''")
-        .join(profile, ["file_id", "at"], "left")
+        .withColumn("attribute", F.coalesce(F.try_element_at(known, F.col("name")), F.col("name")))
+        .join(profile, ["file_id", "attribute"], "left")
         .groupBy("file_id")
         .agg(F.array_sort(F.collect_list(F.struct("at", "name", "kind", "sketch"))).alias("columns"))
     )
@@ -155,36 +222,27 @@ def _typed(text: Column, kind: str) -> Column:
     return number(text) if kind == "double" else text.try_cast(kind)
 
 
-def ingest(parsed: DataFrame, table_name: str) -> DataFrame:
+def ingest(files: DataFrame, lines: DataFrame, table_name: str) -> DataFrame:
     """The lines of ``table_name`` that load, in its target schema, with ``_rescued`` JSON."""
     schema = SCHEMA[table_name]
-    known = F.create_map(*(F.lit(x) for pair in sorted(ATTRIBUTE.items()) for x in pair))
-    entries = F.arrays_zip(
-        F.transform("names", lambda n: F.coalesce(F.try_element_at(known, n), n)).alias("k"),
-        F.transform("fields", lambda v: F.nullif(F.trim(v), F.lit(""))).alias("v"),
-    )
-    rows = (
-        parsed.filter(F.col("reason").isNull() & (F.lower("table_name") == table_name))
-        .withColumn("entries", F.filter(entries, lambda e: e["v"].isNotNull()))
-        .select("file_id", "line_no", "entries")
-    )
 
-    def text(name: str) -> Column:
-        return F.get(F.filter("entries", lambda e: e["k"] == name), F.lit(0))["v"]
-
-    rows = rows.select("*", *(text(n).alias(f"_text_{n}") for n in schema))
-    typed = [_typed(F.col(f"_text_{n}"), k).alias(n) for n, k in schema.items()]
-    bad = [n for n, k in schema.items() if k != "string"]
-    kept = F.filter("entries", lambda e: ~e["k"].isin(list(schema)))
-    for n in bad:
-        failed = F.col(f"_text_{n}").isNotNull() & _typed(F.col(f"_text_{n}"), schema[n]).isNull()
-        kept = F.concat(kept, F.when(failed, F.array(F.struct(F.lit(n).alias("k"), F.col(f"_text_{n}").alias("v")))).otherwise(F.array()))
-    once = F.aggregate(
-        kept,
-        F.array().cast("array<struct<k:string,v:string>>"),
-        lambda acc, e: F.when(F.exists(acc, lambda a: a["k"] == e["k"]), acc).otherwise(F.array_append(acc, e)),
-    )
-    return rows.select("file_id", "line_no", *typed, F.when(F.size(once) > 0, F.to_json(F.map_from_entries(once))).alias("_rescued"))
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, Rescue] = {}
+        for frame in frames:
+            rows = []
+            for file_id, line_no, header, (fields, _) in zip(frame["file_id"], frame["line_no"], frame["header"], read_frame(frame, False)):
+                if fields is None:
+                    continue
+                if header not in known:
+                    known[header] = Rescue(header, table_name)
+                taken, rescued = known[header].row(fields)
+                rows.append((file_id, line_no, *(taken.get(n) for n in schema), json.dumps(rescued, ensure_ascii=False, separators=(",", ":")) if rescued else None))
+            yield pd.DataFrame(rows, columns=["file_id", "line_no", *schema, "_rescued"], dtype=object)
+
+    wanted = files.filter(F.lower("table_name") == table_name)
+    own = lines.join(wanted.select("file_id"), "file_id", "left_semi")
+    texts = headed(wanted, own).mapInPandas(batches, f"file_id bigint, line_no int, {', '.join(f'{n} string' for n in schema)}, _rescued string")
+    return texts.select("file_id", "line_no", *(_typed(F.col(n), kind).alias(n) for n, kind in schema.items()), "_rescued")
 
 
 def promote(df: DataFrame, field: str, kind: str, column: str | None = None) -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.operators import badrows, drift, packed, units
-from casemill.operators.attributes import ATTRIBUTE
-from casemill.session import cut
+from casemill.operators.attributes import ATTRIBUTE, SCHEMA
 from casemill.sources.tables import table
 
 
@@ -25,28 +24,27 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return got.filter("age_years is not null and age_unit <> 'YR'").select("report_id", "quarter").distinct()
 
 
-def _parsed(spark: SparkSession, folder: str) -> DataFrame:
-    return badrows.parse(table(spark, folder, "raw_files"), table(spark, folder, "raw_lines"))
+def _raw(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, folder, "raw_files", "file_id", "series_id", "table_name", "quarter", "received_at"), table(spark, folder, "raw_lines")
 
 
 def _ingested(name: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return drift.ingest(_parsed(spark, folder), name)
+        return drift.ingest(*_raw(spark, folder), name)
 
     query.__doc__ = f"The raw lines of {name} in one typed table, the rest as rescued JSON."
     return query
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Column changes of each raw file against the file before it in its series and table."""
-    files, lines = table(spark, folder, "raw_files"), table(spark, folder, "raw_lines")
-    profile = drift.profiles(badrows.parse(files, lines))
-    return drift.changes(drift.layouts(files, badrows.headers(files, lines), profile))
+    """Column changes of each raw file against the file before it: from what ingestion takes and rescues of their rows."""
+    files, lines = _raw(spark, folder)
+    return drift.changes(drift.layouts(files, badrows.headers(files, lines), drift.profiles(files, lines)))
 
 
 def p2_promoted(spark: SparkSession, folder: str) -> DataFrame:
     """The drug lines with two rescued fields promoted to typed columns."""
-    rows = drift.promote(drift.ingest(_parsed(spark, folder), "drug"), "dose_amt", "double")
+    rows = drift.promote(drift.ingest(*_raw(spark, folder), "drug"), "dose_amt", "double")
     return drift.promote(rows, "nda_num", "bigint").select("file_id", "line_no", "report_id", "drugname", "dose_amt", "nda_num", "_rescued")
 
 
@@ -71,21 +69,25 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return _values(spark, folder).filter("n_pieces >= 2").select("field", "report_id", "drug_seq", "position", "piece").distinct()
 
 
+def _rows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = badrows.parse(*_raw(spark, folder), reasons=False).filter("reason is null")
+    return rows.select("file_id", "line_no", "table_name", F.split("header", r"\$", -1).alias("names"), "fields")
+
+
 def p5_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The lines that load, as arrays of names and fields."""
-    return _parsed(spark, folder).filter("reason is null").select("file_id", "line_no", "table_name", "names", "fields")
+    return _rows(spark, folder)
 
 
 def p5_values(spark: SparkSession, folder: str) -> DataFrame:
     """The lines that load, a row per column that is filled."""
-    rows = _parsed(spark, folder).filter("reason is null")
-    each = rows.select("file_id", "line_no", "table_name", F.explode(F.arrays_zip("names", "fields")).alias("z"))
+    each = _rows(spark, folder).select("file_id", "line_no", "table_name", F.explode(F.arrays_zip("names", "fields")).alias("z"))
     return each.select("file_id", "line_no", "table_name", F.col("z.names").alias("column_name"), F.col("z.fields").alias("value")).filter("value <> ''")
 
 
 def p5_rejected(spark: SparkSession, folder: str) -> DataFrame:
     """The lines that do not load, with the edits or the value that state the reason."""
-    return badrows.rejected(_parsed(spark, folder))
+    return badrows.rejected(badrows.parse(*_raw(spark, folder)))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,7 +155,7 @@ with names as (
   from raw_lines l join names using (file_id) where line_no > 1 and regexp_matches(line, '\S')
 ), cells as (
   select *, regexp_full_match(s, '(?s)(?:"(?:[^"]|"")*"|[^"$][^$]*)?(?:\$(?:"(?:[^"]|"")*"|[^"$][^$]*)?)*') quoted,
-    list_transform(regexp_extract_all('$' || s, '(?s)\$("(?:[^"]|"")*"|[^"$][^$]*)?'), lambda x: regexp_replace(regexp_replace(x[2:], '^"', ''), '"$', '')) f
+    list_transform(regexp_extract_all('$' || s, '(?s)\$("(?:[^"]|"")*"|[^"$][^$]*)?'), lambda x: case when x[2:2] = '"' then replace(x[3:len(x) - 1], '""', '"') else x[2:] end) f
   from body
 ), placed as (
   select *, case when len(f) = len(names) + 1 and f[len(f)] = '' then len(names) else len(f) end width,
@@ -192,6 +194,52 @@ select file_id, old column_name, 'removed' change from met where now is null
 union select file_id, now, 'added' from met where old is null
 union select file_id, now, 'renamed' from met where now <> old
 union select file_id, now, 'retyped' from met where k <> j""",
-    "p5_values": _LINES_SQL + "select file_id, line_no, table_name, n column_name, replace(v, '\"\"', '\"') as value from (select file_id, line_no, table_name, unnest(names) n, unnest(f[1:len(names)]) v from judged where not bad) where v <> ''",
+    "p5_values": _LINES_SQL + "select file_id, line_no, table_name, n column_name, v as value from (select file_id, line_no, table_name, unnest(names) n, unnest(f[1:len(names)]) v from judged where not bad) where v <> ''",
     "p5_found": _LINES_SQL + "select distinct file_id, line_no from judged where bad",
 }
+
+
+def _ingested_sql(name: str) -> str:
+    """The typed table of ``name`` in SQL: the first filled value of each attribute, cast or rescued."""
+    schema = SCHEMA[name]
+    order = " ".join(f"when '{c}' then {i}" for i, c in enumerate(schema))
+    kinds = " ".join(f"when '{c}' then '{k}'" for c, k in schema.items())
+
+    def typed(column: str, kind: str) -> str:
+        value = f"max(v) filter (where a = '{column}' and ok)"
+        return f"try_cast({value} as double)" if kind == "double" else f"try_cast(regexp_replace({value}, '[.]0+$', '') as {kind})" if kind != "string" else value
+
+    return (
+        _LINES_SQL
+        + r""", known as (select * from (values """
+        + ", ".join(f"('{n}', '{a}')" for n, a in sorted(ATTRIBUTE.items()))
+        + rf""") v(n, a)), entries as (
+  select file_id, line_no, i, coalesce(a, n) a, trim(regexp_replace(v, '^\s+|\s+$', '', 'g')) v from (
+    select file_id, line_no, unnest(range(1, len(names) + 1)) i, unnest(names) n, unnest(f[1:len(names)]) v from judged where not bad and table_name = '{name}') left join known using (n)
+), firsts as (
+  select *, case a {kinds} end k from (select *, row_number() over (partition by file_id, line_no, a order by i) rn from entries where v <> '') where rn = 1
+), checked as (
+  select *, case when k = 'string' then true when k = 'double' then regexp_full_match(v, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')
+    when k is not null then regexp_full_match(v, '[+-]?[0-9]+(\.0+)?') and case k when 'int' then try_cast(regexp_replace(v, '\.0+$', '') as int) is not null else try_cast(regexp_replace(v, '\.0+$', '') as bigint) is not null end
+    else false end ok from firsts
+), lines as (select file_id, line_no from judged where not bad and table_name = '{name}'),
+typed as (
+  select file_id, line_no, {', '.join(f'{typed(c, k)} {c}' for c, k in schema.items())},
+    '{{' || string_agg('"' || a || '":' || to_json(v)::varchar, ',' order by coalesce(case when k is not null then case a {order} end end, -1), i) filter (where not ok) || '}}' _rescued
+  from lines left join checked using (file_id, line_no) group by file_id, line_no
+)
+"""
+    )
+
+
+for _name in SCHEMA:
+    SQL[f"p2_{_name}"] = _ingested_sql(_name) + "select * from typed"
+SQL["p2_promoted"] = _ingested_sql("drug") + r"""
+select file_id, line_no, report_id, drugname, case when regexp_full_match(dose, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') then dose::double end dose_amt,
+  case when regexp_full_match(nda, '[+-]?[0-9]+(\.0+)?') then try_cast(regexp_replace(nda, '\.0+$', '') as bigint) end nda_num,
+  case when left_over <> '{}' then left_over end _rescued
+from (select *, _rescued->>'dose_amt' dose, _rescued->>'nda_num' nda,
+    '{' || array_to_string(list_transform(list_filter(json_keys(coalesce(_rescued, '{}')), lambda k: not (
+      k = 'dose_amt' and regexp_full_match(_rescued->>'dose_amt', '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')
+      or k = 'nda_num' and regexp_full_match(_rescued->>'nda_num', '[+-]?[0-9]+(\.0+)?') and try_cast(regexp_replace(_rescued->>'nda_num', '\.0+$', '') as bigint) is not null)),
+      lambda k: '"' || k || '":' || to_json(json_extract_string(_rescued, '$."' || k || '"'))::varchar), ',') || '}' left_over from typed)"""
