@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions.ordinals import era_group
 from casemill.functions.text import number
+from casemill.session import cut
 
 # Years in one of each coded unit.
 AGE_FACTORS = {"DEC": 10.0, "YR": 1.0, "MON": 1 / 12, "WK": 1 / 52.1775, "DY": 1 / 365.25, "HR": 1 / 8766.0}
@@ -99,18 +100,22 @@ def eligible(required: list[str]) -> Column:
 
 
 def without_near_duplicates(printed: DataFrame, required: list[str] | None = None) -> DataFrame:
-    """The smallest case id of each fingerprint; sparse cases are kept as they are."""
-    required = required or REQUIRED
-    ok = eligible(required)
-    keep = printed.filter(ok).groupBy("fingerprint").agg(F.min("case_id").alias("case_id")).select("case_id")
-    sparse = printed.filter(~F.coalesce(ok, F.lit(False)))
-    return printed.filter(ok).join(keep, "case_id", "left_semi").unionByName(sparse)
+    """The smallest case id of each fingerprint; sparse cases are kept as they are. The parts of the fingerprint are left out.
+
+    A sparse case has its own id for a fingerprint, so one grouping serves both.
+    """
+    alone = F.concat(F.lit("case "), F.col("case_id").cast("string"))
+    key = F.when(F.coalesce(eligible(required or REQUIRED), F.lit(False)), F.col("fingerprint")).otherwise(alone)
+    names = [c for c in printed.columns if c not in ("drug_set", "pt_set", "fingerprint")]
+    first = printed.groupBy(key.alias("_key")).agg(F.min(F.struct("case_id", *(c for c in names if c != "case_id"))).alias("r"))
+    return first.select("r.*").select(*names)
 
 
 def one_per_report(cases: DataFrame) -> DataFrame:
     """One case per report: the latest quarter's, then the highest case id."""
-    order = Window.partitionBy("era", "report_id").orderBy(F.desc_nulls_last("quarter"), F.desc("case_id"))
-    return cases.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
+    rest = [c for c in cases.columns if c not in ("era", "report_id", "quarter", "case_id")]
+    best = cases.groupBy("era", "report_id").agg(F.max(F.struct("quarter", "case_id", *rest)).alias("r"))
+    return best.select("era", "report_id", "r.*").select(*cases.columns)
 
 
 def case_set(demo: DataFrame, drug: DataFrame, reac: DataFrame, withdrawn: DataFrame) -> DataFrame:
@@ -130,20 +135,27 @@ def duplicate_rule(printed: DataFrame, required: list[str]) -> DataFrame:
 
 
 def attrition(demo: DataFrame, drug: DataFrame, reac: DataFrame, withdrawn: DataFrame) -> DataFrame:
-    """(stage, cases_remaining) after each step; every count is one aggregate row."""
-    latest = latest_versions(demo)
-    joined = bridged(latest)
-    left = without(joined, withdrawn)
-    printed = fingerprints(left, drug, reac)
-    unique = without_near_duplicates(printed)
-    stages = [
-        ("0_rows", demo),
-        ("1_within_laers", latest.filter("era_group = 'laers'")),
-        ("2_within_faers", latest.filter("era_group = 'faers'")),
-        ("3_bridge", joined),
-        ("4_withdrawn", left),
-        ("5_near_duplicates", unique),
-        ("6_one_per_report", one_per_report(unique)),
+    """(stage, cases_remaining) after each step.
+
+    The latest versions and the cases without near-duplicates are written once; what the
+    bridge and the withdrawals leave is counted by case id alone.
+    """
+    latest = cut(latest_versions(demo), "latest")
+    unique = cut(without_near_duplicates(fingerprints(without(bridged(latest), withdrawn), drug, reac)), "unique")
+    gone = withdrawn.select("case_id").distinct().withColumn("gone", F.lit(True))
+    count, n = F.count(F.lit(1)), "cases_remaining"
+    spaces = latest.agg(F.count_if(F.col("era_group") == "laers").alias("a"), F.count_if(F.col("era_group") == "faers").alias("b"))
+    ids = latest.select("case_id").distinct().join(gone, "case_id", "left").agg(count.alias("a"), F.count_if(F.col("gone").isNull()).alias("b"))
+
+    def both(df: DataFrame, first: str, second: str) -> DataFrame:
+        each = F.array(*(F.struct(F.lit(s).alias("stage"), F.col(c).alias(n)) for s, c in ((first, "a"), (second, "b"))))
+        return df.select(F.explode(each).alias("x")).select("x.*")
+
+    def one(df: DataFrame, stage: str) -> DataFrame:
+        return df.agg(count.alias(n)).select(F.lit(stage).alias("stage"), n)
+
+    parts = [
+        one(demo, "0_rows"), both(spaces, "1_within_laers", "2_within_faers"), both(ids, "3_bridge", "4_withdrawn"), one(unique, "5_near_duplicates"),
+        one(unique.select("era", "report_id").distinct(), "6_one_per_report"),
     ]
-    rows = [df.agg(F.count(F.lit(1)).alias("cases_remaining")).select(F.lit(s).alias("stage"), "cases_remaining") for s, df in stages]
-    return reduce(DataFrame.unionByName, rows)
+    return reduce(DataFrame.unionByName, parts)
