@@ -4,8 +4,8 @@ Each case's distinct items are a basket. In each task every item gets a stripe,
 counts of the items after it in its baskets, already summed over the task. Stripes
 are merged by item and shard of the neighbour in one pass over sorted partitions, which
 holds one stripe at a time; an item that stands in a third of all cases is spread over
-the shards. Baskets over ``BLOCK`` items are cut into blocks of rows that run as tasks
-of their own. Items below the support cannot be in a pair that reaches it and are left
+the shards. A basket over ``BLOCK`` items is never put in one row: its items are dealt
+into chunks of about ``BLOCK``, and every two chunks of it meet in a row of their own. Items below the support cannot be in a pair that reaches it and are left
 out first; that changes no result.
 
 Defined results: NULL case ids and NULL or blank items are no rows; repeated rows count
@@ -27,7 +27,6 @@ from casemill.session import cut
 
 SHARDS = 16
 BLOCK = 1024
-ROWS = 128
 AT_ONCE = 2_000_000
 FLUSH = 4_000_000
 
@@ -43,6 +42,12 @@ class _Stripes:
         self.parts: list[np.ndarray] = []
         self.found = 0
 
+    def coded(self, lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number, codes, sizes): codes rise with the names, ``number`` turns them into the task's item numbers."""
+        names, codes = np.unique(np.concatenate(list(lists)).astype(object), return_inverse=True)
+        number = np.array([self.number.setdefault(n, len(self.number)) for n in names], dtype="int64")
+        return number, codes, np.array([len(x) for x in lists])
+
     def add(self, left: np.ndarray, right: np.ndarray) -> None:
         self.parts.append((left << 32 | right).ravel())
         self.found += self.parts[-1].size
@@ -77,7 +82,7 @@ class _Stripes:
 
 
 def _stripes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stripes of (items, lo, hi): rows lo to hi of each sorted basket against what follows.
+    """Stripes of baskets (items): every item against those after it.
 
     Counts are summed over the batches of a task until ``FLUSH`` pairs are held.
     """
@@ -85,28 +90,37 @@ def _stripes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         if frame.empty:
             continue
-        names, codes = np.unique(np.concatenate(frame["items"].to_list()).astype(object), return_inverse=True)
-        number = np.array([held.number.setdefault(n, len(held.number)) for n in names], dtype="int64")
-        sizes = np.array([len(x) for x in frame["items"]])
+        number, codes, sizes = held.coded(frame["items"])
         starts = np.cumsum(sizes) - sizes
-        whole = (frame["lo"].to_numpy() == 0) & (frame["hi"].to_numpy() >= sizes)
-        for m in np.unique(sizes[whole]):
+        for m in np.unique(sizes):
             # Baskets of one size are the rows of a matrix; each shift of it gives one pair of every row.
-            picked, step = starts[whole & (sizes == m)], max(1, AT_ONCE // int(m))
+            picked, step = starts[sizes == m], max(1, AT_ONCE // int(m))
             for at in range(0, len(picked), step):
                 rows = number[np.sort(codes[picked[at : at + step, None] + np.arange(m)], axis=1)]
                 for shift in range(1, m):
                     held.add(rows[:, :-shift], rows[:, shift:])
-        for k in np.flatnonzero(~whole):
-            own = number[np.sort(codes[starts[k] : starts[k] + sizes[k]])]
-            for i in range(frame["lo"].iat[k], min(frame["hi"].iat[k], len(own) - 1)):
-                held.add(own[i], own[i + 1 :])
         held.fold()
         if held.keys.size > FLUSH:
             yield from held.take()
     yield from held.take()
 
 
+def _chunk_stripes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stripes of two chunks (left, right) of one basket: all pairs between them, or within one that meets itself."""
+    held = _Stripes()
+    for frame in frames:
+        for left, right, own in zip(frame["left"], frame["right"], frame["own"]):
+            number, codes, sizes = held.coded([left, right])
+            one, two = np.sort(codes[: sizes[0]]), np.sort(codes[sizes[0] :])
+            for i, code in enumerate(one):
+                other = one[i + 1 :] if own else two
+                held.add(number[np.minimum(code, other)], number[np.maximum(code, other)])
+            held.fold()
+            if held.keys.size > FLUSH:
+                yield from held.take()
+    yield from held.take()
+
+
 def _merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sum of the stripes of each (item, shard); the rows come sorted by them."""
     key, sums = None, {}
@@ -124,17 +138,22 @@ def _merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*key, list(sums), list(sums.values()))], columns=["item", "shard", "neighbours", "counts"])
 
 
-def stripes(baskets: DataFrame) -> DataFrame:
-    """(item, shard, neighbours, counts) of (case_id, items), items distinct within a case."""
-    sized = baskets.withColumn("size", F.size("items")).filter("size > 1")
-    small = sized.filter(F.col("size") <= BLOCK).select("items", F.lit(0).alias("lo"), F.col("size").alias("hi"))
-    large = (
-        sized.filter(F.col("size") > BLOCK)
-        .select("case_id", F.array_sort("items").alias("items"), F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(ROWS))).alias("lo"))
-        .repartition("case_id", "lo")
-        .select("items", "lo", (F.col("lo") + ROWS).alias("hi"))
-    )
-    made = small.mapInPandas(_stripes, _STRIPE).unionByName(large.mapInPandas(_stripes, _STRIPE))
+def stripes(rows: DataFrame, large: DataFrame | None = None) -> DataFrame:
+    """(item, shard, neighbours, counts) of distinct rows (case_id, item).
+
+    ``large`` is (case_id, chunks) of the cases over ``BLOCK`` items, None if there are none.
+    """
+    small = rows if large is None else rows.join(large, "case_id", "left_anti")
+    baskets = small.groupBy("case_id").agg(F.collect_list("item").alias("items")).filter(F.size("items") > 1)
+    made = baskets.select("items").mapInPandas(_stripes, _STRIPE)
+    if large is not None:
+        dealt = rows.join(large, "case_id").withColumn("chunk", F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int"))
+        chunks = cut(dealt.groupBy("case_id", "chunks", "chunk").agg(F.collect_list("item").alias("items")), "chunks")
+        # A chunk goes to each row it has a place in, so that no case is a key.
+        left = chunks.select("case_id", F.col("items").alias("left"), F.col("chunk").alias("i"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("j"))
+        right = chunks.select("case_id", F.col("items").alias("right"), F.col("chunk").alias("j"), F.explode(F.sequence(F.lit(0), "chunk")).alias("i"))
+        met = left.join(right, ["case_id", "i", "j"]).select("left", "right", (F.col("i") == F.col("j")).alias("own"))
+        made = made.unionByName(met.mapInPandas(_chunk_stripes, _STRIPE))
     return made.repartition("item", "shard").sortWithinPartitions("item", "shard").mapInPandas(_merged, _STRIPE)
 
 
@@ -161,11 +180,12 @@ def pairs(df: DataFrame, case: str = "case_id", item: str = "ingredient", suppor
         .distinct(),
         "case_items",
     )
-    n = rows.select("case_id").distinct().count()
+    sizes = rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("size"))
+    n, n_large = sizes.agg(F.count(F.lit(1)), F.count_if(F.col("size") > BLOCK)).first()
+    large = sizes.filter(F.col("size") > BLOCK).select("case_id", F.ceil(F.col("size") / BLOCK).cast("int").alias("chunks")) if n_large else None
     singles = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n_item")).filter(F.col("n_item") >= support)
-    baskets = rows.join(singles.select("item"), "item", "left_semi").groupBy("case_id").agg(F.collect_list("item").alias("items"))
     together = (
-        stripes(baskets)
+        stripes(rows.join(singles.select("item"), "item", "left_semi"), large)
         .select(F.col("item").alias("item_a"), F.explode(F.arrays_zip("neighbours", "counts")).alias("z"))
         .select("item_a", F.col("z.neighbours").alias("item_b"), F.col("z.counts").alias("n_ab"))
         .filter(F.col("n_ab") >= support)

@@ -94,7 +94,6 @@ def test_pairs_against_loops(spark, monkeypatch):
     df = spark.createDataFrame(rows, "case_id bigint, ingredient string").withColumn("n", F.lit(1))
     for block in (cooccur.BLOCK, 8):
         monkeypatch.setattr(cooccur, "BLOCK", block)
-        monkeypatch.setattr(cooccur, "ROWS", min(block, 3))
         got = {(r["item_a"], r["item_b"]): (r["n_ab"], r["n_a"], r["n_b"], r["n"]) for r in cooccur.pairs(df, support=2).collect()}
         assert got == pair_loops(rows, 2)
     assert cooccur.pairs(df.limit(0)).count() == 0
