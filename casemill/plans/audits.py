@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.operators import badrows, quality, textref
-from casemill.operators.attributes import SCHEMA
-from casemill.session import cut
+from casemill.operators import badrows, events, quality, textref
+from casemill.operators.attributes import ATTRIBUTE, SCHEMA
+from casemill.session import cut, shared_dir
 from casemill.sources import delimited
 from casemill.sources.tables import table
 
@@ -109,6 +110,40 @@ def header_scan(spark: SparkSession, folder: str) -> DataFrame:
     return badrows.headers(files, lines).select("file_id", "table_name", F.array_join("names", ";").alias("columns"), F.size("names").alias("n_columns"))
 
 
+def header_harmonisation(spark: SparkSession, folder: str) -> DataFrame:
+    """The era-neutral names of every raw file, and names that two of its columns share."""
+    files, lines = table(spark, folder, "raw_files"), table(spark, folder, "raw_lines")
+    got = delimited.harmonised_headers(badrows.headers(files, lines))
+    return got.select("file_id", F.array_join("attributes", ";").alias("attributes"), F.array_join("doubled", ";").alias("doubled"))
+
+
+def encoding_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw lines as bytes, of even files in UTF-8 and of odd ones in Windows-1252, read without being told which."""
+    lines = table(spark, folder, "raw_lines").filter("line is not null")
+    # A line Windows-1252 cannot write stays in UTF-8.
+    fits = F.col("line").rlike("^[\x00-\x7f\xa0-\xff]*$") & (F.col("file_id") % 2 == 1)
+    raw = F.when(fits, F.encode("line", "ISO-8859-1")).otherwise(F.encode("line", "UTF-8"))
+    return delimited.decoded(lines.withColumn("raw", raw), "raw").select("file_id", "line_no", "text", "decode_errors")
+
+
+def _written(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def parquet_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """Reactions written by quarter and read again, the schema merged."""
+    path = _written(spark, "sink-parquet")
+    delimited.write_parquet(table(spark, folder, "reac"), path)
+    return delimited.read_parquet(spark, path).groupBy("quarter").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("report_id").alias("n_reports"))
+
+
+def csv_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """The term vocabulary as one CSV file with a header, read again."""
+    path = _written(spark, "sink-csv")
+    delimited.write_csv(events.vocabulary(table(spark, folder, "reac")), path, ["pt", "reports", "n_quarters"])
+    return delimited.read_csv(spark, path, "pt string, reports bigint, n_quarters bigint")
+
+
 def member_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Table and kind of every raw file by its name (S3)."""
     name, kind = delimited.classified(F.col("file_name"))
@@ -171,7 +206,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         key_uniqueness, orphans, rowcounts, id_overlap, cast_failures, missing_tables, schema_changes, column_presence, schema_vs_config, quarter_gaps, delimited_parse,
-        scan_statistics, header_scan, member_classes, withdrawn_list, canonical_numbers, term_mentions, proximity, mention_pairs, verified_controls,
+        scan_statistics, header_scan, header_harmonisation, encoding_fallback, parquet_sink, csv_sink, member_classes, withdrawn_list, canonical_numbers, term_mentions, proximity, mention_pairs, verified_controls,
     )
 }
 
@@ -257,6 +292,15 @@ SQL = {
     "scan_statistics": _SPLIT + "select table_name, count(*) rows_raw, count(*) filter (where not skipped) rows_parsed, count(*) filter (where skipped) rows_skipped, "
     "count(*) filter (where has_trailing) as trailing, sum(n_surplus)::bigint surplus_values from split group by 1",
     "header_scan": _LAYOUT + "select file_id, table_name, array_to_string(names, ';') columns, len(names) n_columns from heads",
+    "header_harmonisation": _LAYOUT
+    + ", known as (select * from (values "
+    + ", ".join(f"('{n}', '{a}')" for n, a in sorted(ATTRIBUTE.items()))
+    + """) v(n, a)), placed as (select file_id, i, coalesce(a, x.n) a from (select file_id, unnest(range(1, len(names) + 1)) i, unnest(names) n from heads) x left join known k on k.n = x.n)
+    select file_id, attributes, coalesce(doubled, '') doubled from (select file_id, string_agg(a, ';' order by i) attributes from placed group by 1)
+    left join (select file_id, string_agg(a, ';' order by a) doubled from (select file_id, a from placed group by 1, 2 having count(*) > 1) group by 1) using (file_id)""",
+    "encoding_fallback": "select file_id, line_no, line as text, 0 decode_errors from raw_lines where line is not null",
+    "parquet_sink": "select quarter, count(*) n_rows, count(distinct report_id) n_reports from reac group by 1",
+    "csv_sink": "select upper(trim(pt)) pt, count(distinct era || '|' || report_id) reports, count(distinct quarter) n_quarters from reac where trim(pt) <> '' group by 1",
     "canonical_numbers": "select '{' || string_agg('\"rows_' || t || '\":' || n, ',' order by 'rows_' || t) || '}' document from ("
     + " union all ".join(f"select '{t}' t, count(*) n from {t}" for t in TABLES)
     + ")",

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.operators.attributes import attribute
+from casemill.operators.attributes import ATTRIBUTE, attribute
 
 # Fixed value: the names of table members, such as DEMO14Q3.TXT.
 MEMBER = re.compile(r"(DEMO|DRUG|REAC|OUTC|RPSR|THER|INDI|STAT)([0-9]{2})Q([0-9])[A-Z0-9_]*\.TXT$", re.IGNORECASE)
@@ -30,6 +30,16 @@ def decode(raw: bytes) -> tuple[str, int]:
         return text, text.count("�")
 
 
+def decoded(df: DataFrame, raw: str) -> DataFrame:
+    """``df`` with (text, decode_errors) of its bytes: UTF-8 where they are, else Windows-1252. NULL bytes give NULL and 0."""
+
+    @F.pandas_udf("text string, decode_errors int")
+    def read(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, 0) if v is None else decode(bytes(v)) for v in values], columns=["text", "decode_errors"])
+
+    return df.withColumn("_d", read(raw)).select(*df.columns, "_d.text", "_d.decode_errors")
+
+
 def archives(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256, ok, n_members, error) of each archive."""
 
@@ -126,6 +136,14 @@ def harmonised(header: str, delimiter: str = "$") -> list[str]:
     return names
 
 
+def harmonised_headers(headers: DataFrame) -> DataFrame:
+    """``headers`` (file_id, names) as (file_id, attributes, doubled): era-neutral names, and those two columns of a file share."""
+    known = F.create_map(*(F.lit(x) for pair in sorted(ATTRIBUTE.items()) for x in pair))
+    named = headers.select("file_id", F.transform("names", lambda n: F.coalesce(F.try_element_at(known, n), n)).alias("attributes"))
+    twice = F.filter(F.array_distinct("attributes"), lambda a: F.size(F.filter("attributes", lambda b: a == b)) > 1)
+    return named.withColumn("doubled", F.array_sort(twice))
+
+
 def split_fields(df: DataFrame, names: list[str], line: str = "line", delimiter: str = "$") -> DataFrame:
     """``df`` with a trimmed text column per name, and ``has_trailing`` and ``n_surplus``.
 
@@ -173,8 +191,8 @@ def id_list(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def write_parquet(df: DataFrame, path: str, by: str = "quarter") -> None:
-    """Partitioned, zstd-compressed Parquet; rows of a partition are sent to few files first."""
-    df.repartition(F.col(by)).write.mode("overwrite").option("compression", "zstd").partitionBy(by).parquet(path)
+    """Partitioned, zstd-compressed Parquet; rows of a partition are brought together first, a hot one in several parts."""
+    df.hint("rebalance", by).write.mode("overwrite").option("compression", "zstd").partitionBy(by).parquet(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
