@@ -38,7 +38,8 @@ EMAIL = [
     re.compile(rf"{_LOCAL}\s?[\[({{]at[\])}}]\s?{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}}\b", re.IGNORECASE),
     re.compile(rf"{_LOCAL} AT {_LABEL}(?:\.{_LABEL})*(?:{_SPELLED_DOT}{_LABEL}(?:\.{_LABEL})*)*{_SPELLED_DOT}[A-Za-z]{{2,}}(?:\.[A-Za-z]{{2,}})*\b"),
 ]
-_EMAIL_MARKS = [("@",), ("(at)", "[at]", "{at}"), (" at ",)]
+# Texts one of which, and of the second list too, a pattern needs.
+_EMAIL_MARKS = [(("@",), ("@",)), (("(at)", "[at]", "{at}"), ("dot", ".")), ((" at ",), ("dot",))]
 
 _PLACE = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 # The kinds of streets, as written.
@@ -56,13 +57,12 @@ ADDRESS = [
     re.compile(rf"\b\d+(?: bis| ter)?,? (?:rue|avenue|impasse|boulevard|place|chemin|allée) (?:de la |du |des |de )?{_PLACE},(?: |\r?\n)\d{{5}} {_PLACE}", re.IGNORECASE),
     re.compile(rf"(?:\bCalle|\bC/|\bAvda\.|\bAvenida|\bPlaza|\bPaseo) (?:de la |del |de )?{_PLACE} \d+,(?: |\r?\n)\d{{5}} {_PLACE}", re.IGNORECASE),
 ]
-_ADDRESS_MARKS = [
-    (" box ",),
-    (" st.", " street", " ave", " blvd", " boulevard", " crescent", " court", " lane", " road", " rd.", " drive", " way", " close", " terrace", " place", " square"),
-    ("straße", "strasse", "str.", "weg ", "allee ", "platz ", "gasse "),
-    ("rue ", "avenue ", "impasse ", "boulevard ", "place ", "chemin ", "allée "),
-    ("calle ", "c/ ", "avda. ", "avenida ", "plaza ", "paseo "),
+# Words one of which each of these patterns needs; a German street is found by the end of a word.
+_ADDRESS_WORDS = [
+    {"box"}, set("st street ave avenue blvd boulevard crescent court lane road rd drive way close terrace place square".split()), None,
+    set("rue avenue impasse boulevard place chemin allée".split()), set("calle c avda avenida plaza paseo".split()),
 ]
+_GERMAN_STREETS = ("straße ", "strasse ", "str. ", "weg ", "allee ", "platz ", "gasse ")
 
 # ---------------------------------------------------------------- numbers
 
@@ -79,9 +79,10 @@ ID_OF_OTHERS = set("case report subject batch lot protocol study trial document
 _ID_AFTER = re.compile(
     rf"(?:[ .:#]|\b(?:card|number|no|nr|num|nummer|security|insurance|is|was|identification|nacional|ist|lautet|est)\b)*?[ :.#]({_ID_FORMS})", re.IGNORECASE
 )
-_SSN = re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")
-_DNI = re.compile(r"(?<![\w-])(?:[XYZ]-?\d{7}|\d{8})-?([A-Z])(?![\w-])")
-_NIR = re.compile(r"(?<!\w)[12] ?\d{2} ?(?:0[1-9]|1[0-2]) ?\d{2} ?\d{3} ?\d{3} ?\d{2}(?!\w)")
+_LONG = re.compile(r"\d(?:\d{6}|\d\d-\d\d-| \d\d [01]\d )|-\d{7}")
+_SSN = re.compile(r"\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")
+_DNI = [re.compile(rf"{form}-?([A-Z])(?![\w-])") for form in (r"\d{8}", r"[XYZ]-?\d{7}")]
+_NIR = re.compile(r"[12] ?\d{2} ?(?:0[1-9]|1[0-2]) ?\d{2} ?\d{3} ?\d{3} ?\d{2}(?!\w)")
 
 _EXTENSION = r"(?: ?(?:x|ext\.?|extension|Durchwahl|poste) ?\d{1,6}\b)?"
 _DIGIT_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
@@ -101,8 +102,16 @@ _PHONE_AFTER = re.compile(
 )
 _PHONE_ALONE = [
     re.compile(rf"(?<![\w(])(\+\d{{1,3}} \(?\d{{1,5}}\)?(?: \d{{2,4}}){{1,4}}{_EXTENSION})(?![\w-])", re.IGNORECASE),
-    re.compile(rf"(?<![\w.+/-])(?<!\d )((?:\([2-9]\d{{2}}\) ?|[2-9]\d{{2}}[-.])\d{{3}}[-.]\d{{4}}{_EXTENSION})(?![\w-])", re.IGNORECASE),
+    re.compile(rf"(\([2-9]\d{{2}}\) ?\d{{3}}[-.]\d{{4}}{_EXTENSION})(?![\w-])", re.IGNORECASE),
+    re.compile(rf"([2-9]\d{{2}}[-.]\d{{3}}[-.]\d{{4}}{_EXTENSION})(?![\w-])", re.IGNORECASE),
 ]
+_DIGIT_BEFORE = re.compile(r"\d $")
+
+
+def _free(text: str, at: int, marks: str = "-") -> bool:
+    """No word, number or one of ``marks`` runs into what begins at ``at``."""
+    before = text[at - 1 : at]
+    return not (before.isalnum() or before == "_" or before and before in marks)
 
 
 def _control_letter(found: str) -> str:
@@ -113,17 +122,31 @@ def _control_letter(found: str) -> str:
 
 def _proven(text: str) -> Iterator[tuple[int, int]]:
     """Identity numbers whose form and check digits prove them."""
+    if not _LONG.search(text):
+        return
     for m in _SSN.finditer(text):
-        yield m.span()
-    for m in _DNI.finditer(text):
-        if _control_letter(m.group()[:-1]) == m[1]:
+        if not m.group().startswith(("000", "666", "9")) and _free(text, m.start()):
             yield m.span()
+    for p in _DNI:
+        for m in p.finditer(text):
+            if _free(text, m.start()) and _control_letter(m.group()[:-1]) == m[1]:
+                yield m.span()
     for m in _NIR.finditer(text):
         digits = m.group().replace(" ", "")
-        if 97 - int(digits[:13]) % 97 == int(digits[13:]):
+        if _free(text, m.start(), "") and 97 - int(digits[:13]) % 97 == int(digits[13:]):
             yield m.span()
 
 
+def _phones_alone(text: str) -> Iterator[tuple[int, int]]:
+    """Phone numbers whose form proves them."""
+    if "+" in text:
+        yield from (m.span(1) for m in _PHONE_ALONE[0].finditer(text))
+    for p in _PHONE_ALONE[1:]:
+        for m in p.finditer(text):
+            if _free(text, m.start(), ".+/-") and not _DIGIT_BEFORE.search(text, max(0, m.start() - 2), m.start()):
+                yield m.span(1)
+
+
 # ---------------------------------------------------------------- names
 
 # Titles, with the gender they tell.
@@ -203,6 +226,15 @@ _INITIAL_BEFORE = re.compile(r"(?:^|[^\w])[^\W\d_]\.\s*$")
 _NO_NAME_AFTER = re.compile(r"\s?[@\[({](?:at|@)?|\d|[-_/]\w|’s\b|'s\b|\s&|\.[A-Za-z]|\s(?:syndrome|disease|ltd|inc|gmbh|clinic|hospital|laboratories|pharma)", re.IGNORECASE)
 _THING_NEXT = re.compile(r" (?:was|is|were|had|has|and|wurde|acid|extract)\b", re.IGNORECASE)
 _CLOSED = re.compile(r"\s*(?:[.;,!?):]|[\r\n]|$)")
+_LOWER_RUN = re.compile(r"[a-zß-öø-ÿ]+")
+_COLON, _LABELLED, _AFTER_SIGNED = re.compile(r" ?:? "), re.compile(r" ?: "), re.compile(r",?\s{1,4}(?:by )?|:? (?:by )?")
+# What a word may announce.
+_TITLE_CUE, _TALK_CUE, _SIGNED_CUE, _ROLE_CUE, _SPEECH_CUE, _ID_CUE, _PHONE_CUE = (1 << i for i in range(7))
+CUES: dict[str, int] = {}
+for _words, _cue in ((TITLES, _TITLE_CUE), (["m"], _TITLE_CUE), (TALK, _TALK_CUE), (SIGNED, _SIGNED_CUE), (KIN, _ROLE_CUE), (ROLES, _ROLE_CUE), (SPEECH, _SPEECH_CUE), (ID_WORDS, _ID_CUE), (PHONE_WORDS, _PHONE_CUE)):
+    for _word in _words:
+        CUES[_word] = CUES.get(_word, 0) | _cue
+_FRENCH = {"le", "la", "les", "des", "du", "une", "avec", "ce"}
 _GAP = re.compile(r"[ \t]{0,2}\r?\n?[ \t]{0,2}")
 
 
@@ -224,14 +256,15 @@ def _class(word: str) -> str:
 class _Text:
     """One text with its words, and the name grammar on it."""
 
-    def __init__(self, text: str):
-        self.text, self.tokens = text, [(m.group().lower(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
-        upper = sum(text[a:b].isupper() for _, a, b in self.tokens)
-        self.uniform = upper * 10 > len(self.tokens) * 9 or text.islower()
-        words = {t[0] for t in self.tokens}
+    def __init__(self, text: str, low: str):
+        self.text, self.tokens = text, [(m.group(), *m.span()) for m in _TOKEN.finditer(low)]
+        self.words = {t[0] for t in self.tokens}
+        # Written in one case: few words hold small letters, or no capital is there.
+        self.uniform = len(_LOWER_RUN.findall(text)) * 10 < len(self.tokens) or text == low
         # In French ``M.`` is a title, elsewhere an initial.
-        self.french = "the" not in words and len(words & {"le", "la", "les", "des", "du", "une", "avec", "ce"}) > 1
+        self.french = "the" not in self.words and len(self.words & _FRENCH) > 1
         self.title = _FRENCH_TITLE_AT if self.french else _TITLE_AT
+        self.cues = [(i, t, cue) for i, t in enumerate(self.tokens) if (cue := CUES.get(t[0]))]
 
     def word(self, at: int, like: str | None = None) -> re.Match | None:
         """A word of a name at ``at``, written like the one before it."""
@@ -288,30 +321,38 @@ class _Text:
         return bool(kind) and not self.uniform and after < len(self.text) and (kind == "l") != (_class(self.text[after]) == "l")
 
     def names(self) -> Iterator[tuple[int, int, str]]:
-        text, tokens = self.text, self.tokens
-        for i, (word, start, end) in enumerate(tokens):
-            if word in TITLES or word == "m" and self.french:
-                if not (i and tokens[i - 1][0] in TITLES):
-                    got = self.name(start)
-                    if got and got.titled and (got.capital or got.sure or self.uniform and self.ends(got.end)):
-                        yield from self._settled(got)
-            if word in TALK:
-                before = {t[0] for t in tokens[max(0, i - 2) : i]}
-                if before & TALK[word]:
-                    yield from self._strong(end)
-            elif word in SIGNED:
+        tokens = self.tokens
+        for i, (word, start, end), cue in self.cues:
+            if cue & _TITLE_CUE and (word != "m" or self.french) and not (i and tokens[i - 1][0] in TITLES):
+                got = self.name(start)
+                if got and got.titled and (got.capital or got.sure or self.uniform and self.ends(got.end)):
+                    yield from self._settled(got)
+            if cue & _TALK_CUE and not TALK[word].isdisjoint(t[0] for t in tokens[max(0, i - 2) : i]):
+                yield from self._strong(end)
+            elif cue & _SIGNED_CUE:
                 yield from self._signature(end)
-            if word in KIN or word in ROLES:
+            if cue & _ROLE_CUE:
                 yield from self._role(i)
-            if word in SPEECH and i >= 1:
+            if cue & _SPEECH_CUE and i >= 1:
                 yield from self._speaker(i)
 
+    def numbers(self) -> Iterator[tuple[str, int, int]]:
+        """(kind, start, end) of the numbers that a word announces."""
+        text = self.text
+        for i, (word, start, end), cue in self.cues:
+            if cue & _ID_CUE:
+                others = word == "id" and i and self.tokens[i - 1][0] in ID_OF_OTHERS and text[self.tokens[i - 1][2] : start] == " "
+                if not others and (m := _ID_AFTER.match(text, end)):
+                    yield ("id_number", *m.span(1))
+            if cue & _PHONE_CUE and (m := _PHONE_AFTER.match(text, end)):
+                yield ("phone", *m.span(1))
+
     def _settled(self, got: Name, gender: str = "") -> Iterator[tuple[int, int, str]]:
         yield got.start, got.end, got.gender or gender
 
     def _after(self, end: int) -> Name | None:
         """The name behind a blank, or behind a colon."""
-        m = re.compile(r" ?:? ").match(self.text, end)
+        m = _COLON.match(self.text, end)
         return self.name(m.end()) if m else None
 
     def _strong(self, end: int, gender: str = "") -> Iterator[tuple[int, int, str]]:
@@ -321,7 +362,7 @@ class _Text:
             yield from self._settled(got, gender)
 
     def _signature(self, end: int) -> Iterator[tuple[int, int, str]]:
-        m = re.compile(r",?\s{1,4}(?:by )?|:? (?:by )?").match(self.text, end)
+        m = _AFTER_SIGNED.match(self.text, end)
         got = self.name(m.end()) if m else None
         if not got:
             return
@@ -334,7 +375,7 @@ class _Text:
         """Kin and roles: ``Reporter: X``, ``the patient, X, ...``, ``her husband X``, ``physician was X``."""
         text, (word, _, end) = self.text, self.tokens[i]
         gender = KIN.get(word, "")
-        label = re.compile(r" ?: ").match(text, end)
+        label = _LABELLED.match(text, end)
         if label:
             got = self.name(label.end())
             if got and (got.titled or got.words > 1 or got.capital) and (got.sure or self.ends(got.end)):
@@ -389,24 +430,19 @@ def spans(text: str | None) -> list[Span]:
     """The details of ``text`` in their order, without overlaps; of two kinds the first in ``KINDS`` wins."""
     if not text:
         return []
-    low, parsed = _lowered(text), _Text(text)
+    low = _lowered(text)
+    parsed = _Text(text, low)
     found: dict[str, list[tuple[int, int, str]]] = {k: [] for k in KINDS}
-    for kind, patterns, marks in (("email", EMAIL, _EMAIL_MARKS), ("address", ADDRESS, _ADDRESS_MARKS)):
-        for p, any_of in zip(patterns, marks):
-            if any(x in low for x in any_of):
-                found[kind] += [(*m.span(), "") for m in p.finditer(text)]
-    previous = ""
-    for word, start, end in parsed.tokens:
-        if word in ID_WORDS and not (word == "id" and previous in ID_OF_OTHERS and text[start - 1 : start] == " " and text[start - 2 : start - 1].isalpha()):
-            if m := _ID_AFTER.match(text, end):
-                found["id_number"].append((*m.span(1), ""))
-        if word in PHONE_WORDS:
-            if m := _PHONE_AFTER.match(text, end):
-                found["phone"].append((*m.span(1), ""))
-        previous = word
+    for p, (any_of, and_of) in zip(EMAIL, _EMAIL_MARKS):
+        if any(x in low for x in any_of) and any(x in low for x in and_of):
+            found["email"] += [(*m.span(), "") for m in p.finditer(text)]
+    for p, words in zip(ADDRESS, _ADDRESS_WORDS):
+        if (any(x in low for x in _GERMAN_STREETS) if words is None else not words.isdisjoint(parsed.words)):
+            found["address"] += [(*m.span(), "") for m in p.finditer(text)]
+    for kind, start, end in parsed.numbers():
+        found[kind].append((start, end, ""))
     found["id_number"] += [(*s, "") for s in _proven(text)]
-    for p in _PHONE_ALONE:
-        found["phone"] += [(*m.span(1), "") for m in p.finditer(text)]
+    found["phone"] += [(*s, "") for s in _phones_alone(text)]
     found["name"] = list(parsed.names())
     taken: list[Span] = []
     for kind in KINDS:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from casemill.llm.details import Span, spans
 from casemill.session import cut, spread
 
-#: Draws an entity makes in one round, and rounds before the job fails.
+#: Draws an entity makes in one round (one in the first), and rounds before the job fails.
 DRAWS, ROUNDS = 4, 60
 #: From this draw on, and at every multiple of it, draws are one unit longer.
 GROWS = 8
@@ -309,7 +309,7 @@ def surrogates(known: DataFrame, key: str, taken: DataFrame | None = None, round
             for frame in frames:
                 rows = []
                 for kind, name, gender in zip(frame["kind"], frame["entity"], frame["gender"]):
-                    for attempt in range(first, first + DRAWS):
+                    for attempt in range(first, first + (DRAWS if first else 1)):
                         new = surrogate_of(kind, name, secret, attempt, gender)
                         rows.append((kind, name, attempt, new, [new, *(short_forms(new) if kind == "name" else [])]))
                 yield pd.DataFrame(rows, columns=["kind", "entity", "attempt", "surrogate", "forms"])
