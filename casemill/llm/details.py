@@ -218,6 +218,7 @@ ORDINARY = FUNCTION | SPEECH | CLINIC | ROLES | CALLED | SIGNED | set(KIN) | set
 
 _WORD = re.compile(r"(?:[^\W\d_]['’])?[^\W\d_]{2,}(?:[-'’][^\W\d_]{2,})*")
 _TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+_ASCII_TOKEN = re.compile(r"[a-z]+(?:[-'][a-z]+)*")
 _INITIAL = re.compile(r"(?:[^\W\d_]\.[ -]?)+")
 _PARTICLE = re.compile(r"(?:(?:van der|van den|von der|de la|de los|van|von|de|da|del|di|la|le|der|du|dos|al) )", re.IGNORECASE)
 _TITLE_AT = re.compile(rf"(?:(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? )+", re.IGNORECASE)
@@ -238,6 +239,17 @@ _FRENCH = {"le", "la", "les", "des", "du", "une", "avec", "ce"}
 _GAP = re.compile(r"[ \t]{0,2}\r?\n?[ \t]{0,2}")
 
 
+def _tokens(low: str) -> list[tuple[str, int, int]]:
+    """(word, start, end) of the words in lower case. No letter stands between two, so each is found from the end of the one before."""
+    out, at, find = [], 0, low.find
+    for word in (_ASCII_TOKEN if low.isascii() else _TOKEN).findall(low):
+        at = find(word, at)
+        end = at + len(word)
+        out.append((word, at, end))
+        at = end
+    return out
+
+
 class Name(NamedTuple):
     start: int
     end: int
@@ -257,7 +269,7 @@ class _Text:
     """One text with its words, and the name grammar on it."""
 
     def __init__(self, text: str, low: str):
-        self.text, self.tokens = text, [(m.group(), *m.span()) for m in _TOKEN.finditer(low)]
+        self.text, self.tokens = text, _tokens(low)
         self.words = {t[0] for t in self.tokens}
         # Written in one case: few words hold small letters, or no capital is there.
         self.uniform = len(_LOWER_RUN.findall(text)) * 10 < len(self.tokens) or text == low
