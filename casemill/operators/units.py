@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casemill.session import cut
+
 # Years in one of each unit.
 YEARS = {"DEC": 10.0, "YR": 1.0, "MON": 1 / 12, "WK": 1 / 52.1775, "DY": 1 / 365.25, "HR": 1 / 8766.0}
 
@@ -226,6 +228,7 @@ def custom_units(plain_values: DataFrame, source: str, value: str, named: str, y
             F.count_if(~F.col(named) & (F.col(value) != F.floor(value))).alias("n_decimal"),
         )
     )
+    bins = cut(bins, "bins")  # read for the yardstick and for the sources
     # A few hundred bins: the first by which half of the values named as years are seen.
     per_bin = bins.groupBy("_bin").agg(F.sum("n_years").alias("n")).agg(F.array_sort(F.collect_list(F.struct("_bin", "n"))).alias("bins"), F.sum("n").alias("n"))
     yardstick = per_bin.select(F.coalesce((_median("bins", F.col("n")) + 0.5) * LOG_STEP, F.lit(TYPICAL)).alias("typical"))
@@ -265,10 +268,11 @@ def ages(demo: DataFrame, text: str = "age", code: str = "age_cod", source: str
     shape, number = shape_of(F.col(text))
     rows = demo.withColumn("_shape", F.coalesce(shape, F.lit(""))).withColumn("_number", number)
     rows = rows.withColumn("_code", F.lower(F.trim(F.coalesce(F.col(code), F.lit("")))))
-    shapes = aliases(rows, "_shape", "shape").select(
+    # Written, so that each is made once and the planner knows how small it is.
+    shapes = cut(aliases(rows, "_shape", "shape"), "shapes").select(
         F.col("spelling").alias("_shape"), F.col("unit").alias("_text_unit"), F.col("word_number").alias("_word"), F.col("readable").alias("_readable")
     )
-    codes = aliases(rows, "_code", "code").select(F.col("spelling").alias("_code"), F.col("unit").alias("_code_unit"))
+    codes = cut(aliases(rows, "_code", "code"), "codes").select(F.col("spelling").alias("_code"), F.col("unit").alias("_code_unit"))
     joined = (
         rows.join(shapes, "_shape", "left")
         .join(codes, "_code", "left")
