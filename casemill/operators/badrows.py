@@ -13,7 +13,7 @@ header fails with ``no_header``; NULL lines count as blank. Lines are never shor
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -188,14 +188,16 @@ def headers(files: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def headed(files: DataFrame, lines: DataFrame) -> DataFrame:
+def headed(files: DataFrame, lines: DataFrame, heads: DataFrame | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """All non-blank lines after the headers with what is needed of their header: (file_id, line_no, line, table_name, header, width, id_at, name_at).
 
     The headers are written first: their size is then known, so that the planner sends
     them to all tasks while they are small and no line is moved; otherwise it joins them
-    by file and splits hot files. ``header`` is the names in one text.
+    by file and splits hot files. ``header`` is the names in one text. ``heads`` are the
+    headers if they are written already, ``carry`` further columns of them.
     """
-    known = cut(headers(files, lines), "headers").select("file_id", "table_name", F.concat_ws(DELIMITER, "names").alias("header"), F.size("names").alias("width"), "id_at", "name_at")
+    heads = cut(headers(files, lines), "headers") if heads is None else heads
+    known = heads.select("file_id", "table_name", F.concat_ws(DELIMITER, "names").alias("header"), F.size("names").alias("width"), "id_at", "name_at", *carry)
     body = lines.filter((F.col("line_no") > 1) & F.col("line").rlike(r"\S"))
     return body.select("file_id", "line_no", "line").join(known, "file_id", "left")
 

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from casemill.functions.text import number
 from casemill.operators.attributes import ATTRIBUTE, SCHEMA, attribute
-from casemill.operators.badrows import DELIMITER, headed, read_frame
+from casemill.operators.badrows import DELIMITER, headed, headers, read_frame
+from casemill.session import cut
 
 SKETCH = 16
 MERGES = 64
@@ -87,10 +88,10 @@ def _sketch(values: Iterable[str]) -> list[int]:
 
 
 class _Profile:
-    """What the rows of one file in one batch hold, by attribute: the type, the values, and whether any was rescued."""
+    """What the rows of one file in one batch hold, by attribute: the type, the values if a sketch is wanted, and whether any was rescued."""
 
-    def __init__(self, rescue: Rescue):
-        self.rescue = rescue
+    def __init__(self, rescue: Rescue, sketched: bool):
+        self.rescue, self.sketched = rescue, sketched
         self.kinds: dict[str, int] = {}
         self.values: dict[str, set[str]] = {}
         self.rescued: set[str] = set()
@@ -104,13 +105,34 @@ class _Profile:
             kind = self.kinds.get(name, 0)
             if kind < 3:
                 self.kinds[name] = max(kind, _kind(value))
-            self.values.setdefault(name, set()).add(value)
+            if self.sketched:
+                self.values.setdefault(name, set()).add(value)
 
 
-def profiles(files: DataFrame, lines: DataFrame) -> DataFrame:
+_ORDER = ("quarter", "received_at", "file_id")
+
+
+def sketched(files: DataFrame, heads: DataFrame) -> DataFrame:
+    """``heads`` with ``sketched``: a name of no known attribute comes or goes between the file and one beside it.
+
+    Only then are values compared, so only then a sketch is needed.
+    """
+    order = Window.partitionBy("series_id", "table_name").orderBy(*_ORDER)
+    unknown = lambda names: F.filter(names, lambda n: ~n.isin(list(ATTRIBUTE)))
+    rows = heads.drop("table_name").join(files.select("file_id", "series_id", "table_name", "quarter", "received_at"), "file_id")
+    rows = rows.withColumn("_own", unknown("names")).withColumns({"_back": F.lag("_own").over(order), "_next": F.lead("_own").over(order)})
+    changed = F.lit(False)
+    for other in ("_back", "_next"):
+        moved = F.size(F.array_except("_own", other)) + F.size(F.array_except(other, "_own")) > 0
+        changed = changed | (F.col(other).isNotNull() & moved)
+    return rows.withColumn("sketched", changed).select(*heads.columns, "sketched")
+
+
+def profiles(files: DataFrame, lines: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """(file_id, attribute, kind, sketch, rescued) of what ingestion takes and rescues of each file.
 
-    ``kind`` is 1 whole, 2 decimal, 3 text; ``sketch`` is a bottom-k sketch of the values.
+    ``kind`` is 1 whole, 2 decimal, 3 text; ``sketch`` is a bottom-k sketch of the values,
+    empty where no value will be compared. ``heads`` are the headers if they are written already.
     Lines are parsed and rescued in one pass, and profiles are first made per Arrow batch,
     so that a file with a third of all rows is merged from a few rows per batch.
     """
@@ -119,17 +141,18 @@ def profiles(files: DataFrame, lines: DataFrame) -> DataFrame:
         known: dict[tuple[str, str], Rescue] = {}
         for frame in frames:
             found: dict[int, _Profile] = {}
-            for file_id, table, header, (fields, _) in zip(frame["file_id"], frame["table_name"], frame["header"], read_frame(frame, False)):
+            for file_id, table, header, wanted, (fields, _) in zip(frame["file_id"], frame["table_name"], frame["header"], frame["sketched"], read_frame(frame, False)):
                 if fields is not None:
                     if file_id not in found:
                         if (table, header) not in known:
                             known[table, header] = Rescue(header, str(table).lower())
-                        found[file_id] = _Profile(known[table, header])
+                        found[file_id] = _Profile(known[table, header], bool(wanted))
                     found[file_id].add(fields)
-            rows = [(f, name, kind, _sketch(p.values[name]), name in p.rescued) for f, p in found.items() for name, kind in p.kinds.items()]
+            rows = [(f, name, kind, _sketch(p.values.get(name, ())), name in p.rescued) for f, p in found.items() for name, kind in p.kinds.items()]
             yield pd.DataFrame(rows, columns=["file_id", "attribute", "kind", "sketch", "rescued"])
 
-    merged = headed(files, lines).mapInPandas(batches, "file_id bigint, attribute string, kind int, sketch array<bigint>, rescued boolean")
+    heads = cut(sketched(files, headers(files, lines) if heads is None else heads), "sketched")
+    merged = headed(files, lines, heads, ["sketched"]).mapInPandas(batches, "file_id bigint, attribute string, kind int, sketch array<bigint>, rescued boolean")
     lowest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))), 1, SKETCH).alias("sketch")
     sums = (F.max("kind").alias("kind"), lowest, F.bool_or("rescued").alias("rescued"))
     # Twice, so that the many batches of a hot file never meet in one row.
@@ -152,7 +175,7 @@ def layouts(files: DataFrame, headers: DataFrame, profile: DataFrame) -> DataFra
         .groupBy("file_id")
         .agg(F.array_sort(F.collect_list(F.struct("at", "name", "kind", "sketch"))).alias("columns"))
     )
-    order = Window.partitionBy("series_id", "table_name").orderBy("quarter", "received_at", "file_id")
+    order = Window.partitionBy("series_id", "table_name").orderBy(*_ORDER)
     return (
         files.select("file_id", "series_id", "table_name", "quarter", "received_at")
         .join(named, "file_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casemill.operators import badrows, drift, packed, units
 from casemill.operators.attributes import ATTRIBUTE, SCHEMA
+from casemill.session import cut
 from casemill.sources.tables import table
 
 
@@ -39,7 +40,8 @@ def _ingested(name: str):
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Column changes of each raw file against the file before it: from what ingestion takes and rescues of their rows."""
     files, lines = _raw(spark, folder)
-    return drift.changes(drift.layouts(files, badrows.headers(files, lines), drift.profiles(files, lines)))
+    heads = cut(badrows.headers(files, lines), "headers")
+    return drift.changes(drift.layouts(files, heads, drift.profiles(files, lines, heads)))
 
 
 def p2_promoted(spark: SparkSession, folder: str) -> DataFrame:
