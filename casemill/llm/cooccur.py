@@ -183,7 +183,8 @@ def pairs(df: DataFrame, case: str = "case_id", item: str = "ingredient", suppor
     sizes = rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("size"))
     n, n_large = sizes.agg(F.count(F.lit(1)), F.count_if(F.col("size") > BLOCK)).first()
     large = sizes.filter(F.col("size") > BLOCK).select("case_id", F.ceil(F.col("size") / BLOCK).cast("int").alias("chunks")) if n_large else None
-    singles = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n_item")).filter(F.col("n_item") >= support)
+    # Written, so that it is counted once and the planner knows its size.
+    singles = cut(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n_item")).filter(F.col("n_item") >= support), "singles")
     together = (
         stripes(rows.join(singles.select("item"), "item", "left_semi"), large)
         .select(F.col("item").alias("item_a"), F.explode(F.arrays_zip("neighbours", "counts")).alias("z"))
