@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from casemill.operators import badrows, events, quality, textref
 from casemill.operators.attributes import ATTRIBUTE, SCHEMA
 from casemill.session import cut, shared_dir
-from casemill.sources import delimited
+from casemill.sources import catalog, delimited
 from casemill.sources.tables import table
 
 CHILDREN = {"drug": "quarter", "reac": "quarter", "outc": "quarter", "drug_resolved": "era", "drug_ingredients": "era"}
@@ -144,6 +144,14 @@ def csv_sink(spark: SparkSession, folder: str) -> DataFrame:
     return delimited.read_csv(spark, path, "pt string, reports bigint, n_quarters bigint")
 
 
+def name_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """The ingredients that begin with the first word of the first longer one and a blank, the word a bound parameter of the SQL."""
+    view = f"v_{uuid.uuid4().hex}_"
+    items = catalog.register(spark, folder, ["drug_ingredients"], view)["drug_ingredients"]
+    name = items.filter(F.col("ingredient").rlike("^[A-Z]+ ")).agg(F.min(F.substring_index("ingredient", " ", 1))).first()[0]
+    return catalog.like_prefix(spark, view + "drug_ingredients", "ingredient", name or "")
+
+
 def member_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Table and kind of every raw file by its name (S3)."""
     name, kind = delimited.classified(F.col("file_name"))
@@ -206,7 +214,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         key_uniqueness, orphans, rowcounts, id_overlap, cast_failures, missing_tables, schema_changes, column_presence, schema_vs_config, quarter_gaps, delimited_parse,
-        scan_statistics, header_scan, header_harmonisation, encoding_fallback, parquet_sink, csv_sink, member_classes, withdrawn_list, canonical_numbers, term_mentions, proximity, mention_pairs, verified_controls,
+        scan_statistics, header_scan, header_harmonisation, encoding_fallback, name_variants, parquet_sink, csv_sink, member_classes, withdrawn_list, canonical_numbers, term_mentions, proximity, mention_pairs, verified_controls,
     )
 }
 
@@ -299,6 +307,7 @@ SQL = {
     select file_id, attributes, coalesce(doubled, '') doubled from (select file_id, string_agg(a, ';' order by i) attributes from placed group by 1)
     left join (select file_id, string_agg(a, ';' order by a) doubled from (select file_id, a from placed group by 1, 2 having count(*) > 1) group by 1) using (file_id)""",
     "encoding_fallback": "select file_id, line_no, line as text, 0 decode_errors from raw_lines where line is not null",
+    "name_variants": "select distinct ingredient from drug_ingredients where starts_with(ingredient, (select min(split_part(ingredient, ' ', 1)) from drug_ingredients where regexp_matches(ingredient, '^[A-Z]+ ')) || ' ')",
     "parquet_sink": "select quarter, count(*) n_rows, count(distinct report_id) n_reports from reac group by 1",
     "csv_sink": "select upper(trim(pt)) pt, count(distinct era || '|' || report_id) reports, count(distinct quarter) n_quarters from reac where trim(pt) <> '' group by 1",
     "canonical_numbers": "select '{' || string_agg('\"rows_' || t || '\":' || n, ',' order by 'rows_' || t) || '}' document from ("
