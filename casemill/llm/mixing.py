@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casemill.session import cut
+
 #: A source is 2**BITS ranges: a range of 10**10 records has some 150,000.
 BITS = 16
 
@@ -46,7 +48,7 @@ def budgets(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def selection(sized: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 17) -> DataFrame:
-    """(key, source, n_tokens, times) of the records taken; ``sized`` has key, source, n_tokens and is read twice."""
+    """(key, source, n_tokens, times) of the records taken; ``sized`` has key, source, n_tokens and is read three times."""
     keyed = sized.select(
         key, "source", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"), F.xxhash64(F.lit(seed), F.col(key)).alias("_key")
     ).withColumn("_range", F.shiftrightunsigned("_key", 64 - BITS).cast("int"))
@@ -56,7 +58,8 @@ def selection(sized: DataFrame, targets: DataFrame, key: str = "doc_id", seed: i
     ends = sums.join(budgets(sizes, targets), "source").withColumn("_sum", F.sum("n").over(order)).filter("_sum > rest")
     # The first range in which the running sum passes the rest; nothing is cut where no rest is.
     cuts = ends.groupBy("source").agg(F.first("rounds").alias("_rounds"), F.first("rest").alias("_rest"), F.min(F.struct("_range", (F.col("rest") - F.col("_sum") + F.col("n")).alias("left"))).alias("c"))
-    cuts = cuts.select("source", "_rounds", F.when(F.col("_rest") > 0, F.col("c._range")).otherwise(F.lit(-1)).alias("_cut"), F.col("c.left").alias("_left"))
+    # A row per target, written so that sums and budgets are made once.
+    cuts = cut(cuts.select("source", "_rounds", F.when(F.col("_rest") > 0, F.col("c._range")).otherwise(F.lit(-1)).alias("_cut"), F.col("c.left").alias("_left")), "cuts")
     placed = keyed.join(cuts, "source")
     inside = placed.filter("_range <> _cut").withColumn("times", F.col("_rounds") + (F.col("_range") < F.col("_cut")).cast("int"))
     within = Window.partitionBy("source").orderBy(F.expr("_key"), key).rowsBetween(Window.unboundedPreceding, 0)
