@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property
 from typing import NamedTuple
 
 KINDS = ("email", "address", "id_number", "phone", "name")
@@ -269,14 +269,23 @@ class _Text:
     """One text with its words, and the name grammar on it."""
 
     def __init__(self, text: str, low: str):
-        self.text, self.tokens = text, _tokens(low)
+        self.text, self.low, self.tokens = text, low, _tokens(low)
         self.words = {t[0] for t in self.tokens}
-        # Written in one case: few words hold small letters, or no capital is there.
-        self.uniform = len(_LOWER_RUN.findall(text)) * 10 < len(self.tokens) or text == low
-        # In French ``M.`` is a title, elsewhere an initial.
-        self.french = "the" not in self.words and len(self.words & _FRENCH) > 1
-        self.title = _FRENCH_TITLE_AT if self.french else _TITLE_AT
-        self.cues = [(i, t, cue) for i, t in enumerate(self.tokens) if (cue := CUES.get(t[0]))]
+        self.cues = [(i, t, CUES[t[0]]) for i, t in enumerate(self.tokens) if t[0] in CUES]
+
+    @cached_property
+    def uniform(self) -> bool:
+        """Written in one case: few words hold small letters, or no capital is there."""
+        return len(_LOWER_RUN.findall(self.text)) * 10 < len(self.tokens) or self.text == self.low
+
+    @cached_property
+    def french(self) -> bool:
+        """In French ``M.`` is a title, elsewhere an initial."""
+        return "the" not in self.words and len(self.words & _FRENCH) > 1
+
+    @cached_property
+    def title(self) -> re.Pattern:
+        return _FRENCH_TITLE_AT if self.french else _TITLE_AT
 
     def word(self, at: int, like: str | None = None) -> re.Match | None:
         """A word of a name at ``at``, written like the one before it."""
