@@ -67,7 +67,7 @@ _GERMAN_STREETS = ("straße ", "strasse ", "str. ", "weg ", "allee ", "platz ",
 # ---------------------------------------------------------------- numbers
 
 _ID_FORMS = (
-    r"QQ ?\d{2} ?\d{2} ?\d{2} ?[A-Z]\b|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b|[A-Z]{1,2}\d{6,8}\b|[A-Z]<\d{6,9}\b|[A-Z]-\d{6,8}-[A-Z]\b|\d{7,8}-?[A-Z]\b"
+    r"QQ ?\d{2} ?\d{2} ?\d{2} ?[A-Z]\b|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b|[A-Z]{1,2}\d{6,8}\b|[A-Z]\d{9}\b|[A-Z]<\d{6,9}\b|[A-Z]-\d{6,8}-[A-Z]\b|\d{7,8}-?[A-Z]\b"
     r"|X \d{3} \d{3} \d{3}\b|X\d{9}\b|[A-Z0-9]{9}\b(?<=\d)|\d \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}\b|\d{3} \d{3} \d{4}\b|\d{3}[- ]\d{2}[- ]\d{4}\b|\d{15}\b|\d{9,13}\b"
 )
 # Words that name an identity number of a person, and words that make an ID one of something else.
@@ -95,7 +95,7 @@ _PHONE_FORMS = (
 # Words that announce a phone number.
 PHONE_WORDS = set(
     "reachable reach reached line hotline mobile cell cellphone call called ring dial tel telephone phone fax rückruf telefon telefonnummer handy mobil telefonisch rappeler appeler "
-    "téléphone portable llamar teléfono móvil celular whatsapp sms contact number".split()
+    "téléphone tél portable llamar teléfono móvil celular whatsapp sms contact number".split()
 )
 _PHONE_AFTER = re.compile(
     rf"(?:[ .:]|\b(?:at|on|under|is|was|back|no|number|nr|nummer|unter|ist|au|al|es|est|número|numéro|bitte|please|directly|direkt|him|her|them|me|us|or)\b| \(?(?=\())*?[ :.(]\(?((?:{_PHONE_FORMS}){_EXTENSION})", re.IGNORECASE
@@ -176,8 +176,12 @@ TALK = {
     "con": set("habló hablado conversación hablamos hablé entrevista".split()),
     "to": set("questions queries inquiries enquiries spoke spoken talked addressed queries attention reply".split()),
     "of": set("attention care".split()),
+    "as": set("herself himself themselves identified".split()),
+    "am": {"i"},
     "by": set("signed written reported called contacted seen completed submitted countersigned".split()),
 }
+# After these only capitals show that a name follows.
+WEAK_TALK = {"as", "am"}
 # Words before a signature, or before a name one gives oneself.
 SIGNED = set("signed gezeichnet gez signé signée firmado firmada sincerely regards grüßen cordialement atentamente yours".split())
 CALLED = set("is was named called war ist heißt namens était est nommé era es llamado llamada".split())
@@ -224,7 +228,7 @@ _PARTICLE = re.compile(r"(?:(?:van der|van den|von der|de la|de los|van|von|de|d
 _TITLE_AT = re.compile(rf"(?:(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? )+", re.IGNORECASE)
 _FRENCH_TITLE_AT = re.compile(_TITLE_AT.pattern.replace("(?:(?:", "(?:(?:M(?=\\.)|", 1), re.IGNORECASE)
 _INITIAL_BEFORE = re.compile(r"(?:^|[^\w])[^\W\d_]\.\s*$")
-_NO_NAME_AFTER = re.compile(r"\s?[@\[({](?:at|@)?|\d|[-_/]\w|’s\b|'s\b|\s&|\.[A-Za-z]|\s(?:syndrome|disease|ltd|inc|gmbh|clinic|hospital|laboratories|pharma)", re.IGNORECASE)
+_NO_NAME_AFTER = re.compile(r"\s?[@\[({](?:at|@)?|\d|[-_/]\w|['’]s\s(?:syndrome|disease|lymphoma|palsy|sarcoma|chorea|phenomenon)|\s&|\.[A-Za-z]|\s(?:syndrome|disease|ltd|inc|gmbh|clinic|hospital|laboratories|pharma)", re.IGNORECASE)
 _THING_NEXT = re.compile(r" (?:was|is|were|had|has|and|wurde|acid|extract)\b", re.IGNORECASE)
 _CLOSED = re.compile(r"\s*(?:[.;,!?):]|[\r\n]|$)")
 _LOWER_RUN = re.compile(r"[a-zß-öø-ÿ]+")
@@ -349,7 +353,7 @@ class _Text:
                 if got and got.titled and (got.capital or got.sure or self.uniform and self.ends(got.end)):
                     yield from self._settled(got)
             if cue & _TALK_CUE and not TALK[word].isdisjoint(t[0] for t in tokens[max(0, i - 2) : i]):
-                yield from self._strong(end)
+                yield from self._strong(end, word in WEAK_TALK)
             elif cue & _SIGNED_CUE:
                 yield from self._signature(end)
             if cue & _ROLE_CUE:
@@ -376,11 +380,11 @@ class _Text:
         m = _COLON.match(self.text, end)
         return self.name(m.end()) if m else None
 
-    def _strong(self, end: int, gender: str = "") -> Iterator[tuple[int, int, str]]:
-        """A cue after which a name stands, however it is written."""
+    def _strong(self, end: int, weak: bool) -> Iterator[tuple[int, int, str]]:
+        """A cue after which a name stands, however it is written unless the cue is weak."""
         got = self._after(end)
-        if got and (got.titled or got.capital or got.sure or self.ends(got.end)):
-            yield from self._settled(got, gender)
+        if got and (got.titled or got.capital or got.sure or not weak and self.ends(got.end)):
+            yield from self._settled(got)
 
     def _signature(self, end: int) -> Iterator[tuple[int, int, str]]:
         m = _AFTER_SIGNED.match(self.text, end)
