@@ -64,10 +64,10 @@ def mentions(
     A term of at least ``shortest`` letters counts where it stands as whole words. ``near``
     says whether the endpoint pattern occurs within ``WINDOW`` letters of any mention,
     ``near_first`` and ``restricted_first`` look at the first mention only. A text's own
-    key is no mention. NULL and empty texts mention nothing. ``most`` is the longest list
+    key is no mention. NULL and empty texts, and texts without a key, mention nothing. ``most`` is the longest list
     of terms that is broadcast.
     """
-    texts = docs.filter("text is not null and text <> ''").select(key, F.upper("text").alias("text"))
+    texts = docs.filter("text is not null and text <> ''").filter(F.col(key).isNotNull()).select(key, F.upper("text").alias("text"))
     listed = terms.select(F.upper(F.trim("term")).alias("term")).filter(F.length("term") >= shortest).distinct()
     listed = listed.withColumn("word", F.regexp_extract("term", r"(?U)\w+", 0)).filter("word <> ''").withColumn("lead", F.instr(F.col("term"), F.col("word")) - 1)
     kind = docs.schema[key].dataType.simpleString()

@@ -333,7 +333,7 @@ def test_fuzzy_duplicates_against_loops(spark):
 
 
 def test_mentions(spark):
-    docs = spark.createDataFrame([("ALPHA", "Take with betamine. " + "x" * 700 + " muscle pain with BETAMINE, avoid."), ("BETAMINE", "no partner"), ("GAMMA", None), ("DELTA", ""), ("EPS", "BETAMINES and UN-BETAMINE ACID X")], "ingredient string, text string")
+    docs = spark.createDataFrame([("ALPHA", "Take with betamine. " + "x" * 700 + " muscle pain with BETAMINE, avoid."), ("BETAMINE", "no partner"), ("GAMMA", None), ("DELTA", ""), ("EPS", "BETAMINES and UN-BETAMINE ACID X"), (None, "BETAMINE")], "ingredient string, text string")
     terms = spark.createDataFrame([("BETAMINE",), ("ALPHA",), ("X",), ("BETAMINE ACID",), ("Betamine",)], "term string")
     found = textref.mentions(docs, terms, "ingredient", "MUSCLE", "AVOID")
     assert sorted(textref.mentions(docs, terms, "ingredient", "MUSCLE", "AVOID", most=0).collect()) == sorted(found.collect())  # terms too many to send
