@@ -360,15 +360,15 @@ def replacements(df: DataFrame, key: str, doc: str = "doc_id", text: str = "text
 
 def replaced(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``df`` with each detail replaced by its entity's surrogate in the form of the original."""
-    rows = cut(detected(df, text).withColumn("_row", F.monotonically_increasing_id()), "details")
+    rows = cut(detected(df, text).withColumn("_pii_row", F.monotonically_increasing_id()), "details")
     some = rows.filter(F.size("details") > 0)
-    new = _flat(some.select("_row", "details"), key, ["_row"])
+    new = _flat(some.select("_pii_row", "details"), key, ["_pii_row"])
     # A row's list holds the details of one text.
-    lists = new.groupBy("_row").agg(F.collect_list(F.struct("start", "end", "new")).alias("_new"))
+    lists = new.groupBy("_pii_row").agg(F.collect_list(F.struct("start", "end", "new")).alias("_pii_new"))
 
     @F.pandas_udf("string")
     def placed(texts: pd.Series, parts: pd.Series) -> pd.Series:
         return pd.Series([_spliced(t, [(p["start"], p["end"], p["new"]) for p in ps]) for t, ps in zip(texts, parts)])
 
-    got = some.drop("details").join(lists, "_row").withColumn(text, placed(text, "_new")).drop("_new")
+    got = some.drop("details").join(lists, "_pii_row").withColumn(text, placed(text, "_pii_new")).drop("_pii_new")
     return rows.filter(F.size("details") == 0).drop("details").unionByName(got).select(*df.drop("details").columns)
